@@ -105,7 +105,7 @@ def is_label_key(x: Column) -> Column:
 def token_match(mention: Column, text: Column) -> Column:
     """Whether a non-empty mention occurs with no Unicode word character on either side."""
     quoted = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.replace(mention, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?!\w)"))
-    return (F.length(mention) > 0) & text.rlike(quoted)
+    return (F.length(mention) > 0) & F.rlike(text, quoted)
 
 
 def hash_fraction(*parts: Column) -> Column:
