@@ -16,8 +16,8 @@ def valid_only(rows: DataFrame) -> DataFrame:
 
 
 def exact_dedup(rows: DataFrame, text: str, ordinal: str) -> DataFrame:
-    """The first row of each text. The least ordinal is found by a combining aggregate, so a text that a third of all rows share is not sorted in one task."""
-    firsts = rows.groupBy(text).agg(F.min(ordinal).alias(ordinal))
+    """The first row of each text. Texts travel as sha256, and the least ordinal is found by a combining aggregate, so a text that a third of all rows share costs each task one row."""
+    firsts = rows.groupBy(F.sha2(text, 256).alias("sha")).agg(F.min(ordinal).alias(ordinal))
     return rows.join(firsts.select(F.col(ordinal)), ordinal, "left_semi")
 
 
