@@ -12,9 +12,10 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def literal_to_json(cells: pd.Series) -> pd.Series:
     """A Python literal as JSON text; null if it is none."""
 
