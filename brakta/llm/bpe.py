@@ -32,6 +32,8 @@ class WordBpe:
     """Chunk by chunk ids; exact, since what is not plain Latin goes through the library itself."""
 
     def __init__(self, path: str):
+        if not path.endswith(".json"):
+            raise ValueError(f"{path}: not a vocabulary of this kind")
         self.library = Tokenizer.from_file(path)
         config = json.loads(self.library.to_str())
         if not self.by_chunk(config):
