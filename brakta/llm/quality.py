@@ -103,9 +103,9 @@ class Voters:
     labels: np.ndarray
     neighbours: int = 25
 
-    def embed(self, docs: list[dict[int, float]]) -> np.ndarray:
-        rows, keys, vals = sparse(docs)
-        out = np.zeros((len(docs), self.projection.shape[1]))
+    def embed(self, rows: np.ndarray, keys: np.ndarray, vals: np.ndarray, n: int) -> np.ndarray:
+        """Unit vectors of n rows from their entries, rows rising."""
+        out = np.zeros((n, self.projection.shape[1]))
         if len(self.keys) and len(keys):
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             known = self.keys[at] == keys
@@ -121,7 +121,7 @@ class Voters:
         if not n:
             return np.full(len(docs), 0.5)
         base, k, scores = self.labels.mean(), min(self.neighbours, n), []
-        own = self.embed(docs).astype(np.float32)
+        own = self.embed(*sparse(docs), len(docs)).astype(np.float32)
         for at in range(0, len(docs), 512):
             near = own[at : at + 512] @ self.vectors.T
             # Ties at the last place go to the labelled rows that come first in argpartition's fixed order.
@@ -133,32 +133,35 @@ class Voters:
         return np.clip(np.concatenate(scores), 0, 1)
 
 
-def train(docs: list[dict[int, float]], labels: np.ndarray, rank: int = 48, min_docs: int = 4, max_terms: int = 40_000, seed: int = 5) -> Voters:
+def train(rows: np.ndarray, keys: np.ndarray, vals: np.ndarray, labels: np.ndarray, rank: int = 48, min_docs: int = 4, max_terms: int = 40_000, seed: int = 5) -> Voters:
     """Inverse document frequencies and a truncated decomposition, by a randomized range finder with power steps."""
-    if not docs:
+    n = len(labels)
+    if not n:
         return Voters(np.zeros(0, np.int64), np.zeros((0, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
-    rows, keys, vals = sparse(docs)
     kept, seen = np.unique(keys, return_counts=True)
     frequent = np.sort(kept[np.argsort(-seen, kind="stable")[:max_terms]])
-    kept = np.intersect1d(kept[seen >= min(min_docs, len(docs))], frequent)
+    kept = np.intersect1d(kept[seen >= min(min_docs, n)], frequent)
     if not len(kept):
-        return Voters(np.zeros(0, np.int64), np.zeros((0, 1), np.float32), np.zeros((len(docs), 1), np.float32), labels)
+        return Voters(np.zeros(0, np.int64), np.zeros((0, 1), np.float32), np.zeros((n, 1), np.float32), labels)
     at = np.minimum(np.searchsorted(kept, keys), len(kept) - 1)
     known = kept[at] == keys
+    all_entries = (rows, keys, vals)
     rows, cols, vals = rows[known], at[known], vals[known]
-    idf = np.log((1 + len(docs)) / (1 + np.bincount(cols, minlength=len(kept)))) + 0.2
-    vals = vals * idf[cols]
-    norm = np.sqrt(np.bincount(rows, vals**2, len(docs)))
-    scaled = vals / np.maximum(norm[rows], 1e-12)
-    width = min(rank + 8, len(kept), len(docs))
+    idf = np.log((1 + n) / (1 + np.bincount(cols, minlength=len(kept)))) + 0.2
+    scaled = vals * idf[cols]
+    norm = np.sqrt(np.bincount(rows, scaled**2, n))
+    scaled /= np.maximum(norm[rows], 1e-12)
+    width = min(rank + 8, len(kept), n)
     x = np.random.default_rng(seed).normal(size=(len(kept), width))
     for _ in range(4):
-        q, _ = np.linalg.qr(product(rows, cols, scaled, x, len(docs)))
+        q, _ = np.linalg.qr(product(rows, cols, scaled, x, n))
         x = product(cols, rows, scaled, q, len(kept))
     right = np.linalg.svd(x, full_matrices=False)[0][:, :rank]
-    projection = (right * idf[:, None]).astype(np.float32)
-    voters = Voters(kept, projection, np.zeros((0, 1)), labels)
-    voters.vectors = voters.embed(docs).astype(np.float32)
+    voters = Voters(kept, (right * idf[:, None]).astype(np.float32), np.zeros((0, 1)), labels)
+    rows, keys, vals = all_entries
+    edges = np.searchsorted(rows, np.arange(0, n + 256, 256))
+    parts = [voters.embed(rows[s:e] - 256 * i, keys[s:e], vals[s:e], min(256, n - 256 * i)) for i, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if 256 * i < n]
+    voters.vectors = np.concatenate(parts).astype(np.float32)
     return voters
 
 
@@ -186,8 +189,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
     got = map_arrow(rows, make, "doc_id long, y int, ks binary, ws binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["y"], bytes(r["ks"])))
-    made = [dict(zip(np.frombuffer(r["ks"], np.uint32).tolist(), np.frombuffer(r["ws"], np.float32).tolist(), strict=True)) for r in got]
-    return train(made, np.array([min(1, max(0, r["y"])) for r in got], float))
+    entries = np.repeat(np.arange(len(got)), [len(r["ks"]) // 4 for r in got])
+    keys = np.frombuffer(b"".join(bytes(r["ks"]) for r in got), np.uint32).astype(np.int64)
+    vals = np.frombuffer(b"".join(bytes(r["ws"]) for r in got), np.float32).astype(float)
+    return train(entries, keys, vals, np.array([min(1, max(0, r["y"])) for r in got], float))
 
 
 def score(docs: DataFrame, voters: Voters, held_out: Column, threshold: float = 0.7, key: str = "doc_id", text: str = "text") -> DataFrame:
