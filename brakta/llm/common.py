@@ -73,8 +73,10 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                yield step(batch)
+            # At most some 16 MB and 2048 rows at a time, but a row at least.
+            rows = max(1, min(2048, (batch.num_rows << 24) // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, rows):
+                yield step(batch.slice(at, rows))
 
     return df.mapInArrow(run, schema)
 

@@ -77,6 +77,12 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.bias + linear + both / 2, -40, 40)))
 
 
+def places(keys: np.ndarray, terms_: np.ndarray) -> np.ndarray:
+    """Where a document's terms stand among the kept ones."""
+    at = np.minimum(np.searchsorted(keys, terms_), len(keys) - 1)
+    return at[keys[at] == terms_].astype(np.int32)
+
+
 def train(documents: list[np.ndarray], labels: np.ndarray, factors: int = 8, min_docs: int = 5, epochs: int = 10, rate: float = 0.08, decay: float = 1e-2, seed: int = 11) -> Machine:
     """Logistic loss by AdaGrad over small batches; the same machine for the same sample."""
     if not len(documents):
@@ -84,6 +90,7 @@ def train(documents: list[np.ndarray], labels: np.ndarray, factors: int = 8, min
     flat = np.concatenate(documents)
     keys, counts = np.unique(flat, return_counts=True)
     keys = keys[counts >= min_docs]
+    del flat, counts
     base = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
     bias = float(np.log(base / (1 - base)))
     w, v = np.zeros(len(keys)), np.zeros((len(keys), factors))
@@ -92,15 +99,13 @@ def train(documents: list[np.ndarray], labels: np.ndarray, factors: int = 8, min
     rng = np.random.default_rng(seed)
     v = rng.normal(0, 0.01, v.shape)
     gw, gv, gb = np.full(len(w), 1.0), np.full(v.shape, 1.0), 1.0
-    at = np.searchsorted(keys, flat)
-    known = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == flat)
-    ends = np.concatenate([[0], np.cumsum(known)])[np.cumsum([0, *map(len, documents)])]
-    ids = at[known]
+    # Document by document, as 32-bit places: a copy of all terms is the most that is held beside them.
+    known = [places(keys, d) for d in documents]
     for _ in range(epochs):
         order = rng.permutation(len(documents))
         for batch in np.array_split(order, max(1, len(order) // 128)):
-            rows = np.repeat(np.arange(len(batch)), ends[batch + 1] - ends[batch])
-            cols = np.concatenate([ids[ends[d] : ends[d + 1]] for d in batch])
+            cols = np.concatenate([known[d] for d in batch])
+            rows = np.repeat(np.arange(len(batch)), [len(known[d]) for d in batch])
             if not len(cols):
                 continue
             used, pos = np.unique(cols, return_inverse=True)
