@@ -3,10 +3,10 @@
 A text's shingles are its runs of five words (a shorter text is one shingle).
 Documents with the same shingle set are one representative with a multiplicity.
 Every representative has a MinHash signature in several trees; in each tree the
-signatures, sorted, are a prefix trie.  Matching starts at the longest prefix and
-shortens it level by level, until the pairs found so far, weighted by how likely
-each was to be found, put the recall at its target, or the shortest prefix is
-reached, at which the threshold itself is met with that recall.
+signatures, sorted, are a prefix trie.  Representatives that share a prefix of
+``prefix`` values in any tree meet.  The prefix is the same for all, whatever else
+the corpus holds: a pair of similarity s meets with chance 1-(1-s^prefix)^trees,
+which is 0.998 at a threshold of 0.8, and more above it.
 
 Pairs in a trie node that the signatures call alike only join representatives
 into candidate clusters; the clusters' texts are fetched once, and all pairs in a
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from brakta.llm.common import Memo, map_arrow, map_groups, texts
 from brakta.llm.components import connected_components
 from brakta.llm.embed_dedup import forest
-from brakta.plans.staging import stage, unstage
+from brakta.plans.staging import stage
 
 TREES, DEPTH = 16, 8
 #: ASCII white space as in brakta.llm.common.WORD; str.split() knows more.
@@ -112,58 +112,42 @@ def runs(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.cumsum(new)
 
 
-def alike_in_nodes(nodes: DataFrame, prefix: int, threshold: float, cut: float, block: int = 1024) -> DataFrame:
-    """(a, b, found, expected): candidate links from all trie nodes of two or more, and sums for the recall."""
+def alike_in_nodes(nodes: DataFrame, cut: float, block: int = 1024) -> DataFrame:
+    """(a, b): candidate links from all trie nodes of two or more."""
     tiled = in_blocks(nodes, ["tree", "node"], "rep", block)
     keys = ["tree", "node", "i", "j"]
 
     def make():
         def step(table: pa.Table) -> pa.Table:
             group = runs(table, keys)
-            rep, own, i, j, tree = (table.column(c).to_numpy() for c in ("rep", "own", "i", "j", "tree"))
+            rep, own, i, j = (table.column(c).to_numpy() for c in ("rep", "own", "i", "j"))
             low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(len(rep), TREES * DEPTH)
-            hits_a, hits_b, found, expected = [], [], 0.0, 0.0
+            hits_a, hits_b = [], []
             for d in range(1, int(np.bincount(group).max(initial=0))):
                 a = np.flatnonzero(group[d:] == group[:-d])
                 a = a[(i[a] == j[a]) | (own[a] != own[a + d])]
                 for at in range(0, len(a), 20_000):
                     x = a[at : at + 20_000]
-                    alike = (low[x] == low[x + d]).mean(1)
-                    near = alike >= cut
+                    near = (low[x] == low[x + d]).mean(1) >= cut
                     hits_a.append(x[near])
                     hits_b.append(x[near] + d)
-                    # Counted in the first tree whose prefix they share, each by one over its chance to be found.
-                    sure = x[alike >= threshold]
-                    if len(sure):
-                        same = (low[sure].reshape(-1, TREES, DEPTH)[:, :, :prefix] == low[sure + d].reshape(-1, TREES, DEPTH)[:, :, :prefix]).all(2)
-                        first = same.argmax(1) == tree[sure]
-                        s = alike[alike >= threshold][first]
-                        found += first.sum()
-                        expected += (1 / (1 - (1 - s**prefix) ** TREES)).sum()
             a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (hits_a, hits_b))
             root = forest(a, b, len(rep)) if len(a) else np.arange(len(rep))
             tied = root != np.arange(len(rep))
-            n = int(tied.sum())
-            return pa.table({"a": pa.array([*rep[tied].tolist(), None], pa.int64()), "b": pa.array([*rep[root[tied]].tolist(), None], pa.int64()), "found": [0.0] * n + [float(found)], "expected": [0.0] * n + [float(expected)]})
+            return pa.table({"a": pa.array(rep[tied], pa.int64()), "b": pa.array(rep[root[tied]], pa.int64())})
 
         return step
 
-    return map_groups(tiled.select(*keys, "own", "rep", "low"), keys, make, "a long, b long, found double, expected double")
+    return map_groups(tiled.select(*keys, "own", "rep", "low"), keys, make, "a long, b long")
 
 
-def candidates(reps: DataFrame, threshold: float, recall: float, prefixes: tuple[int, ...], cut: float) -> DataFrame:
-    """Links (a, b) between representatives whose signatures look alike, at the first prefix that reaches the recall."""
+def candidates(reps: DataFrame, prefix: int, cut: float) -> DataFrame:
+    """Links (a, b) between representatives that share a prefix in a tree and whose signatures look alike."""
     trees = reps.select("rep", "low", F.posexplode(F.array(*[F.substring("sig", 4 * DEPTH * t + 1, 4 * DEPTH) for t in range(TREES)])).alias("tree", "path"))
-    for prefix in prefixes:
-        nodes = trees.select("rep", "tree", F.xxhash64(F.substring("path", 1, 4 * prefix)).alias("node"))
-        shared = nodes.groupBy("tree", "node").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-        full = nodes.join(shared, ["tree", "node"]).join(reps.select("rep", "low"), "rep")
-        got = stage(alike_in_nodes(full, prefix, threshold, cut), "trie-links")
-        found, expected = got.agg(F.sum("found"), F.sum("expected")).first()
-        if prefix == prefixes[-1] or not expected or found >= recall * expected:
-            return got.filter("a is not null").select("a", "b")
-        unstage(got)
-    raise ValueError("no prefix given")
+    nodes = trees.select("rep", "tree", F.xxhash64(F.substring("path", 1, 4 * prefix)).alias("node"))
+    shared = nodes.groupBy("tree", "node").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    full = nodes.join(shared, ["tree", "node"]).join(reps.select("rep", "low"), "rep")
+    return stage(alike_in_nodes(full, cut), "trie-links")
 
 
 def verify(texts_: DataFrame, words: int, threshold: float, block: int = 512) -> DataFrame:
@@ -233,7 +217,7 @@ def verify(texts_: DataFrame, words: int, threshold: float, block: int = 512) ->
     return map_groups(in_blocks(grams, ["root"], "rep", block), keys, make, "rep long, least long, links long")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall: float = 0.99, prefixes: tuple[int, ...] = (8, 6, 5), key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, prefix: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, class_id, n_links, kept) for every row of ``docs``."""
     signed = stage(signatures(docs, words, key, text), "signatures")
     usable = signed.filter("doc_id is not null and set_key is not null")
@@ -242,7 +226,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, rec
     firsts = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"))
     reps = stage(usable.withColumnRenamed("doc_id", "rep").join(firsts, ["set_key", "rep"]).dropDuplicates(["set_key"]).select("set_key", "rep", "mult", "sig", low.alias("low")), "representatives")
     # 128 values estimate a likeness of 0.8 to within 0.035; four of those below the threshold lose nothing that counts.
-    close = candidates(reps, threshold, recall, prefixes, threshold - 0.15)
+    close = candidates(reps, prefix, threshold - 0.15)
     clusters = connected_components(close, "shingles")
     members = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
     wanted = stage(members.select(F.col("node").alias("rep"), "root").join(reps.select("rep", "mult"), "rep"), "clusters")

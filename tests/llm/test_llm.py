@@ -427,6 +427,31 @@ def test_near_copies_equal_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.class_id) for r in got)
 
 
+def test_lone_pairs_are_found_beside_a_large_group(spark):
+    """Pairs that share 80 (at the threshold) or 83 to 85 of 100 runs and link with nothing else, and 700 near copies of one text."""
+    rng = random.Random(12)
+    rows = []
+    for pair in range(2500):
+        shared = [f"p{pair}s{i}" for i in range(84 + pair % 2 * rng.randrange(3, 6))]
+        ends = 104 - len(shared)
+        for side in "ab":
+            own = ends // 2 if side == "a" else ends - ends // 2
+            rows.append((len(rows), " ".join([*shared, *(f"p{pair}{side}{i}" for i in range(own))])))
+    lone = len(rows)
+    base = [f"g{i}" for i in range(300)]
+    for k in range(700):
+        own = list(base)
+        own[rng.randrange(300)] = f"n{k}"
+        rows.append((len(rows), " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in ngram_join.near_duplicates(df).collect()}
+    for band in (0, 1):
+        pairs = [a for a in range(0, lone, 2) if a // 2 % 2 == band]
+        assert all(got[a].n_links <= 1 for a in pairs)
+        assert sum(got[a].n_links == 1 and got[a + 1].class_id == a for a in pairs) >= 0.99 * len(pairs)
+    assert {got[i].class_id for i in range(lone, len(rows))} == {lone}
+
+
 def test_large_groups_go_through_blocks(spark):
     """Blocks of a few rows give the same links as one group."""
     rng = random.Random(4)
