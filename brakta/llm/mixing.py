@@ -37,9 +37,9 @@ from brakta.llm.common import WORD
 from brakta.plans.staging import stage
 
 
-def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, size): the number of words of each text."""
-    return docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
+    """(doc_id, source, size): the number of words of each text; with ``row``, that column too."""
+    return docs.select(*([row] if row else []), F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(hist: DataFrame, cycle: tuple[int, ...], share: float, cap: float) -> DataFrame:
@@ -126,12 +126,13 @@ def allot(cells: DataFrame, cap: float) -> DataFrame:
     return first.join(changes, ["src", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0))).select("src", "size", "n", "copies")
 
 
-def mix(docs: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, key: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies, rate) for every row of ``docs``.
 
+    ``row`` names a key of each row that is carried through: ids may be null or repeated.
     Runs a job for the sizes, two for sources and one a Newton step.
     """
-    sizes = stage(sized(docs, key, text, source), "sizes")
+    sizes = stage(sized(docs, key, text, source, row), "sizes")
     hist = stage(sizes.groupBy("source", "size").agg(F.count("*").alias("n")), "size-hist")
     goals = targets(hist, cycle, float(share), float(cap))
     # One row a source: the mixture is a table that people write, so this is as small as that table.
@@ -147,14 +148,16 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5,
 
     # Parts of at most some ten thousand documents that share source and size: copies are dealt to parts, then by rank.
     parts = max(64, math.ceil(sum(r["n_docs"] for r in found) / 20_000))
-    salted = named.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(parts)).cast("int"))
+    # Rows without an id are told apart by their row key, where there is one.
+    place = F.when(F.col("doc_id").isNull(), F.xxhash64(row, F.lit(4))).otherwise(F.xxhash64("doc_id", F.lit(4))) if row else F.xxhash64("doc_id", F.lit(4))
+    salted = named.withColumn("part", F.pmod(place, F.lit(parts)).cast("int"))
     held = salted.filter("size > 0").groupBy("src", "size", "part").agg(F.count("*").alias("held"))
     upto = F.sum("held").over(Window.partitionBy("src", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     dealt = held.withColumn("upto", upto).join(copies, ["src", "size"]).select(
         "src", "size", "part", "held",
         (F.floor(F.col("copies") * F.col("upto") / F.col("n") + 0.5) - F.floor(F.col("copies") * (F.col("upto") - F.col("held")) / F.col("n") + 0.5)).alias("part_copies"))
-    rank = F.row_number().over(Window.partitionBy("src", "size", "part").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("src", "size", "part").orderBy(F.xxhash64("doc_id"), "doc_id", *([row] if row else [])))
     whole = F.floor(F.col("part_copies") / F.col("held"))
     own = (whole + F.when(F.col("rank") <= F.col("part_copies") - whole * F.col("held"), 1).otherwise(0)).cast("long")
     return salted.withColumn("rank", rank).join(dealt, ["src", "size", "part"], "left").withColumn("copies", F.coalesce(own, F.lit(0).cast("long"))).select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+        *([row] if row else []), "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

@@ -15,6 +15,12 @@ from brakta.llm.registry import tokenizer
 from brakta.plans.staging import stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+ROW = "__row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs``, staged, with a key of each row: an id may be null, or stand for several texts."""
+    return stage(docs.select(*COLUMNS).withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +31,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: of documents linked by shared five-word runs, the one with the smallest id stays; of repeated rows, one."""
-    found = ngram_join.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    """Operator 7: of rows linked by shared five-word runs, the one with the smallest id stays (a null id comes last); of repeated rows with an id, one."""
+    rows = numbered(docs)
+    found = ngram_join.near_duplicates(rows.select(ROW, "text"), key=ROW).withColumnRenamed("doc_id", ROW)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW)
+    stays = found.join(rows.select(ROW, "doc_id"), ROW).groupBy("class_id").agg(F.min(order)[ROW].alias(ROW)).select(ROW)
+    # Texts without a word are in no class; they are told by id and text, without an id by row.
+    left = rows.join(stays, ROW, "left_semi").withColumn(ROW, F.when(F.col("doc_id").isNull(), F.col(ROW)))
+    return left.dropDuplicates(["doc_id", "text", ROW]).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +47,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: every document as often as the mix takes it."""
-    taken = mixing.mix(docs.select("doc_id", "text", "source")).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    return docs.select(*COLUMNS).join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    """Operator 4: every row as often as the mix takes it, whatever its id."""
+    rows = numbered(docs)
+    taken = mixing.mix(rows.select(ROW, "doc_id", "text", "source"), row=ROW).filter("copies > 0").select(ROW, "copies")
+    return rows.join(taken, ROW).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -614,3 +614,27 @@ def test_pipeline_stages(spark, data, none, odd):
     for df in (none, odd.select(*corpus_pipeline.COLUMNS)):
         for _, function in corpus_pipeline.STAGES:
             df = corpus_pipeline.stage(function(spark, df, data), "test-odd")
+
+
+def test_stages_decide_on_rows_and_not_on_ids(spark, data):
+    """Null ids and ids with several texts: no row goes or is taken for another's sake."""
+    text = lambda k, n=30: " ".join(f"t{k}w{i}" for i in range(n))
+    rows = [(None if k < 20 else 7 if k < 30 else 100 + k, text(k), "en", "ab"[k % 2], 1) for k in range(60)]
+    rows += [(7, text(50), "en", "a", 1), (None, text(51), "en", "a", 1), (900, text(3), "en", "b", 1), (None, "", "en", "b", 0), (None, "", "en", "b", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, df, data).collect())
+    want = Counter((r[0], r[1]) for r in rows)
+    # Of linked rows the smallest id stays: 7 before 150, 151 before null, 900 before null.
+    for gone in ((150, text(50)), (None, text(51)), (None, text(3))):
+        del want[gone]
+    assert kept == want
+
+    mixed = spark.createDataFrame([(i, t, lang, s, n) for i, t, lang, s, n in rows[:60]] + [(7, text(70, 400), "en", "a", 1)], DOCS)
+    got = Counter(r.text for r in corpus_pipeline.mix_sources(spark, mixed, data).collect())
+    numbered = mixed.withColumn("n", F.monotonically_increasing_id())
+    copies = {r.text: r.copies for r in mixing.mix(numbered, row="n").join(numbered.select("n", "text"), "n").collect()}
+    assert got == Counter({t: c for t, c in copies.items() if c})
+    taken = Counter()
+    for r in mixing.mix(mixed).withColumn("lost", F.col("doc_id").isNull()).collect():
+        taken[r.lost] += r.copies
+    assert sum(got.values()) == sum(taken.values()) and taken[True] > 0
