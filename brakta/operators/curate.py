@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from brakta.functions import parsing
 from brakta.functions.text import hash_fraction
 from brakta.operators.validate import clean_entities
 from brakta.plans.staging import stage
@@ -115,9 +117,14 @@ def coverage(examples: DataFrame) -> DataFrame:
 
 
 def with_split(rows: DataFrame, labels: list[str], seed: int = 42, train: float = 0.9, validation: float = 0.05) -> DataFrame:
-    """Adds clean entities, group_key and split. rows: (text, entities map)."""
+    """Adds clean entities, group_key and split. rows: (text, entities map), and records (array of maps, or JSON) with records_validated where there are any: names and numbers of validated records that stand in the text count as mentions."""
     clean = rows.withColumn("entities", clean_entities(F.col("text"), F.col("entities"), labels))
     people = F.concat(*[F.coalesce(F.try_element_at("entities", F.lit(k)), F.array().cast("array<string>")) for k in ("person", "personnummer")])
+    if {"records", "records_validated"} <= set(rows.columns):
+        given = parsing.records(F.col("records")) if rows.schema["records"].dataType == StringType() else F.col("records")
+        named = F.flatten(F.transform(F.filter(given, lambda r: r.isNotNull()), lambda r: F.array(F.try_element_at(r, F.lit("name")), F.try_element_at(r, F.lit("personnummer")))))
+        found = F.filter(named, lambda v: v.isNotNull() & (v != "") & F.col("text").contains(v))
+        people = F.concat(people, F.when(F.col("records_validated"), F.coalesce(found, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
     keyed = clean.withColumn("group_key", group_key(F.col("text"), people))
     return keyed.withColumn("split", split_of(F.col("group_key"), seed, train, validation))
 

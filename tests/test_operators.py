@@ -194,3 +194,18 @@ def test_taxonomy_covers_all_tiers():
     assert not taxonomy.UNCOVERED
     assert set(taxonomy.names_with("contextual")) == {"date", "url", "ip_address"}
     assert set(taxonomy.IDENTIFIERS) <= set(taxonomy.LABELS)
+
+
+@pytest.mark.parametrize("as_json", [False, True])
+def test_people_of_validated_records_are_in_the_group_key(spark, as_json):
+    rows = [
+        (1, "Anna och Bo 19850315-2389", {"person": ["Anna"]}, [{"name": "Bo", "personnummer": "19850315-2389"}], True),
+        (2, "Anna och Bo", {}, [{"name": "Bo"}, {"name": "Anna", "personnummer": ""}, {"name": "Cia"}], True),
+        (3, "Anna och Bo", {"person": ["Anna"]}, [{"name": "Bo"}], False),
+        (4, "Anna och Bo", {"person": ["Anna"]}, [{"name": "Bo"}], None),
+        (5, "Anna och Bo", {"person": ["Anna"]}, None, True),
+    ]
+    df = spark.createDataFrame(rows, "row_id int, text string, entities map<string,array<string>>, records array<map<string,string>>, records_validated boolean")
+    df = df.withColumn("records", F.to_json("records")) if as_json else df
+    got = {r.row_id: r.group_key for r in curate.with_split(df, ["person", "personnummer"]).collect()}
+    assert got == {1: "ids::19850315-2389|Anna|Bo", 2: "ids::Anna|Bo", 3: "ids::Anna", 4: "ids::Anna", 5: "ids::Anna"}
