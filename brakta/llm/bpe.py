@@ -8,6 +8,7 @@ encoding.  ``WordBpe`` refuses vocabularies for which that does not hold;
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from array import array
@@ -41,16 +42,16 @@ class WordBpe:
         self.model = self.library.model
         split = config["pre_tokenizer"]["pretokenizers"][0]
         self.pieces = regex.compile(split["pattern"]["Regex"]).findall
-        self.letters = byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
         # The same alternatives where all letters and digits are ASCII; Python's own engine is faster.
         self.ascii_pieces = re.compile(split["pattern"]["Regex"].replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"\p{L}\p{N}", "a-z0-9")).findall
-        self.piece_ids = Memo(lambda piece: [t.id for t in self.model.tokenize(piece)])
+        self.piece_ids = Memo(lambda piece: array("I", [t.id for t in self.model.tokenize(piece)]).tobytes())
 
     @staticmethod
     def by_chunk(config: dict) -> bool:
         norm = [x["type"] for x in (config.get("normalizer") or {}).get("normalizers", [])]
         pre = (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        return norm == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in pre] == ["Split", "ByteLevel"] and pre[0]["behavior"] == "Removed" and not pre[1]["add_prefix_space"] and not pre[1]["use_regex"] and all(x["content"].startswith("<|") for x in config["added_tokens"]) and not any(x["lstrip"] or x["rstrip"] or x["normalized"] or any(map(str.isspace, x["content"])) for x in config["added_tokens"])
+        return norm == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in pre] == ["Split", "ByteLevel"] and pre[0]["behavior"] == "Removed" and r"|[\p{L}]+|" in pre[0]["pattern"].get("Regex", "") and not pre[1]["add_prefix_space"] and not pre[1]["use_regex"] and all(x["content"].startswith("<|") for x in config["added_tokens"]) and not any(x["lstrip"] or x["rstrip"] or x["normalized"] or any(map(str.isspace, x["content"])) for x in config["added_tokens"])
 
     def pre_tokens(self, chunk: str) -> list[str] | None:
         """The chunk's pre-tokens as the model reads them; None where only the library is sure.
@@ -58,24 +59,35 @@ class WordBpe:
         Below U+0250 all letters are composed already and lower case goes letter by
         letter (but for U+0130), so normal forms cannot differ.
         """
-        if "<|" in chunk or not (chunk.isascii() or max(chunk) < "ɐ" and "İ" not in chunk):
+        if chunk.isascii():
+            if "<|" in chunk:
+                return None
+            low = chunk.lower()
+            if low.isalpha():
+                return [low]
+            if chunk.isprintable():
+                return self.ascii_pieces(low)
+        elif "<|" in chunk or max(chunk) >= "ɐ" or "İ" in chunk:
             return None
-        if chunk.isascii() and chunk.isprintable():
-            return self.ascii_pieces(chunk.lower())
-        found = self.pieces(chunk.lower())
-        return ["".join([self.letters[b] for b in x.encode()]) for x in found]
+        else:
+            low = chunk.lower()
+        return [x if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(self.letters) for x in self.pieces(low)]
 
-    def chunk_ids(self, chunk: str) -> list[int]:
+    def chunk_ids(self, chunk: str) -> bytes:
+        """The chunk's ids as little-endian unsigned 32-bit integers."""
         found = self.pre_tokens(chunk)
         if found is None:
-            return self.library.encode(chunk, add_special_tokens=False).ids
+            return self.library_ids(chunk)
         if len(found) == 1:
             return self.piece_ids[found[0]]
-        return [i for x in found for i in self.piece_ids[x]]
+        return b"".join([self.piece_ids[x] for x in found])
+
+    def library_ids(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def single_tokens(self) -> list[str]:
         """Vocabulary strings that, alone, encode as exactly one token: tried with the library, one by one."""
-        byte = {c: b for b, c in enumerate(self.letters)}
+        byte = {c: b for b, c in self.letters.items()}
         words = []
         for entry in self.library.get_vocab(with_added_tokens=False):
             letters = entry.removesuffix("</w>")
@@ -88,19 +100,22 @@ class WordBpe:
         return [w for w, e in zip(words, self.library.encode_batch(words, add_special_tokens=False), strict=True) if len(e.ids) == 1]
 
 
+@functools.lru_cache(maxsize=2)
 def encoder(path: str):
-    """text -> its ids as little-endian unsigned 32-bit integers."""
+    """text -> its ids as little-endian unsigned 32-bit integers.
+
+    A Python worker that runs several tasks keeps what it has met, within the bytes of the memos.
+    """
     try:
         own = WordBpe(path)
     except ValueError:
         library = Tokenizer.from_file(path)
         return lambda text: array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
-    memo = Memo(lambda chunk: array("I", own.chunk_ids(chunk)).tobytes())
-    get = memo.__getitem__
+    get = Memo(own.chunk_ids, limit=112 << 20).__getitem__
 
     def encode(text: str) -> bytes:
         if any(c in text for c in SEPARATORS):
-            return array("I", own.library.encode(text, add_special_tokens=False).ids).tobytes()
+            return own.library_ids(text)
         return b"".join(map(get, text.split()))
 
     return encode

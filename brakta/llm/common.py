@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from sys import getsizeof
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,15 +36,20 @@ def hashed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
 
 
 class Memo(dict):
-    """A dictionary that computes what is missing.
+    """A dictionary that computes what is missing, within a budget of bytes.
 
-    It holds two generations of at most ``limit`` entries each: when the younger
-    is full it becomes the elder, so what is asked for often stays.
+    It holds two generations of at most about ``limit`` bytes each, by their size
+    as Python objects: when the younger is full it becomes the elder, so what is
+    asked for often stays.  An entry of more than a thousandth of that is not kept,
+    so words of megabytes displace nothing.
     """
 
-    def __init__(self, compute: Callable, limit: int = 200_000, base: dict | None = None):
+    #: What an entry's place in the dictionary takes beside its objects.
+    SLOT = 80
+
+    def __init__(self, compute: Callable, limit: int = 32 << 20, base: dict | None = None):
         super().__init__()
-        self.compute, self.limit, self.elder, self.base = compute, limit, {}, base or {}
+        self.compute, self.limit, self.left, self.elder, self.base = compute, limit, limit, {}, base or {}
 
     def __missing__(self, key):
         value = self.elder.get(key)
@@ -51,8 +57,12 @@ class Memo(dict):
             value = self.base.get(key)
             if value is None:
                 value = self.compute(key)
-        if len(self) >= self.limit:
-            self.elder = self.copy()
+        cost = getsizeof(key) + getsizeof(value) + self.SLOT
+        if cost > self.limit >> 10:
+            return value
+        self.left -= cost
+        if self.left < 0:
+            self.elder, self.left = self.copy(), self.limit - cost
             self.clear()
         self[key] = value
         return value
