@@ -564,6 +564,16 @@ def test_top_k_with_huge_components_and_ties(spark):
     assert [r.vec_id for r in got] == [1, 2, 3]
 
 
+@pytest.mark.parametrize("tile", [None, 2])
+def test_scores_beyond_a_long_are_ranked_exactly(spark, tile):
+    """Products of any size rank by their value; the column ends at the bounds of a long. A repeated row is found as often as it is there."""
+    big = [(0, [3e200, 1.0], 0), (1, [1e150, 0.0], 0), (2, [1e308, 0.0], 0), (3, [2e150, 0.0], 0), (4, [-1e200, 0.0], 0), (5, [-2e200, 0.0], 0), (6, [0.0, 7.0], 0), (3, [2e150, 0.0], 0)]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>, label int")
+    got = topk.top_k(df.filter("vec_id = 0"), df, 7, candidate_tile=tile).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [2, 3, 3, 1, 6, 4, 5]
+    assert [r.score for r in got] == [2**63 - 1] * 4 + [256 * 7 * 256] + [1 - 2**63] * 2
+
+
 # --- queries
 
 
