@@ -15,9 +15,10 @@ are dealt into blocks, every pair of blocks a task, so none is one task and none
 is cut short.  What leaves a task are link counts and spanning forests.
 
 Result: for each row its class (the smallest doc_id reachable by links), its
-number of links to other rows, copies included, and whether it is the class' own
-row.  Null, empty and blank texts have no shingle and link with nothing; a null
-id keeps a null class, no links, and is kept.  An empty table gives an empty one.
+number of links to other rows, copies included, and whether its id is the class'.
+Rows that share an id are rows of their own, whatever their texts.  Null, empty
+and blank texts have no shingle and link with nothing; a null id keeps a null
+class, no links, and is kept.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brakta.llm.common import Memo, map_arrow, map_groups, texts
-from brakta.llm.components import connected_components
+from brakta.llm.components import connected_components, hub_join
 from brakta.llm.embed_dedup import forest
-from brakta.plans.staging import stage
+from brakta.plans.staging import stage, unstage
 
 TREES, DEPTH = 16, 8
 #: ASCII white space as in brakta.llm.common.WORD; str.split() knows more.
@@ -77,7 +78,7 @@ def signer(trees: int = TREES, depth: int = DEPTH, seed: int = 7):
 
 
 def signatures(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """(doc_id, set_key, sig): null key and signature without a word."""
+    """(doc_id, text_hash, set_key, sig): null key and signature without a word."""
 
     def make():
         get, sign = word_hasher(), signer()
@@ -88,18 +89,26 @@ def signatures(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
                 s = shingles(x, get, words)
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(sign(s) if len(s) else None)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "set_key", "sig"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "text_hash", "set_key", "sig"])
 
         return step
 
-    return map_arrow(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), make, "doc_id long, set_key binary, sig binary")
+    return map_arrow(hashed_texts(docs, key, text), make, "doc_id long, text_hash long, set_key binary, sig binary")
 
 
-def in_blocks(df: DataFrame, keys: list[str], node: str, block: int) -> DataFrame:
-    """Adds own, i and j: a group beyond ``block`` rows is dealt into blocks, and its rows go to every pair of blocks with theirs."""
+def hashed_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+
+
+def placed(df: DataFrame, keys: list[str], node: str, block: int) -> DataFrame:
+    """Adds blocks and own: a group beyond ``block`` rows is dealt into blocks."""
     large = df.groupBy(keys).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")).filter("blocks > 1")
-    placed = df.join(large, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int"))
-    return placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks")
+    return df.join(large, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int"))
+
+
+def in_pairs(df: DataFrame) -> DataFrame:
+    """Adds i and j: the rows of a block go to every pair of blocks with theirs."""
+    return df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks")
 
 
 def runs(table: pa.Table, keys: list[str]) -> np.ndarray:
@@ -114,7 +123,7 @@ def runs(table: pa.Table, keys: list[str]) -> np.ndarray:
 
 def alike_in_nodes(nodes: DataFrame, cut: float, block: int = 1024) -> DataFrame:
     """(a, b): candidate links from all trie nodes of two or more."""
-    tiled = in_blocks(nodes, ["tree", "node"], "rep", block)
+    tiled = in_pairs(placed(nodes, ["tree", "node"], "rep", block))
     keys = ["tree", "node", "i", "j"]
 
     def make():
@@ -150,8 +159,8 @@ def candidates(reps: DataFrame, prefix: int, cut: float) -> DataFrame:
     return stage(alike_in_nodes(full, cut), "trie-links")
 
 
-def verify(texts_: DataFrame, words: int, threshold: float, block: int = 512) -> DataFrame:
-    """(rep, least, links) from exact comparisons in each cluster. texts_: (root, rep, mult, text)."""
+def verify(texts_: DataFrame, words: int, threshold: float) -> DataFrame:
+    """(rep, least, links) from exact comparisons in each cluster. texts_: (root, rep, mult, blocks, own, text)."""
     share = Fraction(str(threshold))
 
     def make_shingles():
@@ -159,11 +168,12 @@ def verify(texts_: DataFrame, words: int, threshold: float, block: int = 512) ->
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             made = [shingles(x, get, words).tobytes() for x in texts(batch)]
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "rep", "mult")), pa.array(made, pa.binary())], ["root", "rep", "mult", "grams"])
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(made, pa.binary())], [*kept, "grams"])
 
         return step
 
-    grams = map_arrow(texts_.select("root", "rep", "mult", "text"), make_shingles, "root long, rep long, mult long, grams binary")
+    kept = ["root", "rep", "mult", "blocks", "own"]
+    grams = map_arrow(texts_.select(*kept, "text"), make_shingles, "root long, rep long, mult long, blocks int, own int, grams binary")
     keys = ["root", "i", "j"]
 
     def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -214,28 +224,38 @@ def verify(texts_: DataFrame, words: int, threshold: float, block: int = 512) ->
 
         return step
 
-    return map_groups(in_blocks(grams, ["root"], "rep", block), keys, make, "rep long, least long, links long")
+    return map_groups(in_pairs(grams), keys, make, "rep long, least long, links long")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, prefix: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, prefix: int = 5, key: str = "doc_id", text: str = "text", block: int = 512) -> DataFrame:
     """(doc_id, class_id, n_links, kept) for every row of ``docs``."""
     signed = stage(signatures(docs, words, key, text), "signatures")
     usable = signed.filter("doc_id is not null and set_key is not null")
     # The lowest byte of each of the signature's values: enough to estimate likeness and to compare prefixes.
     low = F.unhex(F.concat_ws("", *[F.hex(F.substring("sig", 4 * k + 4, 1)) for k in range(TREES * DEPTH)]))
-    firsts = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"))
-    reps = stage(usable.withColumnRenamed("doc_id", "rep").join(firsts, ["set_key", "rep"]).dropDuplicates(["set_key"]).select("set_key", "rep", "mult", "sig", low.alias("low")), "representatives")
+    firsts = usable.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("mult"))
+    # One row a shingle set, under a number of its own: two sets may share their smallest id.
+    chosen = usable.join(firsts, ["set_key", "doc_id"]).dropDuplicates(["set_key"])
+    reps = stage(chosen.select("set_key", F.col("doc_id").alias("least"), "text_hash", "mult", "sig", low.alias("low")).withColumn("rep", F.monotonically_increasing_id()), "representatives")
     # 128 values estimate a likeness of 0.8 to within 0.035; four of those below the threshold lose nothing that counts.
     close = candidates(reps, prefix, threshold - 0.15)
     clusters = connected_components(close, "shingles")
+    unstage(close)
     members = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
-    wanted = stage(members.select(F.col("node").alias("rep"), "root").join(reps.select("rep", "mult"), "rep"), "clusters")
-    source = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
-    verified = stage(verify(source.join(wanted, "rep").dropDuplicates(["rep"]), words, threshold), "links")
+    wanted = stage(members.select(F.col("node").alias("rep"), "root").join(reps.select("rep", "mult", "least", "text_hash"), "rep"), "clusters")
+    unstage(clusters)
+    texts_ = hashed_texts(docs, key, text).withColumnRenamed("doc_id", "least").join(placed(wanted, ["root"], "rep", block), ["least", "text_hash"])
+    verified = stage(verify(texts_.dropDuplicates(["rep"]), words, threshold), "links")
+    unstage(wanted)
     roots = connected_components(verified.select(F.col("rep").alias("a"), F.col("least").alias("b")), "classes")
     counts = verified.groupBy("rep").agg(F.sum("links").alias("links"))
-    stats = reps.select("set_key", "rep", "mult").join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "set_key", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "rep").alias("class_id"))
-    linked = usable.join(stats, "set_key").select("doc_id", "class_id", "n_links")
+    joined = reps.select("set_key", "rep", "mult", "least").join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    stats = joined.select("set_key", "least", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", F.when(F.col("links") > 0, F.col("rep"))).alias("root"))
+    stats = stage(stats, "classes")
+    in_class, single = stats.filter("root is not null"), stats.filter("root is null")
+    names = in_class.groupBy("root").agg(F.min("least").alias("m"), F.count("*").alias("n"))
+    named = hub_join(in_class, names, "root", in_class.count()).select("set_key", F.col("m").alias("class_id"), "n_links")
+    known = named.unionByName(single.select("set_key", F.col("least").alias("class_id"), "n_links"))
+    linked = usable.join(known, "set_key").select("doc_id", "class_id", "n_links")
     alone = signed.filter("doc_id is null or set_key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))

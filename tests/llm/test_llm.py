@@ -458,9 +458,16 @@ def test_large_groups_go_through_blocks(spark):
     base = [f"v{i}" for i in range(200)]
     rows = [(i, " ".join([*base[:100], f"x{rng.randrange(1000)}", *base[100:]])) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    signed = df.withColumn("root", F.lit(0).cast("long")).withColumn("mult", F.lit(1).cast("long")).withColumnRenamed("doc_id", "rep")
-    got = {r.rep: r.n for r in ngram_join.verify(signed, 5, 0.8, block=7).groupBy("rep").agg(F.sum("links").alias("n")).collect()}
-    assert got == {i: n for i, (_, n) in plain_links(rows).items() if n}
+    want = plain_links(rows)
+    for r in ngram_join.near_duplicates(df, block=7).collect():
+        assert (r.class_id, r.n_links) == want[r.doc_id]
+
+
+def test_rows_that_share_an_id_are_rows_of_their_own(spark):
+    t, u = (" ".join(f"{c}{i}" for i in range(60)) for c in "tu")
+    rows = [(1, t), (1, u), (2, t + " more"), (3, u + " more"), (4, u), (4, u), (5, "nothing like the others at all"), (5, t + " end")]
+    got = sorted((r.doc_id, r.class_id, r.n_links, r.kept) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 2, True), (1, 1, 3, True), (2, 1, 2, False), (3, 1, 3, False), (4, 1, 3, False), (4, 1, 3, False), (5, 1, 2, False), (5, 5, 0, True)]
 
 
 def test_links_of_odd_rows(odd, none):
@@ -481,6 +488,16 @@ def test_components_of_chains_and_stars(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
 
 
+def test_hubs_are_joined_as_other_keys(spark, monkeypatch):
+    rng = random.Random(3)
+    links = [(0, i) for i in range(1, 200)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(150)]
+    df = spark.createDataFrame(links, "a long, b long")
+    want = {r.node: r.root for r in components.connected_components(df, "t").collect()}
+    monkeypatch.setattr(components, "FEW", 2)
+    assert {r.node: r.root for r in components.connected_components(df, "t").collect()} == want
+    assert all(want[i] == 0 for i in range(1, 200))
+
+
 # --- 8 embedding near-dedup, 10 top-k
 
 VECTORS = "vec_id long, embedding array<float>, label int"
