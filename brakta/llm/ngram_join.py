@@ -227,7 +227,7 @@ def verify(texts_: DataFrame, words: int, threshold: float) -> DataFrame:
     return map_groups(in_pairs(grams), keys, make, "rep long, least long, links long")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, prefix: int = 5, key: str = "doc_id", text: str = "text", block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, prefix: int = 5, key: str = "doc_id", text: str = "text", block: int = 256) -> DataFrame:
     """(doc_id, class_id, n_links, kept) for every row of ``docs``."""
     signed = stage(signatures(docs, words, key, text), "signatures")
     usable = signed.filter("doc_id is not null and set_key is not null")
@@ -244,7 +244,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, pre
     members = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
     wanted = stage(members.select(F.col("node").alias("rep"), "root").join(reps.select("rep", "mult", "least", "text_hash"), "rep"), "clusters")
     unstage(clusters)
-    texts_ = hashed_texts(docs, key, text).withColumnRenamed("doc_id", "least").join(placed(wanted, ["root"], "rep", block), ["least", "text_hash"])
+    # Dealt, not broadcast, at every size: the clusters grow with the corpus.
+    texts_ = hashed_texts(docs, key, text).withColumnRenamed("doc_id", "least").join(placed(wanted, ["root"], "rep", block).hint("merge"), ["least", "text_hash"])
     verified = stage(verify(texts_.dropDuplicates(["rep"]), words, threshold), "links")
     unstage(wanted)
     roots = connected_components(verified.select(F.col("rep").alias("a"), F.col("least").alias("b")), "classes")
