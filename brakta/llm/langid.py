@@ -2,13 +2,15 @@
 
 For every language a raw-content zstandard dictionary is made of training
 texts.  A text, in lower case, is encoded with each of them, block by block, and goes to the
-language that needs the fewest bytes; a narrow margin is flagged as rejected.
+language that needs the fewest bytes, of equal ones to the one with more training
+texts (then by code point); a narrow margin is flagged as rejected.
 All of a text is encoded: blocks keep the dictionary's help from fading in long
 texts, and a very long text is just many blocks.
 
 ``und``, score 0: null and empty texts and those without a letter.  When no
 language was learned (an empty training set) every text is ``und``.  Languages
-whose training texts are empty are not learned.  Repeated rows count repeatedly.
+whose training texts are empty are not learned; all others are, however rare.
+Repeated rows are learned from once.
 """
 
 from __future__ import annotations
@@ -20,42 +22,52 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brakta.llm.common import hashed_sample, map_arrow
+from brakta.llm.common import map_arrow
 
 LEVEL = 6
 
 
-def learn(train: DataFrame, sample_rows: int = 4000, dictionary_bytes: int = 110_000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
-    """Dictionaries from about ``sample_rows`` labelled documents, ``dictionary_bytes`` for each language at most.
+def spread_slices(text: str, share: str, phase: str, width: int) -> Column:
+    """About ``share`` characters of a text: slices of ``width`` (one of ``share``, if that is less) evenly spaced over its whole length, from a start told by ``phase``, 0 to 1."""
+    length, n = F.length(text), F.greatest(F.lit(1), F.floor(F.col(share) / width)).cast("int")
+    wide = F.least(F.col(share), F.lit(width)).cast("int")
+    start = lambda i: (F.floor((i + F.col(phase)) / n * F.greatest(length - wide, F.lit(0))) + 1).cast("int")
+    return F.when(length <= F.col(share), F.array(text)).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.col(text).substr(start(i), wide)))
 
-    The sample is drawn by hash of the id; from its documents come slices spread
-    over their whole length, shared evenly among a language's documents.
+
+def learn(train: DataFrame, sample_rows: int = 1500, dictionary_bytes: int = 110_000, width: int = 200, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
+    """Dictionaries from about ``sample_rows`` documents of each language, ``dictionary_bytes`` for each at most.
+
+    The sample is drawn by hash of id and text, language by language, the most frequent first.  Its documents share the bytes
+    evenly, each with slices from all over its length.  The driver sees the dictionaries' bytes and one
+    row a language, which is as many as there are dictionaries.
     """
-    labelled = train.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    picked = hashed_sample(labelled.select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")), "id", sample_rows)
-    # A few kilobytes of each reach the driver: evenly spaced slices, cut on the executors.
-    length, width, slices = F.length("text"), 200, 8
-    spaced = F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda i: F.col("text").substr((F.floor(i * F.greatest(length - width, F.lit(0)) / (slices - 1)) + 1).cast("int"), F.lit(width)))
-    taken = F.when(length <= width * slices, F.array("text")).otherwise(spaced)
-    rows = picked.select("id", "lang", taken.alias("slices")).collect()
+    rows = train.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text).alias("at"))
+    counted = rows.groupBy("lang").agg(F.approx_count_distinct("at").alias("n")).withColumns({
+        "cut": F.lit(float(sample_rows)) / F.col("n"), "share": F.floor(F.lit(dictionary_bytes) / F.least(F.col("n"), F.lit(sample_rows)))})
+    draw = F.pmod(F.xxhash64("at", F.lit(20)), F.lit(1 << 30)) / (1 << 30)
+    picked = rows.join(F.broadcast(counted), "lang").filter(draw < F.col("cut")).withColumn("phase", F.pmod(F.xxhash64("at", F.lit(21)), F.lit(1 << 20)) / (1 << 20))
+    got = picked.select("lang", "n", "at", spread_slices("text", "share", "phase", width).alias("slices")).distinct().collect()
     per: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], str(r["id"]), r["slices"])):
+    for r in sorted(got, key=lambda r: (-r["n"], r["lang"], r["at"], r["slices"])):
         per.setdefault(r["lang"], []).append(r["slices"])
     out = {}
     for name, lists in per.items():
-        share, parts = max(64, dictionary_bytes // len(lists)), []
+        parts = []
         for own in lists:
-            parts.append(b"\n".join(x.lower().encode("utf-8", "replace") for x in own)[:share])
-        if made := b"\n".join(parts)[-dictionary_bytes:].strip():
+            # Letters of several bytes: every slice gives up its end, and none its place.
+            each = max(1, dictionary_bytes // len(lists) // len(own) - 1)
+            parts += [x.lower().encode("utf-8", "replace")[:each] for x in own]
+        if made := b"\n".join(parts).strip():
             out[name] = made
     return out
 
 
 class Coder:
-    """Encoded sizes of a text under every dictionary."""
+    """Encoded sizes of a text under every dictionary; of equal ones the first given counts."""
 
     def __init__(self, dictionaries: dict[str, bytes], block: int = 2048):
-        self.names, self.block, self.coders = sorted(dictionaries), block, []
+        self.names, self.block, self.coders = list(dictionaries), block, []
         for name in self.names:
             made = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             made.precompute_compress(level=LEVEL)

@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -234,6 +235,36 @@ def test_languages_are_found(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
 
 
+def test_dictionaries_hold_words_from_all_over_the_texts(spark):
+    """1,200 texts, each with words of its own at every place: the dictionary holds some from every tenth of the length."""
+    rows = [(i, " ".join(f"t{k // 30}x{i}w{k}" for k in range(300)), "xx") for i in range(1200)]
+    made = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["xx"].decode()
+    tenths = Counter(w[1] for w in made.split() if w[0] == "t" and w[1:2].isdigit())
+    assert len(made.encode()) <= 110_000 and len(made) > 60_000
+    assert min(tenths[str(t)] for t in range(10)) > 0.3 * max(tenths.values())
+
+
+def test_rare_languages_and_repeated_rows_are_learned(spark):
+    rows = [(i, f"the common words of text number {i}", "en") for i in range(5000)] + [(9001, "ovo je rijetko", "hr")] + [(9002, "samma ord om igen", "sv")] * 3000
+    learned = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(learned) == ["en", "hr", "sv"] and learned["sv"] == b"samma ord om igen"
+
+
+def test_sizes_equal_a_plain_coder_s(docs):
+    """Every prediction against one compressor made anew for each block and language; ties go to the more frequent language."""
+    learned = langid.learn(docs) | {"zz": b""}
+    learned["ab"] = learned["en"]
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    for r in langid.identify(docs.withColumn("block", F.lit(1)), learned, F.lit(False)).collect():
+        data = rows[r.doc_id].lower().encode()
+        sizes = {}
+        for name, raw in learned.items():
+            known = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            plain = lambda b: zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False).compress(b)  # noqa: B023, E731
+            sizes[name] = sum(len(plain(data[i : i + 2048])) for i in range(0, len(data), 2048))
+        assert r.lang_pred == min(sizes, key=sizes.get) != "ab"
+
+
 def test_language_of_odd_rows(odd, none):
     learned = langid.learn(odd)
     rows = langid.identify(odd, learned, F.lit(False)).collect()
