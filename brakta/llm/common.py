@@ -35,6 +35,27 @@ def hashed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(20)), F.lit(1 << 30)) < cut)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, size: int, key: str, text: str) -> DataFrame:
+    """(doc_id, y, text): labelled texts, ``rows`` at most and ``size`` bytes at most in all, the same at every run.
+
+    They are taken in the order of a hash of id and text, passing over those that do not fit any more.
+    Equal rows count once; an id with two labels, or texts, is a row for each.  Runs two jobs; what is
+    broadcast, and what the driver sees, is bounded by ``rows``.
+    """
+    said = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), (F.col(label) > 0).cast("int").alias("y")).distinct()
+    chosen = hashed_sample(said, "doc_id", rows)
+    own = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    found = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text_hash", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).distinct()
+    left, taken = size, []
+    for r in found.orderBy(F.xxhash64("doc_id", "text_hash", F.lit(22)), "doc_id", "text_hash", "y").limit(rows).collect():
+        if r["n"] <= left:
+            left -= r["n"]
+            taken.append((r["doc_id"], r["y"], r["text_hash"]))
+    kind = dict(own.dtypes)["doc_id"]
+    few = docs.sparkSession.createDataFrame(taken, f"doc_id {kind}, y int, text_hash long")
+    return own.join(F.broadcast(few), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "y", "text_hash"]).select("doc_id", "y", "text")
+
+
 class Memo(dict):
     """A dictionary that computes what is missing, within a budget of bytes.
 

@@ -1,16 +1,21 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
 A text's terms are its words and tokens that tell its form (shares of capitals,
-punctuation, digits and repeated words, the shape of lines), all hashed.  From a
-bounded sample of labelled rows, weighted counts are factored by a truncated
-singular value decomposition; the projection and the labelled vectors, whose
-size the sample bounds, are shipped to the tasks.  Every document's cosine with
-every labelled vector is computed exactly, block by block, and its nearest
-neighbours vote with their similarity as weight.
+punctuation, digits and repeated words, the shape of lines), all hashed.  How much
+a form token weighs beside a word is learned: of a few weights, none among them,
+that one is taken whose votes, learned on one half of the labelled rows, fit the
+other half best.  From a bounded sample of labelled rows, weighted counts are
+factored by a truncated singular value decomposition; the projection and the
+labelled vectors, whose size the sample bounds, are shipped to the tasks.  Every
+document's cosine with every labelled vector is computed exactly, block by block,
+in double precision, and its nearest neighbours vote with their similarity as
+weight.  Similarities are rounded to nine digits, so that they do not depend on
+the block; of equal ones the earlier labelled row counts (by id, label, terms).
 
 Null and empty texts, and texts of unknown terms only, still have form tokens or
 else get the labelled base rate.  With no labelled rows every score is 0.5.
-Rows with a null label are not learned from.  Repeated rows are scored alike.
+Rows with a null label are not learned from.  Repeated rows are learned from once
+and scored alike.  Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -23,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brakta.llm.common import Memo, hashed_sample, map_arrow, term_hash, texts
+from brakta.llm.common import Memo, labelled_sample, map_arrow, term_hash, texts
+from brakta.llm.topk import best
 from brakta.llm.toxicity import bare
 
-#: How much a form token weighs beside a word.
-FORM_WEIGHT = 6.0
+#: Weights of a form token beside a word, among which the labelled rows decide.
+FORM_WEIGHTS = (0.0, 1.0, 3.0, 6.0)
 
 
 def step_of(share: float) -> int:
@@ -59,7 +65,7 @@ def form(text: str, chunks: list[str], counts: Counter) -> list[str]:
     return [f"\0{k} {step_of(v)}" for k, v in shares.items()] + [f"\0size {min(12, n.bit_length())}"]
 
 
-def weighted_terms(text: str, get) -> dict[int, float]:
+def weighted_terms(text: str, get, form_weight: float) -> dict[int, float]:
     """hash -> weight: damped counts of words, and form tokens."""
     chunks = text.split()
     counts = Counter(chunks)
@@ -69,9 +75,9 @@ def weighted_terms(text: str, get) -> dict[int, float]:
         if k is not None:
             found[k] = found.get(k, 0) + n
     out = {k: 1 + float(np.log(n)) for k, n in found.items()} if len(found) < 64 else dict(zip(found, (1 + np.log(np.fromiter(found.values(), float))).tolist(), strict=True))
-    if chunks:
+    if chunks and form_weight:
         for token in form(text, chunks, counts):
-            out[term_hash(token)] = FORM_WEIGHT
+            out[term_hash(token)] = form_weight
     return out
 
 
@@ -101,6 +107,7 @@ class Voters:
     projection: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
+    form_weight: float = FORM_WEIGHTS[-1]
     neighbours: int = 25
 
     def embed(self, rows: np.ndarray, keys: np.ndarray, vals: np.ndarray, n: int) -> np.ndarray:
@@ -112,37 +119,42 @@ class Voters:
             rows, at, vals = rows[known], at[known], vals[known]
             starts = np.flatnonzero(np.diff(rows, prepend=-1))
             if len(rows):
-                weighted = self.projection[at] * vals[:, None].astype(np.float32)
-                out[rows[starts]] = np.add.reduceat(weighted, starts, axis=0)
+                out[rows[starts]] = np.add.reduceat(self.projection[at] * vals[:, None], starts, axis=0)
         return unit(out)
 
-    def score(self, docs: list[dict[int, float]]) -> np.ndarray:
+    def vote(self, own: np.ndarray) -> np.ndarray:
+        """The scores of unit vectors."""
         n = len(self.labels)
         if not n:
-            return np.full(len(docs), 0.5)
-        base, k, scores = self.labels.mean(), min(self.neighbours, n), []
-        own = self.embed(*sparse(docs), len(docs)).astype(np.float32)
-        for at in range(0, len(docs), 512):
-            near = own[at : at + 512] @ self.vectors.T
-            # Ties at the last place go to the labelled rows that come first in argpartition's fixed order.
-            best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(near, best, 1), 0).astype(float) ** 8
-            total = weight.sum(1)
-            voted = (weight * self.labels[best]).sum(1)
-            scores.append(np.where(total > 1e-12, voted / np.maximum(total, 1e-12), base))
-        return np.clip(np.concatenate(scores), 0, 1)
-
-
-def train(rows: np.ndarray, keys: np.ndarray, vals: np.ndarray, labels: np.ndarray, rank: int = 48, min_docs: int = 4, max_terms: int = 40_000, seed: int = 5) -> Voters:
-    """Inverse document frequencies and a truncated decomposition, by a randomized range finder with power steps."""
+            return np.full(len(own), 0.5)
+        base, k, out = self.labels.mean(), min(self.neighbours, n), np.empty(len(own))
+        for at in range(0, len(own), 256):
+            near = np.round(own[at : at + 256] @ self.vectors.T, 9)
+            row, voter, similarity = best(near, np.arange(n), k)
+            weight = np.maximum(similarity, 0) ** 8
+            total = np.bincount(row, weight, len(near))
+            voted = np.bincount(row, weight * self.labels[voter], len(near))
+            out[at : at + 256] = np.where(total > 1e-12, voted / np.maximum(total, 1e-12), base)
+        return np.clip(out, 0, 1)
+
+    def score(self, docs: list[dict[int, float]]) -> np.ndarray:
+        return self.vote(self.embed(*sparse(docs), len(docs)))
+
+
+def train(rows: np.ndarray, keys: np.ndarray, vals: np.ndarray, labels: np.ndarray, form_weight: float = FORM_WEIGHTS[-1], rank: int = 48, min_docs: int = 4, max_terms: int = 40_000, seed: int = 5) -> Voters:
+    """Inverse document frequencies and a truncated decomposition, by a randomized range finder with power steps.
+
+    Entries of weight -1 are form tokens, which get ``form_weight``.
+    """
     n = len(labels)
     if not n:
-        return Voters(np.zeros(0, np.int64), np.zeros((0, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
+        return Voters(np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0), form_weight)
+    rows, keys, vals = reweighted(rows, keys, vals, form_weight)
     kept, seen = np.unique(keys, return_counts=True)
     frequent = np.sort(kept[np.argsort(-seen, kind="stable")[:max_terms]])
     kept = np.intersect1d(kept[seen >= min(min_docs, n)], frequent)
     if not len(kept):
-        return Voters(np.zeros(0, np.int64), np.zeros((0, 1), np.float32), np.zeros((n, 1), np.float32), labels)
+        return Voters(np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros((n, 1)), labels, form_weight)
     at = np.minimum(np.searchsorted(kept, keys), len(kept) - 1)
     known = kept[at] == keys
     all_entries = (rows, keys, vals)
@@ -157,42 +169,73 @@ def train(rows: np.ndarray, keys: np.ndarray, vals: np.ndarray, labels: np.ndarr
         q, _ = np.linalg.qr(product(rows, cols, scaled, x, n))
         x = product(cols, rows, scaled, q, len(kept))
     right = np.linalg.svd(x, full_matrices=False)[0][:, :rank]
-    voters = Voters(kept, (right * idf[:, None]).astype(np.float32), np.zeros((0, 1)), labels)
-    rows, keys, vals = all_entries
-    edges = np.searchsorted(rows, np.arange(0, n + 256, 256))
-    parts = [voters.embed(rows[s:e] - 256 * i, keys[s:e], vals[s:e], min(256, n - 256 * i)) for i, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if 256 * i < n]
-    voters.vectors = np.concatenate(parts).astype(np.float32)
+    voters = Voters(kept, right * idf[:, None], np.zeros((0, 1)), labels, form_weight)
+    voters.vectors = embed_all(voters, *all_entries, n)
     return voters
 
 
+def reweighted(rows: np.ndarray, keys: np.ndarray, vals: np.ndarray, form_weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries with form tokens (-1) at their weight; without them, where it is 0."""
+    if form_weight:
+        return rows, keys, np.where(vals < 0, form_weight, vals)
+    words = vals >= 0
+    return rows[words], keys[words], vals[words]
+
+
+def embed_all(voters: Voters, rows: np.ndarray, keys: np.ndarray, vals: np.ndarray, n: int) -> np.ndarray:
+    """Unit vectors of n rows, 256 at a time."""
+    edges = np.searchsorted(rows, np.arange(0, n + 256, 256))
+    return np.concatenate([voters.embed(rows[s:e] - 256 * i, keys[s:e], vals[s:e], min(256, n - 256 * i)) for i, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if 256 * i < n])
+
+
+def part(own: np.ndarray, rows: np.ndarray, keys: np.ndarray, vals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of the rows in the mask ``own``, rows counted anew."""
+    entries = own[rows]
+    return (np.cumsum(own) - 1)[rows[entries]], keys[entries], vals[entries]
+
+
+def learned_form_weight(rows: np.ndarray, keys: np.ndarray, vals: np.ndarray, labels: np.ndarray, seed: int = 9) -> float:
+    """The weight whose voters, trained on half of the labelled rows, have the least squared error on the others; of equal ones the least."""
+    own = np.random.default_rng(seed).random(len(labels)) < 0.5
+    if len(labels) < 40 or labels[own].min() == labels[own].max():
+        return FORM_WEIGHTS[-1]
+    asked = labels[~own]
+
+    def miss(weight: float) -> float:
+        voters = train(*part(own, rows, keys, vals), labels[own], weight)
+        votes = voters.vote(embed_all(voters, *reweighted(*part(~own, rows, keys, vals), weight), len(asked)))
+        return float(((votes - asked) ** 2).mean())
+
+    return min(FORM_WEIGHTS, key=lambda w: (round(miss(w), 6), w))
+
+
 def chunk_hash(chunk: str) -> int | None:
     word = bare(chunk)
     return term_hash(word) if word else None
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = 6000, key: str = "doc_id", text: str = "text") -> Voters:
-    """Learns from about ``sample_rows`` of the labelled rows given, chosen by hash of the id."""
-    chosen = hashed_sample(labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("y")), "doc_id", sample_rows)
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = 6000, sample_bytes: int = 24 << 20, form_weight: float | None = None, key: str = "doc_id", text: str = "text") -> Voters:
+    """Learns from ``sample_rows`` of the labelled rows given, and ``sample_bytes`` of their texts, at most; the form weight too, if none is given."""
 
     def make():
         get = Memo(chunk_hash).__getitem__
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            made = [weighted_terms(x, get) for x in texts(batch)]
+            made = [weighted_terms(x, get, -1.0) for x in texts(batch)]
             keys = pa.array([np.fromiter(d, np.uint32, len(d)).tobytes() for d in made], pa.binary())
             vals = pa.array([np.fromiter(d.values(), np.float32, len(d)).tobytes() for d in made], pa.binary())
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), keys, vals], ["doc_id", "y", "ks", "ws"])
 
         return step
 
-    # At most some sample_rows ids and labels: the side that is shipped is bounded by that parameter.
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    rows = labelled_sample(docs, labels, label, sample_rows, sample_bytes, key, text).select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text")
     got = map_arrow(rows, make, "doc_id long, y int, ks binary, ws binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["y"], bytes(r["ks"])))
     entries = np.repeat(np.arange(len(got)), [len(r["ks"]) // 4 for r in got])
     keys = np.frombuffer(b"".join(bytes(r["ks"]) for r in got), np.uint32).astype(np.int64)
     vals = np.frombuffer(b"".join(bytes(r["ws"]) for r in got), np.float32).astype(float)
-    return train(entries, keys, vals, np.array([min(1, max(0, r["y"])) for r in got], float))
+    truth = np.array([r["y"] for r in got], float)
+    return train(entries, keys, vals, truth, learned_form_weight(entries, keys, vals, truth) if form_weight is None else form_weight)
 
 
 def score(docs: DataFrame, voters: Voters, held_out: Column, threshold: float = 0.7, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,7 +249,7 @@ def score(docs: DataFrame, voters: Voters, held_out: Column, threshold: float =
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             values, scores = texts(batch), []
             for at in range(0, len(values), 256):
-                scores.append(model.score([weighted_terms(x, get) for x in values[at : at + 256]]))
+                scores.append(model.score([weighted_terms(x, get, model.form_weight) for x in values[at : at + 256]]))
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(np.concatenate(scores))], ["doc_id", "held_out", "score"])
 
         return step

@@ -10,7 +10,7 @@ tasks: its size is bounded by the sample, not by the corpus.
 Null and empty texts have no terms and get the machine's bias as their score.
 Very long texts are read whole; terms count once.  With no labelled rows every
 score is 0.5, and with one class only, that class' base rate.  Rows with a null
-label are not learned from.  Repeated rows are scored alike.
+label are not learned from.  Repeated rows are learned from once and scored alike.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brakta.llm.common import Memo, hashed_sample, map_arrow, term_hash, texts
+from brakta.llm.common import Memo, labelled_sample, map_arrow, term_hash, texts
 
 #: Lengths of the word beginnings that are terms.
 STEMS = (4, 5)
@@ -141,14 +141,11 @@ def hashed_terms(docs: DataFrame, columns: str) -> DataFrame:
     return map_arrow(docs.select(*kept, "text"), make, f"{columns}, terms binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = 12_000, key: str = "doc_id", text: str = "text") -> Machine:
-    """Learns from about ``sample_rows`` of the labelled rows given, chosen by hash of the id."""
-    chosen = hashed_sample(labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("y")), "doc_id", sample_rows)
-    # At most some sample_rows ids and labels: the side that is shipped is bounded by that parameter.
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = hashed_terms(rows, "doc_id long, y int").collect()
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = 12_000, sample_bytes: int = 48 << 20, key: str = "doc_id", text: str = "text") -> Machine:
+    """Learns from ``sample_rows`` of the labelled rows given, and ``sample_bytes`` of their texts, at most."""
+    got = hashed_terms(labelled_sample(docs, labels, label, sample_rows, sample_bytes, key, text), "doc_id long, y int").collect()
     got.sort(key=lambda r: (r["doc_id"], r["y"], bytes(r["terms"])))
-    return train([np.frombuffer(r["terms"], np.uint32) for r in got], np.array([min(1, max(0, r["y"])) for r in got], float))
+    return train([np.frombuffer(r["terms"], np.uint32) for r in got], np.array([r["y"] for r in got], float))
 
 
 def score(docs: DataFrame, machine: Machine, held_out: Column, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:

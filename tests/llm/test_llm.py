@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from brakta.llm import bpe, components, embed_dedup, langid, mixing, ngram_join, packing, quality, registry, suffix_dedup, token_count, topk, toxicity
-from brakta.llm.common import hashed_sample, id_crc
+from brakta.llm.common import Memo, hashed_sample, id_crc, labelled_sample
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -407,6 +407,60 @@ def test_labels_and_ids_are_no_inputs(spark):
     assert a == {r.doc_id - 10_000: r.score for r in toxicity.score(moved, machine, F.lit(False)).collect()}
 
 
+def test_machine_scores_are_the_sum_over_pairs(spark):
+    """The score of every text against weights and products of factors summed pair by pair."""
+    df, labels = labelled(spark)
+    machine = toxicity.fit(df, labels)
+    place = {int(k): i for i, k in enumerate(machine.keys)}
+    texts = {r.doc_id: r.text for r in df.collect()}
+    for r in toxicity.score(df, machine, F.lit(False)).filter("doc_id % 17 = 0").collect():
+        own = sorted({place[h] for c in texts[r.doc_id].split() for h in toxicity.chunk_hashes(c) if h in place})
+        z = machine.bias + sum(machine.weights[i] for i in own)
+        z += sum(float(machine.factors[i] @ machine.factors[j]) for n, i in enumerate(own) for j in own[n + 1 :])
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_votes_are_those_of_the_nearest_rows(spark):
+    """Scores against a plain sort of all cosines, ties by row; the same whatever the partitions."""
+    df, labels = labelled(spark)
+    more = lambda x: x.unionByName(x.filter("doc_id < 40").withColumn("doc_id", F.col("doc_id") + 10_000))
+    df = more(df)
+    voters = quality.fit(df, more(labels))
+    texts = {r.doc_id: r.text for r in df.collect()}
+    got = {r.doc_id: r.score for r in quality.score(df, voters, F.lit(False)).collect()}
+    assert got == {r.doc_id: r.score for r in quality.score(df.repartition(7), voters, F.lit(False)).collect()}
+    get = Memo(quality.chunk_hash).__getitem__
+    for doc in list(texts)[::29]:
+        own = voters.embed(*quality.sparse([quality.weighted_terms(texts[doc], get, voters.form_weight)]), 1)[0]
+        near = sorted(((-round(float(own @ v), 9), i) for i, v in enumerate(voters.vectors)))[: voters.neighbours]
+        weight = [max(-c, 0) ** 8 for c, _ in near]
+        want = sum(w * voters.labels[i] for w, (_, i) in zip(weight, near, strict=True)) / sum(weight)
+        assert abs(got[doc] - want) < 1e-6
+
+
+def test_form_weight_is_learned(spark):
+    """Where form tells the label and words do not, it gets weight; where words do, none is taken that is worse."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(words).upper() if i % 2 else rng.choice(words) for _ in range(40)), i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    assert quality.fit(df, df).form_weight > 0
+    rows = [(i, " ".join(f"{'good' if i % 2 else 'poor'}{rng.randrange(12)}" for _ in range(40)), i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    assert quality.fit(df, df).form_weight == 0
+
+
+def test_labelled_samples_are_bounded_by_rows_and_bytes(spark):
+    """One id with a third of all rows, its texts equal or not, and a text beyond the budget."""
+    docs = spark.range(900).select(F.when(F.col("id") < 300, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 450).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(7, "x" * 5000)], "doc_id long, text string"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    got = labelled_sample(docs, labels, "toxic", 100, 500, "doc_id", "text").collect()
+    assert 40 < len(got) <= 100 and sum(len(r.text) for r in got) <= 500
+    assert sorted(got) == sorted(labelled_sample(docs.repartition(9), labels.repartition(5), "toxic", 100, 500, "doc_id", "text").collect())
+    assert labelled_sample(docs, labels, "toxic", 5000, 1 << 20, "doc_id", "text").count() == docs.distinct().count()
+
+
 def test_samples_are_bounded_and_the_same(spark):
     df = spark.range(5000).withColumnRenamed("id", "k")
     a, b = (sorted(r.k for r in hashed_sample(df.repartition(n), "k", 500).collect()) for n in (2, 5))
