@@ -68,7 +68,7 @@ class Memo(dict):
     #: What an entry's place in the dictionary takes beside its objects.
     SLOT = 80
 
-    def __init__(self, compute: Callable, limit: int = 32 << 20, base: dict | None = None):
+    def __init__(self, compute: Callable, limit: int = 48 << 20, base: dict | None = None):
         super().__init__()
         self.compute, self.limit, self.left, self.elder, self.base = compute, limit, limit, {}, base or {}
 

@@ -23,6 +23,7 @@ class, no links, and is kept.  An empty table gives an empty one.
 
 from __future__ import annotations
 
+import functools
 from fractions import Fraction
 
 import numpy as np
@@ -42,7 +43,9 @@ BLANKS = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+@functools.lru_cache(maxsize=1)
 def word_hasher():
+    """word -> its 64-bit hash; a Python worker keeps the words it has met, within the memo's bytes."""
     return Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))).__getitem__
 
 

@@ -20,6 +20,7 @@ and scored alike.  Very long texts are read whole.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from dataclasses import dataclass
 
@@ -214,11 +215,17 @@ def chunk_hash(chunk: str) -> int | None:
     return term_hash(word) if word else None
 
 
+@functools.lru_cache(maxsize=1)
+def hasher():
+    """chunk -> the hash of its word; a Python worker keeps the chunks it has met, within the memo's bytes."""
+    return Memo(chunk_hash).__getitem__
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = 6000, sample_bytes: int = 24 << 20, form_weight: float | None = None, key: str = "doc_id", text: str = "text") -> Voters:
     """Learns from ``sample_rows`` of the labelled rows given, and ``sample_bytes`` of their texts, at most; the form weight too, if none is given."""
 
     def make():
-        get = Memo(chunk_hash).__getitem__
+        get = hasher()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             made = [weighted_terms(x, get, -1.0) for x in texts(batch)]
@@ -244,7 +251,7 @@ def score(docs: DataFrame, voters: Voters, held_out: Column, threshold: float =
 
     def make():
         model = shipped.value
-        get = Memo(chunk_hash).__getitem__
+        get = hasher()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             values, scores = texts(batch), []

@@ -15,6 +15,7 @@ label are not learned from.  Repeated rows are learned from once and scored alik
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,6 +59,12 @@ def chunk_hashes(chunk: str) -> tuple[int, ...]:
     return tuple(map(term_hash, word_terms(chunk)))
 
 
+@functools.lru_cache(maxsize=1)
+def hasher():
+    """chunk -> the hashes of its terms; a Python worker keeps the chunks it has met, within the memo's bytes."""
+    return Memo(chunk_hashes).__getitem__
+
+
 @dataclass
 class Machine:
     """Bias, weights and factors for the kept hashes (sorted)."""
@@ -67,6 +74,19 @@ class Machine:
     weights: np.ndarray
     factors: np.ndarray
 
+    @functools.cached_property
+    def known(self):
+        """chunk -> the ids of its kept terms; the tasks of a Python worker share it."""
+        where = {int(k): i for i, k in enumerate(self.keys)}
+        return Memo(lambda chunk: tuple(where[k] for k in chunk_hashes(chunk) if k in where)).__getitem__
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
+
+    def score_texts(self, values: list[str]) -> np.ndarray:
+        lists = [np.array(sorted(terms(x, self.known)), np.int64) for x in values]
+        return self.score(np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists), len(lists))
+
     def score(self, rows: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
         """Probabilities of n rows from their (row, term id) entries, rows rising."""
         linear = np.bincount(rows, self.weights[ids], n)
@@ -130,7 +150,7 @@ def hashed_terms(docs: DataFrame, columns: str) -> DataFrame:
     kept = [c.split()[0] for c in columns.split(", ")]
 
     def make():
-        get = Memo(chunk_hashes).__getitem__
+        get = hasher()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             made = [np.array(sorted(terms(x, get)), np.uint32).tobytes() for x in texts(batch)]
@@ -154,18 +174,9 @@ def score(docs: DataFrame, machine: Machine, held_out: Column, threshold: float
 
     def make():
         model = shipped.value
-        where = {int(k): i for i, k in enumerate(model.keys)}
-
-        def known(chunk: str) -> tuple[int, ...]:
-            return tuple(where[k] for k in chunk_hashes(chunk) if k in where)
-
-        get = Memo(known).__getitem__
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            lists = [np.array(sorted(terms(x, get)), np.int64) for x in texts(batch)]
-            rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-            scores = model.score(rows, np.concatenate(lists), len(lists))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores)], ["doc_id", "held_out", "score"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(model.score_texts(texts(batch)))], ["doc_id", "held_out", "score"])
 
         return step
 
@@ -180,13 +191,9 @@ def reject(docs: DataFrame, machine: Machine, threshold: float = 0.3, text: str
 
     def make():
         model = shipped.value
-        where = {int(k): i for i, k in enumerate(model.keys)}
-        get = Memo(lambda chunk: tuple(where[k] for k in chunk_hashes(chunk) if k in where)).__getitem__
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            lists = [np.array(sorted(terms(x, get)), np.int64) for x in texts(batch, text)]
-            rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-            return batch.filter(pa.array(model.score(rows, np.concatenate(lists), len(lists)) < threshold))
+            return batch.filter(pa.array(model.score_texts(texts(batch, text)) < threshold))
 
         return step
 

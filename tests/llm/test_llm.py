@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from brakta.llm import bpe, components, embed_dedup, langid, mixing, ngram_join, packing, quality, registry, suffix_dedup, token_count, topk, toxicity
-from brakta.llm.common import Memo, hashed_sample, id_crc, labelled_sample
+from brakta.llm.common import hashed_sample, id_crc, labelled_sample
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -340,6 +340,41 @@ def test_longer_documents_are_tilted_down(spark):
     assert np.abs(np.polyval(slope, [r["size"] for r in got]) - logs).max() < 0.05
 
 
+def test_tilts_are_those_of_a_plain_root_finder(spark):
+    """Each source's tilt against bisection over its documents; many sources, one of them with a third of all rows."""
+    rng = random.Random(21)
+    rows = [(i, " ".join(["w"] * rng.choice((1, 2, 5, 30, 200))), "hub" if i % 3 == 0 else f"s{rng.randrange(90):02d}") for i in range(1500)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    per = defaultdict(list)
+    names = {i: s for i, _, s in rows}
+    for r in got:
+        per[names[r.doc_id]].append(r)
+    want = plain_targets({s: sum(r.size for r in rs) for s, rs in per.items()})
+    for s, rs in per.items():
+        total, mean = sum(r.size for r in rs), sum(r.size for r in rs) / len(rs)
+        assert math.isclose(rs[0].target, want[s], rel_tol=1e-9)
+        if rs[0].target >= 2 * total * (1 - 1e-12):
+            assert all(r.rate == 2 for r in rs)
+            continue
+        low, high = -200.0, 200.0
+        for _ in range(200):
+            tilt = (low + high) / 2
+            value = sum(r.size * min(2.0, math.exp(min(1.0, tilt * r.size / mean))) for r in rs)
+            low, high = (tilt, high) if value < rs[0].target else (low, tilt)
+        assert all(math.isclose(r.rate, min(2.0, math.exp(min(1.0, tilt * r.size / mean))), rel_tol=1e-6) for r in rs)
+
+
+def test_ids_that_very_many_rows_share_are_mixed_by_row(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FEW", 10)
+    rows = [(7 if i % 3 else None, "a b c d", "x" if i % 2 else None) for i in range(600)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 600 and all(r.taken == r.copies * r.size and r.copies <= 2 for r in got)
+    taken = Counter()
+    for r in got:
+        taken[r.target] += r.taken
+    assert sorted(taken.items()) == [(1200.0, 1200), (2400.0, 2400)]
+
+
 def test_mix_of_odd_rows(odd, none):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(ODD)
@@ -429,7 +464,7 @@ def test_votes_are_those_of_the_nearest_rows(spark):
     texts = {r.doc_id: r.text for r in df.collect()}
     got = {r.doc_id: r.score for r in quality.score(df, voters, F.lit(False)).collect()}
     assert got == {r.doc_id: r.score for r in quality.score(df.repartition(7), voters, F.lit(False)).collect()}
-    get = Memo(quality.chunk_hash).__getitem__
+    get = quality.hasher()
     for doc in list(texts)[::29]:
         own = voters.embed(*quality.sparse([quality.weighted_terms(texts[doc], get, voters.form_weight)]), 1)[0]
         near = sorted(((-round(float(own @ v), 9), i) for i, v in enumerate(voters.vectors)))[: voters.neighbours]
