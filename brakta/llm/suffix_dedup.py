@@ -21,8 +21,9 @@ repeat, without losing any repeat:
 Equal contexts meet within each scan task before anything is dealt, so copies
 and common passages cost one row a task.  Null is the empty text.  Texts below
 ``width`` bytes keep everything.  Very long texts are read in overlapping slices.
-Rows that share an id are one document if their texts are equal; if not, they
-share what is removed.  A null id comes after all others.
+Rows that share an id are one document if their texts are equal; if not, they are
+documents of their own, in the order of a hash of the text (64 bits, ``variant``).
+A null id comes after all others.  Parts are as many as the texts' bytes ask for.
 """
 
 from __future__ import annotations
@@ -92,8 +93,9 @@ def contexts_of(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 # Packed lists travel as bytes: a count, hashes as they are, small columns compressed.
-def pack(h, ctx, doc, lo, n) -> bytes:
-    small = zstandard.compress(np.diff(doc, prepend=0).astype("<i8").tobytes() + lo.astype("<i4").tobytes() + n.astype("u1").tobytes(), 1)
+# A document is told by doc and var, its id and the hash of its text.
+def pack(h, ctx, doc, var, lo, n) -> bytes:
+    small = zstandard.compress(b"".join([*(np.diff(x, prepend=0).astype("<i8").tobytes() for x in (doc, var)), lo.astype("<i4").tobytes(), n.astype("u1").tobytes()]), 1)
     return struct.pack("<II", len(h), len(small)) + h.astype("<u8").tobytes() + ctx.astype("<u8").tobytes() + small
 
 
@@ -103,31 +105,34 @@ def unpack(blobs: list[bytes]) -> list[np.ndarray]:
         k, s = struct.unpack_from("<II", b)
         h, ctx = np.frombuffer(b, "<u8", k, 8), np.frombuffer(b, "<u8", k, 8 + 8 * k)
         small = zstandard.decompress(b[8 + 16 * k : 8 + 16 * k + s])
-        doc = np.cumsum(np.frombuffer(small, "<i8", k))
-        out.append((h, ctx, doc, np.frombuffer(small, "<i4", k, 8 * k), np.frombuffer(small, "u1", k, 12 * k)))
+        doc, var = (np.cumsum(np.frombuffer(small, "<i8", k, 8 * k * i)) for i in range(2))
+        out.append((h, ctx, doc, var, np.frombuffer(small, "<i4", k, 16 * k), np.frombuffer(small, "u1", k, 20 * k)))
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
-def firsts(h, ctx, doc, lo) -> tuple[np.ndarray, np.ndarray]:
-    """(order, first): rows by anchor, context and place, and whether each opens its (anchor, context) or is the same place again."""
-    order = np.lexsort((lo, doc, ctx, h))
-    h, ctx, doc, lo = h[order], ctx[order], doc[order], lo[order]
+def firsts(h, ctx, doc, var, lo) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that open their (anchor, context), and those that repeat it at another place; the same place again is in neither."""
+    order = np.lexsort((lo, var, doc, ctx, h))
+    h, ctx, doc, var, lo = (x[order] for x in (h, ctx, doc, var, lo))
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])
     head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    return order, new | ((doc == doc[head]) & (lo == lo[head]))
+    return order[new], order[(doc != doc[head]) | (var != var[head]) | (lo != lo[head])]
 
 
-def spans_blobs(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[int], list[bytes]]:
+def by_document(doc: np.ndarray, var: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, edges): rows by document, then by ``more``, and where each document begins, with the end."""
+    order = np.lexsort((*more[::-1], var, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(doc[order]) != 0) | (np.diff(var[order]) != 0)
+    return order, np.append(np.flatnonzero(new), len(order))
+
+
+def spans_blobs(doc: np.ndarray, var: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, int, bytes]]:
     """Spans, merged, as one list of bytes for each document."""
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
-    docs, blobs = [], []
-    edges = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1 if len(doc) else 0, append=0 if not len(doc) else doc[-1] + 1)) if len(doc) else []
-    for s, e in zip(edges[:-1], edges[1:], strict=True) if len(doc) else ():
-        docs.append(int(doc[s]))
-        blobs.append(merged(start[s:e], end[s:e]).astype("<i4").tobytes())
-    return docs, blobs
+    order, edges = by_document(doc, var, start)
+    doc, var, start, end = (x[order] for x in (doc, var, start, end))
+    return [(int(doc[s]), int(var[s]), merged(start[s:e], end[s:e]).astype("<i4").tobytes()) for s, e in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -137,69 +142,66 @@ def merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.stack([start[opens], np.append(top[opens[1:] - 1], top[-1])], 1)
 
 
+def dealt_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"part": pa.int32(), "doc_id": pa.int64(), "variant": pa.int64(), "data": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ((),) * 4, kinds.values(), strict=True)], list(kinds))
+
+
 def scan(width: int, parts: int, hot_in_batch: int):
     """Texts -> anchors by part of the hash (doc null), and repeats found on the spot (part null)."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc, var, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "variant", "text")), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 h, lo, n = contexts_of(data, width)
                 if len(h):
                     digest = xxhash.xxh3_64_intdigest
                     ctx = np.fromiter((digest(data[s:e]) for s, e in zip(lo.tolist(), (lo + n + width - 1).tolist(), strict=True)), np.uint64, len(h))
-                    found.append((h, ctx, np.full(len(h), doc), lo, n))
+                    found.append((h, ctx, np.full(len(h), doc), np.full(len(h), var), lo, n))
             rows: list[tuple] = []
             if found:
-                h, ctx, doc, lo, n = (np.concatenate(x) for x in zip(*found, strict=True))
-                order, first = firsts(h, ctx, doc, lo)
-                again = order[~first]
-                docs, blobs = spans_blobs(doc[again], lo[again], (lo + n)[again] + width - 1)
-                rows += [(None, d, b) for d, b in zip(docs, blobs, strict=True)]
-                kept = order[first]
-                # An anchor with very many contexts here: a mark (document -1) goes along for all to see.
+                h, ctx, doc, var, lo, n = (np.concatenate(x) for x in zip(*found, strict=True))
+                kept, again = firsts(h, ctx, doc, var, lo)
+                rows += [(None, *r) for r in spans_blobs(doc[again], var[again], lo[again], (lo + n)[again] + width - 1)]
+                # An anchor with very many contexts here: a mark (no windows) goes along for all to see.
                 kinds, counts = np.unique(h[kept], return_counts=True)
                 marks = kinds[counts > hot_in_batch]
-                h, ctx, doc, lo, n = (np.concatenate([x[kept], y]) for x, y in zip((h, ctx, doc, lo, n), (marks, *(np.full(len(marks), v) for v in (0, -1, 0, 0))), strict=True))
+                h, ctx, doc, var, lo, n = (np.concatenate([x[kept], y]) for x, y in zip((h, ctx, doc, var, lo, n), (marks, *(np.zeros(len(marks), int) for _ in range(5))), strict=True))
                 part = (h % np.uint64(parts)).astype(int)
-                order = np.lexsort((lo, doc, part))
+                order = np.lexsort((lo, var, doc, part))
                 edges = np.searchsorted(part[order], np.arange(parts + 1))
                 for p in np.flatnonzero(np.diff(edges)).tolist():
                     own = order[edges[p] : edges[p + 1]]
-                    rows.append((p, None, pack(h[own], ctx[own].astype(np.uint64), doc[own], lo[own], n[own])))
-            part, doc, blob = zip(*rows, strict=True) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(doc, pa.int64()), pa.array(blob, pa.binary())], ["part", "doc_id", "data"])
+                    rows.append((p, None, None, pack(h[own], ctx[own].astype(np.uint64), doc[own], var[own], lo[own], n[own])))
+            return dealt_rows(rows)
 
         return step
 
     return make
 
 
-def settle(width: int):
+def settle(width: int, many_contexts: int):
     """One part's anchors -> repeats (kind 0), and contexts to be compared (kind 1; 2 by window), for each document."""
 
     def one(table: pa.Table) -> pa.Table:
-        h, ctx, doc, lo, n = unpack(table.column("data").to_pylist())
-        mark = doc == -1
+        h, ctx, doc, var, lo, n = unpack(table.column("data").to_pylist())
+        mark, n = n == 0, n.astype(np.int64)
         hot = np.unique(h[mark])
-        h, ctx, doc, lo, n = (x[~mark] for x in (h, ctx, doc, lo, n.astype(np.int64)))
-        order, first = firsts(h, ctx, doc, lo)
-        again, kept = order[~first], order[first]
-        docs, blobs = spans_blobs(doc[again], lo[again], (lo + n)[again] + width - 1)
-        kind = [0] * len(docs)
+        h, ctx, doc, var, lo, n = (x[~mark] for x in (h, ctx, doc, var, lo, n))
+        kept, again = firsts(h, ctx, doc, var, lo)
+        rows = [(0, *r) for r in spans_blobs(doc[again], var[again], lo[again], (lo + n)[again] + width - 1)]
         _, inverse, counts = np.unique(h[kept], return_inverse=True, return_counts=True)
         many = kept[counts[inverse] > 1]
-        wide = np.isin(h[many], hot) | (counts[inverse][counts[inverse] > 1] > HOT)
+        wide = np.isin(h[many], hot) | (counts[inverse][counts[inverse] > 1] > many_contexts)
         for k, own in ((1, many[~wide]), (2, many[wide])):
-            own = own[np.argsort(doc[own], kind="stable")]
-            edges = np.flatnonzero(np.diff(doc[own], prepend=-2, append=-2)) if len(own) else []
-            for s, e in zip(edges[:-1], edges[1:], strict=True) if len(own) else ():
+            order, edges = by_document(doc[own], var[own])
+            own = own[order]
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
                 x = own[s:e]
-                docs.append(int(doc[x[0]]))
-                kind.append(k)
-                blobs.append(h[x].astype("<u8").tobytes() + lo[x].astype("<i4").tobytes() + n[x].astype("u1").tobytes())
-        return pa.table({"kind": pa.array(kind, pa.int8()), "doc_id": pa.array(docs, pa.int64()), "data": pa.array(blobs, pa.binary())})
+                rows.append((k, int(doc[x[0]]), int(var[x[0]]), h[x].astype("<u8").tobytes() + lo[x].astype("<i4").tobytes() + n[x].astype("u1").tobytes()))
+        return pa.table({c: pa.array(x, t) for (c, t), x in zip((("kind", pa.int8()), ("doc_id", pa.int64()), ("variant", pa.int64()), ("data", pa.binary())), zip(*rows, strict=True) if rows else ((),) * 4, strict=True)})
 
     return one
 
@@ -210,38 +212,41 @@ def fetch(width: int, parts: int):
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             heads: dict[int, list] = {}
-            seen: dict[bytes, tuple[int, int]] = {}
-            doubles: list[tuple[int, int]] = []
-            for doc, text, cold, hot in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "cold", "hot")), strict=True):
+            seen: dict[bytes, tuple[int, int, int]] = {}
+            doubles: list[tuple[int, int, int]] = []
+            met = set()
+            for doc, var, text, cold, hot in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "variant", "text", "cold", "hot")), strict=True):
+                if (doc, var) in met:
+                    continue
+                met.add((doc, var))
                 data = (text or "").encode("utf-8", "surrogatepass")
                 for blobs, by_window in ((cold, False), (hot, True)):
                     for b in blobs or ():
                         k = len(b) // 13
                         for h, lo, n in zip(np.frombuffer(b, "<u8", k).tolist(), np.frombuffer(b, "<i4", k, 8 * k).tolist(), np.frombuffer(b, "u1", k, 12 * k).tolist(), strict=True):
                             if not by_window:
-                                heads.setdefault(h % parts, []).append((doc, lo, data[lo : lo + n + width - 1]))
+                                heads.setdefault(h % parts, []).append((doc, var, lo, data[lo : lo + n + width - 1]))
                                 continue
                             for s in range(lo, lo + n):
                                 w = data[s : s + width]
                                 before = seen.get(w)
-                                if before is None or (doc, s) < before:
-                                    seen[w], other = (doc, s), before
+                                if before is None or (doc, var, s) < before:
+                                    seen[w], other = (doc, var, s), before
                                 else:
-                                    other = (doc, s)
+                                    other = (doc, var, s)
                                 if other and other != seen[w]:
                                     doubles.append(other)
-            for w, (doc, s) in seen.items():
-                heads.setdefault(xxhash.xxh3_64_intdigest(w) % parts, []).append((doc, s, w))
-            rows = []
+            for w, (doc, var, s) in seen.items():
+                heads.setdefault(xxhash.xxh3_64_intdigest(w) % parts, []).append((doc, var, s, w))
+            rows: list[tuple] = []
             for p, items in heads.items():
-                doc, lo, data = zip(*items, strict=True)
+                doc, var, lo, data = zip(*items, strict=True)
                 size = np.array([len(x) for x in data], "<u2")
-                rows.append((p, None, struct.pack("<I", len(items)) + np.array(doc, "<i8").tobytes() + np.array(lo, "<i4").tobytes() + size.tobytes() + b"".join(data)))
+                rows.append((p, None, None, struct.pack("<I", len(items)) + np.array(doc, "<i8").tobytes() + np.array(var, "<i8").tobytes() + np.array(lo, "<i4").tobytes() + size.tobytes() + b"".join(data)))
             if doubles:
-                doc, s = (np.array(x) for x in zip(*doubles, strict=True))
-                rows += [(None, d, b) for d, b in zip(*spans_blobs(doc, s, s + width), strict=True)]
-            part, doc, blob = zip(*rows, strict=True) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(doc, pa.int64()), pa.array(blob, pa.binary())], ["part", "doc_id", "data"])
+                doc, var, s = (np.array(x) for x in zip(*doubles, strict=True))
+                rows += [(None, *r) for r in spans_blobs(doc, var, s, s + width)]
+            return dealt_rows(rows)
 
         return step
 
@@ -329,14 +334,13 @@ def compare(width: int):
     """Contexts of one part -> spans of windows that also start earlier."""
 
     def one(table: pa.Table) -> pa.Table:
-        docs, los, sizes, texts = [], [], [], []
+        lists: list[list[np.ndarray]] = [[] for _ in range(5)]
         for b in table.column("data").to_pylist():
             k = struct.unpack_from("<I", b)[0]
-            docs.append(np.frombuffer(b, "<i8", k, 4))
-            los.append(np.frombuffer(b, "<i4", k, 4 + 8 * k))
-            sizes.append(np.frombuffer(b, "<u2", k, 4 + 12 * k))
-            texts.append(np.frombuffer(b, np.uint8, -1, 4 + 14 * k))
-        doc, lo, size, text = (np.concatenate(x) for x in (docs, los, sizes, texts))
+            columns = (("<i8", k, 4), ("<i8", k, 4 + 8 * k), ("<i4", k, 4 + 16 * k), ("<u2", k, 4 + 20 * k), (np.uint8, -1, 4 + 22 * k))
+            for own, (kind, n, at) in zip(lists, columns, strict=True):
+                own.append(np.frombuffer(b, kind, n, at))
+        doc, var, lo, size, text = (np.concatenate(x) for x in lists)
         size = size.astype(np.int64)
         begin = np.cumsum(size) - size
         owner = np.repeat(np.arange(len(size)), size)
@@ -345,49 +349,52 @@ def compare(width: int):
         group = np.cumsum(~same_prefix(text, order, width))
         many = np.bincount(group)[group] > 1
         order, group = order[many], group[many]
-        d, s = doc[owner[order]], lo[owner[order]].astype(np.int64) + order - begin[owner[order]]
-        by = np.lexsort((s, d, group))
-        d, s, group = d[by], s[by], group[by]
+        own = owner[order]
+        d, v, s = doc[own], var[own], lo[own].astype(np.int64) + order - begin[own]
+        by = np.lexsort((s, v, d, group))
+        d, v, s, group = d[by], v[by], s[by], group[by]
         head = np.maximum.accumulate(np.where(np.diff(group, prepend=-1) != 0, np.arange(len(group)), 0)) if len(group) else np.zeros(0, int)
-        later = (d != d[head]) | (s != s[head])
-        names, blobs = spans_blobs(d[later], s[later], s[later] + width)
-        return pa.table({"doc_id": pa.array(names, pa.int64()), "data": pa.array(blobs, pa.binary())})
+        later = (d != d[head]) | (v != v[head]) | (s != s[head])
+        rows = spans_blobs(d[later], v[later], s[later], s[later] + width)
+        return pa.table({c: pa.array(x, t) for (c, t), x in zip((("doc_id", pa.int64()), ("variant", pa.int64()), ("data", pa.binary())), zip(*rows, strict=True) if rows else ((),) * 3, strict=True)})
 
     return one
 
 
-def repeats(docs: DataFrame, width: int = 100, docs_per_part: int = 4096, hot_in_batch: int = HOT_IN_BATCH) -> DataFrame:
-    """(doc_id, spans): for each document with repeats, lists of (start, end) pairs as little-endian 32-bit integers.
+def repeats(docs: DataFrame, width: int = 100, part_bytes: int = 8 << 20, hot_in_batch: int = HOT_IN_BATCH, many_contexts: int = HOT) -> DataFrame:
+    """(doc_id, variant, spans): for each document with repeats, lists of (start, end) pairs as little-endian 32-bit integers.
 
-    docs: (doc_id, text), ids not null.
+    docs: (doc_id, variant, text), ids not null.  A part's task holds the anchors of about ``part_bytes`` of text.
     """
-    parts = max(16, docs.count() // docs_per_part)
-    scanned = map_arrow(docs.select("doc_id", "text"), scan(width, parts, hot_in_batch), "part int, doc_id long, data binary")
-    # Repeats found on the spot pass through the parts' tasks: one scan of the texts serves both.
-    dealt = scanned.withColumn("part", F.coalesce("part", -1 - F.pmod("doc_id", F.lit(parts)).cast("int")))
-    own = settle(width)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(16, -(-size // part_bytes))
+    dealt = "part int, doc_id long, variant long, data binary"
+    # Repeats found on the spot pass through the parts' tasks, dealt by document: one scan of the texts serves both.
+    part = F.coalesce("part", -1 - F.pmod("variant", F.lit(parts)).cast("int"))
+    scanned = map_arrow(docs.select("doc_id", "variant", "text"), scan(width, parts, hot_in_batch), dealt).withColumn("part", part)
+    own = settle(width, many_contexts)
 
     def settle_part(table: pa.Table) -> pa.Table:
         if table.column("part")[0].as_py() < 0:
-            n = table.num_rows
-            return pa.table({"kind": pa.array([0] * n, pa.int8()), "doc_id": table.column("doc_id"), "data": table.column("data")})
+            return table.select(["doc_id", "variant", "data"]).add_column(0, "kind", pa.array([0] * table.num_rows, pa.int8()))
         return own(table)
 
-    settled = stage(dealt.groupBy("part").applyInArrow(settle_part, "kind byte, doc_id long, data binary"), "anchors")
-    lists = settled.filter("kind > 0").groupBy("doc_id").agg(F.collect_list(F.when(F.col("kind") == 1, F.col("data"))).alias("cold"), F.collect_list(F.when(F.col("kind") == 2, F.col("data"))).alias("hot"))
-    fetched = map_arrow(docs.select("doc_id", "text").join(lists, "doc_id"), fetch(width, parts), "part int, doc_id long, data binary")
-    ready = fetched.withColumn("part", F.coalesce("part", -1 - F.pmod("doc_id", F.lit(parts)).cast("int")))
+    settled = stage(scanned.groupBy("part").applyInArrow(settle_part, "kind byte, doc_id long, variant long, data binary"), "anchors")
+    document = ["doc_id", "variant"]
+    lists = settled.filter("kind > 0").groupBy(document).agg(F.collect_list(F.when(F.col("kind") == 1, F.col("data"))).alias("cold"), F.collect_list(F.when(F.col("kind") == 2, F.col("data"))).alias("hot"))
+    fetched = map_arrow(docs.select(*document, "text").join(lists, document), fetch(width, parts), dealt).withColumn("part", part)
     look = compare(width)
 
     def compare_part(table: pa.Table) -> pa.Table:
-        return table.select(["doc_id", "data"]) if table.column("part")[0].as_py() < 0 else look(table)
+        return table.select(["doc_id", "variant", "data"]) if table.column("part")[0].as_py() < 0 else look(table)
 
-    found = stage(ready.groupBy("part").applyInArrow(compare_part, "doc_id long, data binary"), "repeats")
-    return settled.filter("kind = 0").select("doc_id", "data").unionByName(found).groupBy("doc_id").agg(F.collect_list("data").alias("spans"))
+    found = stage(fetched.groupBy("part").applyInArrow(compare_part, "doc_id long, variant long, data binary"), "repeats")
+    return settled.filter("kind = 0").select(*document, "data").unionByName(found).groupBy(document).agg(F.collect_list("data").alias("spans"))
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.withColumn("doc_id", F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID))).withColumn("text", F.col(text))
+    """(doc_id, variant, text): an id that is never null, and a hash of the text."""
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64(text).alias("variant"), F.col(text).alias("text"))
 
 
 def union_of(spans: list[bytes] | None, size: int) -> np.ndarray:
@@ -407,9 +414,9 @@ def kept_bytes(data: bytes, spans: np.ndarray) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def digest(docs: DataFrame, width: int = 100, key: str = "doc_id", text: str = "text", hot_in_batch: int = HOT_IN_BATCH) -> DataFrame:
+def digest(docs: DataFrame, width: int = 100, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs``."""
-    own = keyed(docs.select(key, text), key, text).select("doc_id", "text")
+    own = keyed(docs, key, text)
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -424,7 +431,7 @@ def digest(docs: DataFrame, width: int = 100, key: str = "doc_id", text: str = "
 
         return step
 
-    made = map_arrow(own.join(repeats(own, width, hot_in_batch=hot_in_batch), "doc_id", "left"), make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    made = map_arrow(own.join(repeats(own, width, **how), ["doc_id", "variant"], "left"), make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return made.withColumn("doc_id", F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")))
 
 
@@ -433,9 +440,9 @@ def remove_repeats(docs: DataFrame, width: int = 100, key: str = "doc_id", text:
 
     Rows whose whole text goes stay with an empty text, or go if ``keep_empty`` is false.
     """
-    named = docs.withColumn("__id", F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)))
-    spans = repeats(named.select(F.col("__id").alias("doc_id"), F.col(text).alias("text")), width).withColumnRenamed("doc_id", "__id").withColumnRenamed("spans", "__spans")
-    joined = named.join(spans, "__id", "left")
+    named = docs.withColumns({"__id": F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)), "__variant": F.xxhash64(text)})
+    spans = repeats(keyed(docs, key, text), width)
+    joined = named.join(spans.select(*(F.col(c).alias(k) for c, k in (("doc_id", "__id"), ("variant", "__variant"), ("spans", "__spans")))), ["__id", "__variant"], "left")
     columns = docs.columns
 
     def make():

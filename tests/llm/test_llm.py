@@ -204,6 +204,32 @@ def test_two_stage_order_is_the_sorted_one():
         assert suffix_dedup.same_prefix(text, order, width).tolist() == [False, *(a == b for a, b in zip(keys, keys[1:], strict=False))]
 
 
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    """Ids that are negative, null or repeated: as a brute force over rows in the order of (id, hash of the text), equal rows once."""
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(300)]
+    passage = " ".join(rng.choice(words) for _ in range(30))
+    make = lambda: " ".join(rng.choice(words) for _ in range(40))
+    rows = [(i, make() + (passage if rng.random() < 0.6 else "") + make()) for i in (-1, -1, -7, 3, 3, 3, None, None, None, 8)]
+    rows += [rows[0], rows[0], rows[6], (None, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kinds = {(r.doc_id, r.text): r.v for r in df.withColumn("v", F.xxhash64("text")).collect()}
+    order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, kinds[r]))
+    want = brute_repeats([(n, r[1]) for n, r in enumerate(order)], 100)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digest(df).collect()), key=repr)
+    assert got == sorted(((r[0], *want[order.index(r)]) for r in rows), key=repr)
+    assert sum(n[1] > 0 for n in want.values()) >= 3
+
+
+def test_anchors_with_many_contexts_in_all(spark):
+    """Dealt by window because of their number over all batches: the same result."""
+    rows = repeat_rows(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_repeats(rows, 100)
+    for r in suffix_dedup.digest(df, many_contexts=1).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id]
+
+
 def test_repeats_of_odd_rows(odd, none):
     rows = suffix_dedup.digest(odd).collect()
     assert len(rows) == len(ODD)
@@ -672,6 +698,35 @@ def test_vector_links_have_high_recall(spark, block):
     assert got[1000][0] >= 5
 
 
+def test_tables_are_as_wide_as_the_vectors_are_many():
+    """More vectors, longer substrings; enough tables for the recall that is measured; pairs at the threshold are within the radius."""
+    sample = np.random.default_rng(2).normal(size=(600, 48))
+    few, many = (embed_dedup.learn_tables(sample, n, 0.93) for n in (2000, 10_000_000))
+    assert few.width == 8 and many.width > 10 and many.count > few.count
+    fresh = np.random.default_rng(5).normal(size=(2000, 48))
+    other = embed_dedup.turned(fresh, 0.93, 6)
+    assert np.allclose((embed_dedup.unit(fresh) * other).sum(1), 0.93)
+    for tables in (few, many):
+        (k1, c1), (k2, c2) = (tables.codes(x) for x in (fresh, other))
+        apart = np.unpackbits(c1 ^ c2, axis=1).sum(1)
+        assert ((k1 == k2).any(1) & (apart <= tables.radius)).mean() > 0.97
+
+
+def test_vectors_of_several_lengths_and_repeated_ids(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for n in (6, 16, 40):
+        base = rng.normal(size=(40, n))
+        rows += [(len(rows) + i, v.tolist(), 1) for i, v in enumerate(np.concatenate([base, base + rng.normal(0, 0.02, base.shape)]))]
+    df = spark.createDataFrame(rows, VECTORS)
+    got = {r.vec_id: (r.component_id, r.n_links) for r in embed_dedup.near_duplicates(df).collect()}
+    want = plain_vector_links([r for r in rows], 0.93)
+    assert got == want
+    twice = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (None, [1.0, 0.0], 0)], VECTORS)
+    found = sorted((r.vec_id or 0, r.component_id, r.n_links, r.kept) for r in embed_dedup.near_duplicates(twice).collect())
+    assert found == [(0, None, 0, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], VECTORS)
     assert embed_dedup.near_duplicates(empty).count() == 0
