@@ -97,7 +97,8 @@ def turned(vectors: np.ndarray, cosine: float, seed: int) -> np.ndarray:
 def learn_tables(sample: np.ndarray, n: int, threshold: float, recall: float = 0.995, most: int = 64, seed: int = 3) -> Tables:
     """Tables for ``n`` vectors, so that ``recall`` of the sample's pairs at the threshold meet."""
     # Every fourth vector measures what the others teach: codes fit the vectors that they are learned from too well.
-    probe, sample = (sample[::4][:2048], sample[np.arange(len(sample)) % 4 > 0]) if len(sample) >= 64 else (sample, sample)
+    few = len(sample) < 64
+    probe, sample = (sample, sample) if few else (sample[::4][:2048], sample[np.arange(len(sample)) % 4 > 0])
     bits = min(64, sample.shape[1], len(sample))
     pairs = probe, turned(probe, min(1.0, max(-1.0, threshold)), seed)
     learned = [learn_rotation(sample, bits, seed=seed)]
@@ -121,7 +122,8 @@ def learn_tables(sample: np.ndarray, n: int, threshold: float, recall: float = 0
             break
     used = -(-found.count // (bits // found.width))
     found.projections = found.projections[:used]
-    found.radius = int(sum((a != b).sum(1) for a, b in zip(sides[0][:used], sides[1][:used], strict=True)).max())
+    # Too few vectors to measure a radius by: every pair of a bucket is compared.
+    found.radius = used * bits if few else int(sum((a != b).sum(1) for a, b in zip(sides[0][:used], sides[1][:used], strict=True)).max())
     return found
 
 

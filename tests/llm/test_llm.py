@@ -719,8 +719,8 @@ def test_vectors_of_several_lengths_and_repeated_ids(spark):
         base = rng.normal(size=(40, n))
         rows += [(len(rows) + i, v.tolist(), 1) for i, v in enumerate(np.concatenate([base, base + rng.normal(0, 0.02, base.shape)]))]
     df = spark.createDataFrame(rows, VECTORS)
-    got = {r.vec_id: (r.component_id, r.n_links) for r in embed_dedup.near_duplicates(df).collect()}
-    want = plain_vector_links([r for r in rows], 0.93)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df).collect()}
+    want = plain_vector_links(rows, 0.93)
     assert got == want
     twice = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (None, [1.0, 0.0], 0)], VECTORS)
     found = sorted((r.vec_id or 0, r.component_id, r.n_links, r.kept) for r in embed_dedup.near_duplicates(twice).collect())
