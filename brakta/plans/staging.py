@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_STAGED: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,15 +36,36 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder (this runs it) and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brakta/{tag}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _folders(df: DataFrame) -> set[str]:
+    return {f.rpartition("/")[0] for f in df.inputFiles()}
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a staged table once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+    for name in _folders(df):
         if "/brakta/" in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, name)
+
+
+def stage_alone(df: DataFrame, tag: str, since: int) -> DataFrame:
+    """Stage ``df`` and delete whatever else was staged since the mark that ``staged()`` gave: its rows read nothing else any more."""
+    spark, out = df.sparkSession, stage(df, tag)
+    for path in _STAGED[since:-1]:
+        _delete(spark, path)
+    del _STAGED[since:-1]
+    return out
+
+
+def staged() -> int:
+    """A mark: how many tables this process has staged and not taken back by ``stage_alone``."""
+    return len(_STAGED)
