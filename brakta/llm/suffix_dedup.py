@@ -370,7 +370,7 @@ def repeats(docs: DataFrame, width: int = 100, part_bytes: int = 8 << 20, hot_in
     parts = max(16, -(-size // part_bytes))
     dealt = "part int, doc_id long, variant long, data binary"
     # Repeats found on the spot pass through the parts' tasks, dealt by document: one scan of the texts serves both.
-    part = F.coalesce("part", -1 - F.pmod("variant", F.lit(parts)).cast("int"))
+    part = F.coalesce("part", -1 - F.pmod(F.xxhash64("doc_id", "variant"), F.lit(parts)).cast("int"))
     scanned = map_arrow(docs.select("doc_id", "variant", "text"), scan(width, parts, hot_in_batch), dealt).withColumn("part", part)
     own = settle(width, many_contexts)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from brakta.llm import mixing, ngram_join, packing, suffix_dedup, toxicity
 from brakta.llm.common import id_crc, read
 from brakta.llm.registry import tokenizer
-from brakta.plans.staging import stage
+from brakta.plans.staging import stage, stage_alone, staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ROW = "__row"
@@ -71,8 +71,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; what each returns is written to the shared folder and read again."""
+    """All stages on ``documents``; what each returns is written to the shared folder and read again, and the tables it made on the way are deleted."""
     docs = read(spark, sf_dir, "documents")
     for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        mark = staged()
+        docs = stage_alone(function(spark, docs, sf_dir), f"pipeline-{name}", mark)
     return STAGES[-1][1](spark, docs, sf_dir)
