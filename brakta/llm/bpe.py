@@ -8,7 +8,6 @@ encoding.  ``WordBpe`` refuses vocabularies for which that does not hold;
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 from array import array
@@ -16,7 +15,7 @@ from array import array
 import regex
 from tokenizers import Tokenizer
 
-from brakta.llm.common import Memo
+from brakta.llm.common import Memo, kept
 
 #: str.split() takes these for white space, the vocabulary's pattern does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -45,7 +44,7 @@ class WordBpe:
         self.letters = dict(enumerate(byte_letters()))
         # The same alternatives where all letters and digits are ASCII; Python's own engine is faster.
         self.ascii_pieces = re.compile(split["pattern"]["Regex"].replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"\p{L}\p{N}", "a-z0-9")).findall
-        self.piece_ids = Memo(lambda piece: array("I", [t.id for t in self.model.tokenize(piece)]).tobytes())
+        self.piece_ids = Memo(lambda piece: array("I", [t.id for t in self.model.tokenize(piece)]).tobytes(), limit=32 << 20)
 
     @staticmethod
     def by_chunk(config: dict) -> bool:
@@ -100,12 +99,12 @@ class WordBpe:
         return [w for w, e in zip(words, self.library.encode_batch(words, add_special_tokens=False), strict=True) if len(e.ids) == 1]
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str):
-    """text -> its ids as little-endian unsigned 32-bit integers.
+    """text -> its ids as little-endian unsigned 32-bit integers; a Python worker keeps the words it has met, within the memos' bytes."""
+    return kept(("encoder", path), lambda: make_encoder(path))
 
-    A Python worker that runs several tasks keeps what it has met, within the bytes of the memos.
-    """
+
+def make_encoder(path: str):
     try:
         own = WordBpe(path)
     except ValueError:

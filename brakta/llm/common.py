@@ -89,6 +89,22 @@ class Memo(dict):
         return value
 
 
+#: What a Python worker keeps from task to task: the tables of one operator, told by a key.
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable):
+    """What ``make`` returns, kept for the worker's next tasks until another operator keeps something, or runs a task without.
+
+    So what a worker holds is bounded by one operator's memos.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    _KEPT[None] = True
+    return _KEPT[key]
+
+
 def term_hash(term: str) -> int:
     return zlib.crc32(term.encode("utf-8", "surrogatepass"))
 
@@ -102,7 +118,10 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     """``mapInArrow`` with ``make()`` called once a task, so that tables are built once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _KEPT.pop(None, None)
         step = make()
+        if None not in _KEPT:
+            _KEPT.clear()
         for batch in batches:
             # At most some 16 MB and 2048 rows at a time, but a row at least.
             rows = max(1, min(2048, (batch.num_rows << 24) // max(1, batch.nbytes)))

@@ -23,7 +23,6 @@ class, no links, and is kept.  An empty table gives an empty one.
 
 from __future__ import annotations
 
-import functools
 from fractions import Fraction
 
 import numpy as np
@@ -32,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brakta.llm.common import Memo, map_arrow, map_groups, texts
+from brakta.llm.common import Memo, kept, map_arrow, map_groups, texts
 from brakta.llm.components import connected_components, hub_join
 from brakta.llm.embed_dedup import forest
 from brakta.plans.staging import stage, unstage
@@ -43,10 +42,9 @@ BLANKS = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-@functools.lru_cache(maxsize=1)
 def word_hasher():
     """word -> its 64-bit hash; a Python worker keeps the words it has met, within the memo's bytes."""
-    return Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))).__getitem__
+    return kept("word hashes", lambda: Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))).__getitem__)
 
 
 def shingles(text: str, get, n: int = 5) -> np.ndarray:

@@ -20,7 +20,6 @@ and scored alike.  Very long texts are read whole.
 
 from __future__ import annotations
 
-import functools
 from collections import Counter
 from dataclasses import dataclass
 
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brakta.llm.common import Memo, labelled_sample, map_arrow, term_hash, texts
+from brakta.llm.common import Memo, kept, labelled_sample, map_arrow, term_hash, texts
 from brakta.llm.topk import best
 from brakta.llm.toxicity import bare
 
@@ -215,10 +214,9 @@ def chunk_hash(chunk: str) -> int | None:
     return term_hash(word) if word else None
 
 
-@functools.lru_cache(maxsize=1)
 def hasher():
     """chunk -> the hash of its word; a Python worker keeps the chunks it has met, within the memo's bytes."""
-    return Memo(chunk_hash).__getitem__
+    return kept("word hashes of chunks", lambda: Memo(chunk_hash).__getitem__)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = 6000, sample_bytes: int = 24 << 20, form_weight: float | None = None, key: str = "doc_id", text: str = "text") -> Voters:

@@ -15,7 +15,6 @@ label are not learned from.  Repeated rows are learned from once and scored alik
 
 from __future__ import annotations
 
-import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brakta.llm.common import Memo, labelled_sample, map_arrow, term_hash, texts
+from brakta.llm.common import Memo, kept, labelled_sample, map_arrow, term_hash, texts
 
 #: Lengths of the word beginnings that are terms.
 STEMS = (4, 5)
@@ -59,10 +58,9 @@ def chunk_hashes(chunk: str) -> tuple[int, ...]:
     return tuple(map(term_hash, word_terms(chunk)))
 
 
-@functools.lru_cache(maxsize=1)
 def hasher():
     """chunk -> the hashes of its terms; a Python worker keeps the chunks it has met, within the memo's bytes."""
-    return Memo(chunk_hashes).__getitem__
+    return kept("term hashes", lambda: Memo(chunk_hashes).__getitem__)
 
 
 @dataclass
@@ -74,17 +72,14 @@ class Machine:
     weights: np.ndarray
     factors: np.ndarray
 
-    @functools.cached_property
     def known(self):
-        """chunk -> the ids of its kept terms; the tasks of a Python worker share it."""
+        """chunk -> the ids of its kept terms."""
         where = {int(k): i for i, k in enumerate(self.keys)}
         return Memo(lambda chunk: tuple(where[k] for k in chunk_hashes(chunk) if k in where)).__getitem__
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "known"}
-
-    def score_texts(self, values: list[str]) -> np.ndarray:
-        lists = [np.array(sorted(terms(x, self.known)), np.int64) for x in values]
+    def score_texts(self, values: list[str], get) -> np.ndarray:
+        """Probabilities of texts, through ``get`` (chunk -> ids)."""
+        lists = [np.array(sorted(terms(x, get)), np.int64) for x in values]
         return self.score(np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists), len(lists))
 
     def score(self, rows: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
@@ -107,10 +102,12 @@ def train(documents: list[np.ndarray], labels: np.ndarray, factors: int = 8, min
     """Logistic loss by AdaGrad over small batches; the same machine for the same sample."""
     if not len(documents):
         return Machine(np.zeros(0, np.uint32), 0.0, np.zeros(0), np.zeros((0, factors)))
+    # Sorted in place: the terms of all documents are held twice at most.
     flat = np.concatenate(documents)
-    keys, counts = np.unique(flat, return_counts=True)
-    keys = keys[counts >= min_docs]
-    del flat, counts
+    flat.sort()
+    starts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, int)
+    keys = flat[starts[np.diff(starts, append=len(flat)) >= min_docs]]
+    del flat, starts
     base = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
     bias = float(np.log(base / (1 - base)))
     w, v = np.zeros(len(keys)), np.zeros((len(keys), factors))
@@ -174,9 +171,10 @@ def score(docs: DataFrame, machine: Machine, held_out: Column, threshold: float
 
     def make():
         model = shipped.value
+        get = kept(("known terms", id(model)), model.known)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(model.score_texts(texts(batch)))], ["doc_id", "held_out", "score"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(model.score_texts(texts(batch), get))], ["doc_id", "held_out", "score"])
 
         return step
 
@@ -191,9 +189,10 @@ def reject(docs: DataFrame, machine: Machine, threshold: float = 0.3, text: str
 
     def make():
         model = shipped.value
+        get = kept(("known terms", id(model)), model.known)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return batch.filter(pa.array(model.score_texts(texts(batch, text)) < threshold))
+            return batch.filter(pa.array(model.score_texts(texts(batch, text), get) < threshold))
 
         return step
 
