@@ -75,7 +75,9 @@ class Machine:
     def known(self):
         """chunk -> the ids of its kept terms."""
         where = {int(k): i for i, k in enumerate(self.keys)}
-        return Memo(lambda chunk: tuple(where[k] for k in chunk_hashes(chunk) if k in where)).__getitem__
+        memo = Memo(lambda chunk: tuple(where[k] for k in chunk_hashes(chunk) if k in where))
+        memo.owner = self  # whoever keeps the memo under the machine's identity keeps the machine
+        return memo.__getitem__
 
     def score_texts(self, values: list[str], get) -> np.ndarray:
         """Probabilities of texts, through ``get`` (chunk -> ids)."""
