@@ -20,6 +20,7 @@ and scored alike.  Very long texts are read whole.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brakta.llm.common import Memo, kept, labelled_sample, map_arrow, term_hash, texts
+from brakta.llm.common import Memo, in_one_task, kept, labelled_sample, map_arrow, term_hash, texts
 from brakta.llm.topk import best
 from brakta.llm.toxicity import bare
 
@@ -234,13 +235,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
         return step
 
     rows = labelled_sample(docs, labels, label, sample_rows, sample_bytes, key, text).select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text")
-    got = map_arrow(rows, make, "doc_id long, y int, ks binary, ws binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["y"], bytes(r["ks"])))
-    entries = np.repeat(np.arange(len(got)), [len(r["ks"]) // 4 for r in got])
-    keys = np.frombuffer(b"".join(bytes(r["ks"]) for r in got), np.uint32).astype(np.int64)
-    vals = np.frombuffer(b"".join(bytes(r["ws"]) for r in got), np.float32).astype(float)
-    truth = np.array([r["y"] for r in got], float)
-    return train(entries, keys, vals, truth, learned_form_weight(entries, keys, vals, truth) if form_weight is None else form_weight)
+
+    def learn(table: pa.Table) -> bytes:
+        got = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "y", "ks", "ws")), strict=True))
+        entries = np.repeat(np.arange(len(got)), [len(ks) // 4 for *_, ks, _ in got])
+        keys = np.frombuffer(b"".join(ks for *_, ks, _ in got), np.uint32).astype(np.int64)
+        vals = np.frombuffer(b"".join(ws for *_, ws in got), np.float32).astype(float)
+        truth = np.array([y for _, y, *_ in got], float)
+        return pickle.dumps(train(entries, keys, vals, truth, learned_form_weight(entries, keys, vals, truth) if form_weight is None else form_weight))
+
+    made = in_one_task(map_arrow(rows, make, "doc_id long, y int, ks binary, ws binary"), learn)
+    return pickle.loads(made) if made else train(np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
 
 
 def score(docs: DataFrame, voters: Voters, held_out: Column, threshold: float = 0.7, key: str = "doc_id", text: str = "text") -> DataFrame:

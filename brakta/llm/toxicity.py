@@ -4,7 +4,7 @@ Terms are a text's distinct words, lower-cased and stripped of punctuation, and
 their first letters, as 32-bit hashes; those in at least ``min_docs`` training documents are kept.  The
 machine learns a weight for each and, through short factor vectors, one for each
 pair, so that two terms can mean together what neither means alone.  It is
-trained on the driver, on a bounded sample of labelled rows, and shipped to the
+trained in one task, on a bounded sample of labelled rows, and shipped to the
 tasks: its size is bounded by the sample, not by the corpus.
 
 Null and empty texts have no terms and get the machine's bias as their score.
@@ -15,6 +15,7 @@ label are not learned from.  Repeated rows are learned from once and scored alik
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brakta.llm.common import Memo, kept, labelled_sample, map_arrow, term_hash, texts
+from brakta.llm.common import Memo, in_one_task, kept, labelled_sample, map_arrow, term_hash, texts
 
 #: Lengths of the word beginnings that are terms.
 STEMS = (4, 5)
@@ -162,9 +163,14 @@ def hashed_terms(docs: DataFrame, columns: str) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = 12_000, sample_bytes: int = 48 << 20, key: str = "doc_id", text: str = "text") -> Machine:
     """Learns from ``sample_rows`` of the labelled rows given, and ``sample_bytes`` of their texts, at most."""
-    got = hashed_terms(labelled_sample(docs, labels, label, sample_rows, sample_bytes, key, text), "doc_id long, y int").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["y"], bytes(r["terms"])))
-    return train([np.frombuffer(r["terms"], np.uint32) for r in got], np.array([r["y"] for r in got], float))
+    sample = hashed_terms(labelled_sample(docs, labels, label, sample_rows, sample_bytes, key, text), "doc_id long, y int")
+
+    def learn(table: pa.Table) -> bytes:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "y", "terms")), strict=True))
+        return pickle.dumps(train([np.frombuffer(terms, np.uint32) for *_, terms in rows], np.array([y for _, y, _ in rows], float)))
+
+    made = in_one_task(sample, learn)
+    return pickle.loads(made) if made else train([], np.zeros(0))
 
 
 def score(docs: DataFrame, machine: Machine, held_out: Column, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
