@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space as str.strip() knows it, in a class that Java and RE2 read alike.
+SPACE = r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def not_blank(text: Column) -> Column:
+    """Whether a text holds anything but white space; null where there is no text."""
+    return text.rlike(f"[^{SPACE}]")
+
+
+def stripped(text: Column) -> Column:
+    """A text without the white space around it."""
+    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+
+
 def js_round(x: Column) -> Column:
     """Halves go up, as in ``floor(x + 0.5)``."""
     return F.floor(x + F.lit(0.5))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brakta.functions.text import stripped
+from brakta.plans.order import in_order
+
 
 def counts_by_label(boxes: DataFrame) -> DataFrame:
     return boxes.filter("label <> 'custom'").groupBy("label").agg(F.count("*").alias("n"))
@@ -17,11 +20,11 @@ def is_visible(active: list[str]) -> Column:
 
 def duplicates(boxes: DataFrame) -> DataFrame:
     """(label, key, n): texts, trimmed and in lower case, that two boxes or more of a label share."""
-    return boxes.withColumn("key", F.lower(F.trim("text"))).filter("key <> ''").groupBy("label", "key").agg(F.count("*").alias("n")).filter("n >= 2")
+    return boxes.withColumn("key", F.lower(stripped(F.col("text")))).filter("key <> ''").groupBy("label", "key").agg(F.count("*").alias("n")).filter("n >= 2")
 
 
 def duplicate_ids(boxes: DataFrame) -> DataFrame:
-    return boxes.withColumn("key", F.lower(F.trim("text"))).join(duplicates(boxes).select("label", "key"), ["label", "key"], "left_semi").select("box_id")
+    return boxes.withColumn("key", F.lower(stripped(F.col("text")))).join(duplicates(boxes).select("label", "key"), ["label", "key"], "left_semi").select("box_id")
 
 
 def all_boxes(stored: DataFrame, live: DataFrame, page: str = "page_id") -> DataFrame:
@@ -91,12 +94,26 @@ def edited(boxes: DataFrame, changes: DataFrame) -> DataFrame:
 def numbered(results: DataFrame, first_id: int = 0) -> DataFrame:
     """Result boxes as editor boxes: ids in page and span order, enabled, not custom.
 
-    Ids are dealt by page totals, so only pages, not boxes, pass through one task.
+    Ranks are counted in ranges of pages, each a task, and not in one task for all.
     """
-    per = results.groupBy("page_id").agg(F.count("*").alias("n"))
-    base = per.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("page_id", "base")
-    rank = F.row_number().over(Window.partitionBy("page_id").orderBy("span_no"))
-    return results.withColumn("rank", rank).join(base, "page_id").withColumn("box_id", F.col("base") + F.col("rank") - 1 + first_id).drop("rank", "base").withColumns({"enabled": F.lit(True), "custom": F.lit(False)})
+    ranked = in_order(results, [F.col("page_id").asc(), F.col("span_no").asc()], "boxes", "box_id")
+    return ranked.withColumns({"box_id": F.col("box_id") + first_id, "enabled": F.lit(True), "custom": F.lit(False)})
+
+
+def select_only(boxes: DataFrame, box_id: int) -> DataFrame:
+    """The one box that a click selects."""
+    return boxes.filter(F.col("box_id") == box_id).select("box_id")
+
+
+def select_toggled(boxes: DataFrame, selected: DataFrame, box_id: int) -> DataFrame:
+    """The selection with one box taken in, or out if it was in."""
+    one = select_only(boxes, box_id)
+    return selected.select("box_id").join(one, "box_id", "left_anti").unionByName(one.join(selected.select("box_id"), "box_id", "left_anti"))
+
+
+def select_all(boxes: DataFrame, active: list[str]) -> DataFrame:
+    """All visible boxes."""
+    return boxes.filter(is_visible(active)).select("box_id")
 
 
 def selected_range(boxes: DataFrame, active: list[str], a: int, b: int) -> DataFrame:

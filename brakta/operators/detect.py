@@ -11,6 +11,8 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brakta.functions.text import not_blank
+
 SPAN = ("doc_id", "label", "text", "start", "end", "confidence")
 
 # Patterns in the subset that Java and RE2 share; none looks around, so matches can be located by splitting.
@@ -29,16 +31,17 @@ class Detector(Protocol):
 
 
 def located(text: Column, pattern: str) -> Column:
-    """Array of (text, start, end) of all matches: a match starts after the gaps and matches before it."""
+    """Array of (text, start, end) of all matches, in one pass: a match starts a gap after the end of the one before."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    size = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
+    steps = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda m, gap: F.struct(m.alias("text"), F.length(gap).alias("gap")))
+    none = F.array().cast("array<struct<text:string,start:int,end:int>>")
 
-    def at(m: Column, i: Column) -> Column:
-        start = size(F.slice(gaps, F.lit(1), i + 1)) + size(F.slice(found, F.lit(1), i))
-        return F.struct(m.alias("text"), start.alias("start"), (start + F.length(m)).alias("end"))
+    def put(acc: Column, x: Column) -> Column:
+        start = acc["end"] + x["gap"]
+        end = start + F.length(x["text"])
+        return F.struct(end.alias("end"), F.concat(acc["out"], F.array(F.struct(x["text"].alias("text"), start.alias("start"), end.alias("end")))).alias("out"))
 
-    return F.transform(found, at)
+    return F.aggregate(steps, F.struct(F.lit(0).alias("end"), none.alias("out")), put, lambda a: a["out"])
 
 
 class PatternDetector:
@@ -50,7 +53,7 @@ class PatternDetector:
     def detect(self, docs: DataFrame) -> DataFrame:
         """One scan: a document without matches yields no row, and only matches leave the array."""
         lists = [self._labelled(label, located(F.col("text"), p)) for label, p in self.patterns.items()]
-        return docs.filter("trim(text) <> ''").select("doc_id", F.inline(F.flatten(F.array(*lists))))
+        return docs.filter(not_blank(F.col("text"))).select("doc_id", F.inline(F.flatten(F.array(*lists))))
 
     def _labelled(self, label: str, matches: Column) -> Column:
         sure = F.lit(float(self.confidence.get(label, 1.0)))
@@ -64,7 +67,7 @@ class TableDetector:
         self.candidates = candidates
 
     def detect(self, docs: DataFrame) -> DataFrame:
-        return clean_candidates(self.candidates).join(docs.filter("trim(text) <> ''").select("doc_id"), "doc_id", "left_semi")
+        return clean_candidates(self.candidates).join(docs.filter(not_blank(F.col("text"))).select("doc_id"), "doc_id", "left_semi")
 
 
 def clean_candidates(raw: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brakta.functions.text import js_round
+from brakta.functions.text import js_round, not_blank
 
 
 def polygon_bounds(poly: Column) -> Column:
@@ -27,7 +27,7 @@ def page_lines(pages: DataFrame) -> DataFrame:
     """
     zipped = F.arrays_zip(F.slice("texts", F.lit(1), F.least(F.size("texts"), F.size("polys"))).alias("text"), F.slice("polys", F.lit(1), F.least(F.size("texts"), F.size("polys"))).alias("poly"))
     rows = pages.select("image_id", "page_no", F.posexplode(zipped).alias("pos", "line")).select("image_id", "page_no", "pos", F.col("line.text").alias("text"), polygon_bounds(F.col("line.poly")).alias("b"))
-    kept = rows.filter("trim(text) <> '' AND b IS NOT NULL")
+    kept = rows.filter(not_blank(F.col("text")) & F.col("b").isNotNull())
     return with_offsets(kept.select("image_id", "page_no", "pos", "text", F.col("b.x0").alias("x"), F.col("b.y0").alias("y"), (F.col("b.x1") - F.col("b.x0")).alias("w"), (F.col("b.y1") - F.col("b.y0")).alias("h")), "image_id", ["page_no", "pos"])
 
 

@@ -89,13 +89,13 @@ def edges(rows: DataFrame, records: str) -> DataFrame:
 
 
 def pairing(predicted: DataFrame, truth: DataFrame, ids: DataFrame, threshold: float = 1.0) -> DataFrame:
-    """(row_id, precision, recall, f1, pairs_checked, success): nothing predicted is full precision, nothing true full recall."""
+    """(row_id, precision, recall, f1, pairs_checked, success): nothing predicted is full precision, nothing true full recall; the pairs checked are the predicted ones."""
     keys = ["row_id", "field", "value", "owner"]
     both = predicted.withColumn("p", F.lit(1)).join(truth.withColumn("t", F.lit(1)), keys, "full_outer").groupBy("row_id").agg(F.count("p").alias("np"), F.count("t").alias("nt"), F.count(F.col("p") + F.col("t")).alias("hit"))
     all_ = ids.join(both, "row_id", "left").na.fill(0, ["np", "nt", "hit"])
     p = F.when(F.col("np") == 0, 1.0).otherwise(F.col("hit") / F.greatest("np", F.lit(1)))
     r = F.when(F.col("nt") == 0, 1.0).otherwise(F.col("hit") / F.greatest("nt", F.lit(1)))
-    scored = all_.select("row_id", p.alias("precision"), r.alias("recall"), F.col("nt").alias("pairs_checked"))
+    scored = all_.select("row_id", p.alias("precision"), r.alias("recall"), F.col("np").alias("pairs_checked"))
     return scored.withColumn("f1", f_beta(F.col("precision"), F.col("recall"))).withColumn("success", F.col("f1") >= threshold)
 
 

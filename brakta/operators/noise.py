@@ -23,8 +23,8 @@ MARKED = {"a": "åä", "o": "ö", "A": "ÅÄ", "O": "Ö"}
 LOSS, GAIN = 0.85, 0.10
 # Rates as multiples of the row's: rn read as m, m as rn, letters with diacritics.
 RN_M, M_RN, DIACRITIC = 0.5, 0.4, 3.0
-# What happens to a chosen space, by running share; the third on structured lines, the fourth on long ones.
-DELETE, DOUBLE, COLUMN, WRAP, LONG_LINE = 0.25, 0.50, 0.78, 0.95, 40
+# What happens to a chosen space, by running share; the third on structured lines, the fourth on long ones, and the share of bars among columns.
+DELETE, DOUBLE, COLUMN, WRAP, LONG_LINE, BAR = 0.25, 0.50, 0.78, 0.95, 40, 0.4
 
 
 def place_mentions(text: str, mentions: Iterable[str]) -> list[tuple[int, int]]:
@@ -56,9 +56,11 @@ class Rewriter:
         self.out, self.size, self.at = [], 0, []
 
     def put(self, piece: str, consumed: int = 1) -> None:
-        self.at += [self.size] * consumed
+        """One piece for some input positions; those behind the first begin after it, so a span that ends on the first holds it."""
+        self.at.append(self.size)
         self.out.append(piece)
         self.size += len(piece)
+        self.at += [self.size] * (consumed - 1)
 
     def done(self) -> tuple[str, list[int]]:
         return "".join(self.out), [*self.at, self.size]
@@ -102,8 +104,8 @@ def noisy_spaces(text: str, rng: random.Random, rate: float) -> tuple[str, list[
             elif x < DOUBLE:
                 w.put("  ")
             elif x < COLUMN and table:
-                w.put(rng.choice((" | ", "   ")))
-            elif COLUMN <= x < WRAP and not wrapped:
+                w.put(" | " if rng.random() < BAR else "   ")
+            elif x < WRAP and not wrapped:
                 w.put("\n")
                 wrapped = True
             else:
@@ -119,7 +121,7 @@ def noised(text: str, entities: dict[str, list[str]], rng: random.Random, rate:
     twice, second = noisy_spaces(once, rng, rate)
     out = {}
     for label, mentions in entities.items():
-        cut = (twice[second[first[s]] : second[first[e]]].strip() for s, e in place_mentions(text, mentions))
+        cut = (twice[second[first[s]] : second[first[e]]] for s, e in place_mentions(text, mentions))
         out[label] = list(dict.fromkeys(m for m in cut if m and m in twice))
     return twice, out
 
@@ -140,8 +142,10 @@ def ocr_noise(text: Column, entities: Column, key: Column, rate: float = 0.06, s
 
 
 def with_noisy_copies(rows: DataFrame, key: str, rate: float = 0.06, seed: int = 42) -> DataFrame:
-    """Rows and a noisy copy of each, in the same split. rows: (key, text, entities, split)."""
+    """Rows and a noisy copy of each, in the same split; the copy names no employer. rows: (key, text, entities, split), and company if there is one."""
     noisy = rows.withColumn("n", ocr_noise(F.col("text"), F.col("entities"), F.col(key), rate, seed)).withColumns({"text": F.col("n.text"), "entities": F.col("n.entities")}).drop("n")
+    if "company" in rows.columns:  # it may not stand in the noisy text as it is
+        noisy = noisy.withColumn("company", F.lit(None).cast(rows.schema["company"].dataType))
     return rows.withColumn("noisy", F.lit(False)).unionByName(noisy.withColumn("noisy", F.lit(True)))
 
 

@@ -19,27 +19,29 @@ def spans_by_document(spans: DataFrame) -> DataFrame:
 
 def mask_from_right(text: Column, spans: Column) -> Column:
     """[LABEL] for each span, from the right; one that reaches into what is replaced already is skipped, or out of the text."""
-    init = F.struct(text.alias("out"), F.length(text).alias("next"))
+    init = F.struct(F.array().cast("array<string>").alias("out"), F.length(text).alias("next"))
 
+    # Pieces are kept from the right and joined once; the text itself is never built anew.
     def put(acc: Column, s: Column) -> Column:
-        fits = (s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= F.length(text)) & (s["end"] <= acc["next"])
-        new = F.concat(F.substring(acc["out"], F.lit(1), s["start"]), F.lit("["), F.upper(s["label"]), F.lit("]"), acc["out"].substr(s["end"] + 1, F.length(acc["out"])))
+        fits = (s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= acc["next"])
+        behind = text.substr(s["end"] + 1, acc["next"] - s["end"])
+        new = F.concat(acc["out"], F.array(F.concat(F.lit("["), F.upper(s["label"]), F.lit("]"), behind)))
         return F.struct(F.when(fits, new).otherwise(acc["out"]).alias("out"), F.when(fits, s["start"]).otherwise(acc["next"]).alias("next"))
 
-    return F.aggregate(F.reverse(spans), init, put, lambda a: a["out"])
+    return F.aggregate(F.reverse(spans), init, put, lambda a: F.concat(text.substr(F.lit(1), a["next"]), F.array_join(F.reverse(a["out"]), "")))
 
 
 def mask_from_left(text: Column, spans: Column, display: Column) -> Column:
     """[display label] for each span, from the left; one that starts before the end of the last is skipped. ``display``: map of label to shown label."""
-    init = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"))
+    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("pos"))
 
     def put(acc: Column, s: Column) -> Column:
         fits = s["start"] >= acc["pos"]
         shown = F.lower(F.coalesce(F.try_element_at(display, s["label"]), s["label"]))
-        new = F.concat(acc["out"], text.substr(acc["pos"] + 1, s["start"] - acc["pos"]), F.lit("["), shown, F.lit("]"))
+        new = F.concat(acc["out"], F.array(F.concat(text.substr(acc["pos"] + 1, s["start"] - acc["pos"]), F.lit("["), shown, F.lit("]"))))
         return F.struct(F.when(fits, new).otherwise(acc["out"]).alias("out"), F.when(fits, s["end"]).otherwise(acc["pos"]).alias("pos"))
 
-    return F.aggregate(spans, init, put, lambda a: F.concat(a["out"], text.substr(a["pos"] + 1, F.length(text))))
+    return F.aggregate(spans, init, put, lambda a: F.concat(F.array_join(a["out"], ""), text.substr(a["pos"] + 1, F.length(text))))
 
 
 def anonymize(docs: DataFrame, detector: Detector, rules: dict[str, Rule], threshold: float | None = 0.5, allow: list[str] | None = None) -> DataFrame:

@@ -8,14 +8,21 @@ from pyspark.sql import functions as F
 from brakta.functions.text import collapse
 
 
+def all_mentions(entities: Column) -> Column:
+    """The mentions of all labels; a label whose list is null has none."""
+    return F.flatten(F.filter(F.map_values(entities), lambda v: v.isNotNull()))
+
+
 def entities_valid(text: Column, entities: Column) -> Column:
-    """Every mention occurs in the text as it stands; null mentions are skipped; no entities at all is valid, null is not."""
-    return F.when(entities.isNull(), False).otherwise(F.forall(F.flatten(F.map_values(entities)), lambda m: m.isNull() | text.contains(m)))
+    """Every mention occurs in the text as it stands; null mentions and null lists are skipped; no entities at all is valid, null is not. A null text holds the empty mention only."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.when(entities.isNull(), False).otherwise(F.forall(all_mentions(entities), lambda m: m.isNull() | whole.contains(m)))
 
 
 def entities_valid_lenient(text: Column, entities: Column) -> Column:
     """The older rule: empty mentions are skipped as well."""
-    return F.when(entities.isNull(), False).otherwise(F.forall(F.flatten(F.map_values(entities)), lambda m: m.isNull() | (m == "") | text.contains(m)))
+    whole = F.coalesce(text, F.lit(""))
+    return F.when(entities.isNull(), False).otherwise(F.forall(all_mentions(entities), lambda m: m.isNull() | (m == "") | whole.contains(m)))
 
 
 def clean_entities(text: Column, entities: Column, labels: list[str]) -> Column:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brakta.functions.text import SPACE, not_blank
 from brakta.operators.detect import PATTERNS, PatternDetector
 from brakta.operators.taxonomy import ALIASES
 
+#: The test for blank texts in SQL.
+NOT_BLANK = f"regexp_matches(text, '[^{SPACE}]')"
 CONFIDENCE = {"email": 0.95, "ip_address": 0.9, "card_number": 0.8, "phone": 0.6}
 
 
@@ -30,7 +33,7 @@ def located_sql(label: str, pattern: str, confidence: float) -> str:
                CAST(coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS INTEGER) AS "start",
                CAST({confidence} AS DOUBLE) AS confidence
         FROM (SELECT doc_id, ms, gaps, unnest(range(1, len(ms) + 1)) AS i
-              FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS ms, regexp_split_to_array(text, '{p}') AS gaps FROM documents WHERE trim(text) <> ''))"""
+              FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS ms, regexp_split_to_array(text, '{p}') AS gaps FROM documents WHERE {NOT_BLANK}))"""
 
 
 #: CTE spans0(doc_id, label, text, start, end, confidence): what the patterns find.
@@ -43,12 +46,12 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents laid out as a monospaced page: (doc_id, line_no, text, start, end, x, y, w, h); blank ones are skipped."""
     from brakta.operators.geometry import with_offsets
 
-    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text")).filter("trim(text) <> ''")
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text")).filter(not_blank(F.col("text")))
     made = rows.withColumns({"x": F.lit(0), "y": F.col("pos") * 20, "w": F.length("text") * 8, "h": F.lit(16)})
     return with_offsets(made, "doc_id", ["pos"])
 
 
-LINES = """lines0 AS (
+LINES = f"""lines0 AS (
     SELECT doc_id, i - 1 AS pos, parts[i] AS text
     FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))
 ), lines AS (
@@ -56,14 +59,14 @@ LINES = """lines0 AS (
            CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "start",
            CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(text) AS BIGINT) AS "end",
            0 AS x, CAST(pos * 20 AS INTEGER) AS y, CAST(length(text) * 8 AS INTEGER) AS w, 16 AS h
-    FROM lines0 WHERE trim(text) <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY pos))"""
+    FROM lines0 WHERE {NOT_BLANK} WINDOW w AS (PARTITION BY doc_id ORDER BY pos))"""
 
 
 def word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans on pages: every 37th to 60th character run of a document, so that some cross lines. (doc_id, span_no, label, text, start, end)."""
     rows = lines(spark, sf_dir).groupBy("doc_id").agg(F.max("end").alias("n"))
     labels = F.array(*map(F.lit, ("person", "email", "custom", "address")))
-    s = rows.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.least(F.floor(F.col("n") / 400), F.lit(40)).cast("int"))).alias("span_no"))
+    s = rows.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 400).cast("int"))).alias("span_no"))
     start = (F.col("span_no") * 397 + F.col("doc_id") % 13).cast("long")
     return s.select("doc_id", "span_no", F.element_at(labels, ((F.col("doc_id") + F.col("span_no")) % 4 + 1).cast("int")).alias("label"), F.concat(F.lit("Span "), (F.col("span_no") % 3).cast("string")).alias("text"), start.alias("start"), (start + 5 + F.col("doc_id") % 90).alias("end")).filter("end <= n OR span_no = 0")
 
@@ -71,7 +74,7 @@ def word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORD_SPANS = """wspans AS (
     SELECT doc_id, CAST(k AS INTEGER) AS span_no, (['person','email','custom','address'])[CAST((doc_id + k) % 4 + 1 AS INTEGER)] AS label, 'Span ' || CAST(k % 3 AS VARCHAR) AS text,
            CAST(k * 397 + doc_id % 13 AS BIGINT) AS "start", CAST(k * 397 + doc_id % 13 + 5 + doc_id % 90 AS BIGINT) AS "end"
-    FROM (SELECT doc_id, n, unnest(range(0, CAST(least(floor(n / 400), 40) AS BIGINT) + 1)) AS k FROM (SELECT doc_id, max("end") AS n FROM lines GROUP BY doc_id))
+    FROM (SELECT doc_id, n, unnest(range(0, CAST(floor(n / 400) AS BIGINT) + 1)) AS k FROM (SELECT doc_id, max("end") AS n FROM lines GROUP BY doc_id))
     WHERE k * 397 + doc_id % 13 + 5 + doc_id % 90 <= n OR k = 0)"""
 
 
@@ -80,7 +83,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brakta.operators.geometry import boxes_of_spans
 
     made = boxes_of_spans(lines(spark, sf_dir), word_spans(spark, sf_dir), "doc_id")
-    return made.withColumns({"box_id": F.col("doc_id") * 1000 + F.col("span_no"), "enabled": (F.col("doc_id") + F.col("span_no")) % 5 != 0, "custom": F.col("label") == "custom", "page_id": F.col("doc_id")})
+    return made.withColumns({"box_id": F.col("doc_id") * 1000000 + F.col("span_no"), "enabled": (F.col("doc_id") + F.col("span_no")) % 5 != 0, "custom": F.col("label") == "custom", "page_id": F.col("doc_id")})
 
 
 BOXES = LINES + ", " + WORD_SPANS + """, met AS (
@@ -89,7 +92,7 @@ BOXES = LINES + ", " + WORD_SPANS + """, met AS (
            n.x + CAST(trunc(CAST(n.w AS DOUBLE) * least(greatest(1, length(n.text)), s."end" - n."start") / greatest(1, length(n.text))) AS BIGINT) AS r
     FROM wspans s JOIN lines n ON s.doc_id = n.doc_id AND NOT (n."end" <= s."start" OR n."start" >= s."end")
 ), boxes AS (
-    SELECT doc_id, doc_id AS page_id, span_no, doc_id * 1000 + span_no AS box_id, label, text,
+    SELECT doc_id, doc_id AS page_id, span_no, doc_id * 1000000 + span_no AS box_id, label, text,
            CAST(CASE WHEN count(*) > 1 THEN min(x0) ELSE min(greatest(0, l - 2)) END AS BIGINT) AS x,
            CAST(CASE WHEN count(*) > 1 THEN min(y0) ELSE min(by_) END AS BIGINT) AS y,
            CAST(CASE WHEN count(*) > 1 THEN max(x1) - min(x0) ELSE min(greatest(1, r - l + 4)) END AS BIGINT) AS w,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brakta.functions.text import is_label_key, luhn_ok, slug
 from brakta.operators import filters, redact, taxonomy
 from brakta.operators.detect import TableDetector, browser_label, clean_candidates
-from brakta.queries.base import CONFIDENCE, SPANS0, SPANS1, documents, raw_spans
+from brakta.queries.base import CONFIDENCE, NOT_BLANK, SPANS0, SPANS1, documents, raw_spans
 from brakta.operators.detect import PatternDetector
 from brakta.streaming import masking
 
@@ -118,23 +118,25 @@ def changed_rules(spark: SparkSession, d: str) -> DataFrame:
     """Labels whose rule differs from the default, nulls compared as values."""
     base = taxonomy.rules_table(spark)
     now = base.withColumn("threshold", F.when(F.col("label") == "email", 0.7).otherwise(F.col("threshold"))).withColumn("regex", F.when(F.col("label") == "url", F.lit(None)).otherwise(F.col("regex")))
-    b, n = base.alias("b"), now.alias("n")
-    same = F.lit(True)
-    for c in ("regex", "mode", "threshold", "luhn"):
-        same = same & F.col(f"b.{c}").eqNullSafe(F.col(f"n.{c}"))
-    return b.join(n, F.col("b.label") == F.col("n.label")).select(F.col("b.label").alias("label"), (~same).alias("customised"))
+    return filters.customised(now, base)
 
 
 def toggled_labels(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame([(1, ["email", "url"], "url"), (2, ["email"], "url")], "i int, enabled array<string>, label string")
-    has = F.array_contains("enabled", F.col("label"))
-    return rows.select("i", F.array_join(F.when(has, F.array_except("enabled", F.array("label"))).otherwise(F.array_union("enabled", F.array("label"))), ",").alias("enabled"))
+    return rows.select("i", F.array_join(filters.toggled(F.col("enabled"), F.col("label")), ",").alias("enabled"))
 
 
 def removed_label(spark: SparkSession, d: str) -> DataFrame:
     """A label taken out of the rules, with what hangs on it."""
-    gone = spark.createDataFrame([("iban",), ("url",)], "label string")
-    return taxonomy.rules_table(spark).join(gone, "label", "left_anti").select("label", "regex")
+    (rules,) = filters.without_labels(["iban", "url"], taxonomy.rules_table(spark))
+    return rules.select("label", "regex")
+
+
+def rule_previews(spark: SparkSession, d: str) -> DataFrame:
+    """What each rule would say of a document's first word and of nothing; one pattern cannot be read."""
+    word = F.split_part("text", F.lit(" "), F.lit(1))
+    rules = {"full": filters.Rule("[A-Z][a-z]+"), "exclude": filters.Rule("the", "exclude"), "broken": filters.Rule("("), "open": filters.Rule()}
+    return documents(spark, d).select("doc_id", *[filters.preview(r, word).alias(k) for k, r in rules.items()], filters.preview(rules["full"], F.lit(" \n")).alias("none"))
 
 
 def browser_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +149,7 @@ def detector_labels(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(sorted(got.items()), "label string, description string")
 
 
-QUERIES = {f.__name__: f for f in (detect_spans, clean_raw_candidates, table_detector, filter_spans, allow_list_empty, regex_modes, luhn_checks, sorted_spans, mask_documents, sanitized_text, mask_overlapping, masked_in_row, custom_label_keys, label_dimension, labels_per_tier, label_meta, default_rules, changed_rules, toggled_labels, removed_label, browser_labels, detector_labels)}
+QUERIES = {f.__name__: f for f in (detect_spans, clean_raw_candidates, table_detector, filter_spans, allow_list_empty, regex_modes, luhn_checks, sorted_spans, mask_documents, sanitized_text, mask_overlapping, masked_in_row, custom_label_keys, label_dimension, labels_per_tier, label_meta, default_rules, changed_rules, toggled_labels, removed_label, rule_previews, browser_labels, detector_labels)}
 
 _LUHN = "(list_sum(list_transform(range(1, length(dg) + 1), lambda i: CASE WHEN (i - 1) % 2 = length(dg) % 2 THEN CASE WHEN 2 * CAST(dg[i] AS INTEGER) > 9 THEN 2 * CAST(dg[i] AS INTEGER) - 9 ELSE 2 * CAST(dg[i] AS INTEGER) END ELSE CAST(dg[i] AS INTEGER) END)) % 10 = 0)"
 
@@ -178,7 +180,7 @@ _META = _values([(k, v) for k, (_, v) in taxonomy.META.items()], "label, display
 SQL = {
     "detect_spans": f"WITH {SPANS0} SELECT doc_id, label, text, \"start\", \"end\", confidence FROM spans0",
     "clean_raw_candidates": f"SELECT doc_id::BIGINT AS doc_id, label, coalesce(text, '') AS text, TRY_CAST(\"start\" AS INTEGER) AS \"start\", TRY_CAST(\"end\" AS INTEGER) AS \"end\", coalesce(TRY_CAST(confidence AS DOUBLE), 1.0) AS confidence FROM {_values(RAW, 'doc_id, label, text, \"start\", \"end\", confidence')} WHERE TRY_CAST(\"start\" AS INTEGER) IS NOT NULL AND TRY_CAST(\"end\" AS INTEGER) IS NOT NULL",
-    "table_detector": f"SELECT doc_id::BIGINT AS doc_id, label, coalesce(text, '') AS text, TRY_CAST(\"start\" AS INTEGER) AS \"start\", TRY_CAST(\"end\" AS INTEGER) AS \"end\", coalesce(TRY_CAST(confidence AS DOUBLE), 1.0) AS confidence FROM {_values(RAW, 'doc_id, label, text, \"start\", \"end\", confidence')} WHERE TRY_CAST(\"start\" AS INTEGER) IS NOT NULL AND TRY_CAST(\"end\" AS INTEGER) IS NOT NULL AND doc_id IN (SELECT doc_id FROM documents WHERE trim(text) <> '')",
+    "table_detector": f"SELECT doc_id::BIGINT AS doc_id, label, coalesce(text, '') AS text, TRY_CAST(\"start\" AS INTEGER) AS \"start\", TRY_CAST(\"end\" AS INTEGER) AS \"end\", coalesce(TRY_CAST(confidence AS DOUBLE), 1.0) AS confidence FROM {_values(RAW, 'doc_id, label, text, \"start\", \"end\", confidence')} WHERE TRY_CAST(\"start\" AS INTEGER) IS NOT NULL AND TRY_CAST(\"end\" AS INTEGER) IS NOT NULL AND doc_id IN (SELECT doc_id FROM documents WHERE {NOT_BLANK})",
     "filter_spans": f"WITH {_FILTERED} SELECT k.* FROM kept k JOIN documents d USING (doc_id) WHERE k.\"end\" <= length(d.text) AND label IN ('email', 'phone_number', 'card_number', 'ip_address')",
     "allow_list_empty": f"WITH {SPANS0} SELECT label, count(*) AS n FROM spans0 GROUP BY label",
     "regex_modes": f"SELECT case_no, passed FROM {_values([(0, False), (1, True), (2, True), (3, False), (4, True), (5, True), (6, True), (7, True)], 'case_no, passed')}",
@@ -186,7 +188,7 @@ SQL = {
     "sorted_spans": f"WITH {SPANS0} SELECT doc_id, count(*) AS n_spans, string_agg(CAST(\"start\" AS VARCHAR) || ':' || CAST(\"end\" AS VARCHAR) || ':' || label, ',' ORDER BY \"start\", \"end\", label) AS spans FROM spans0 GROUP BY doc_id",
     "mask_documents": f"WITH {_FILTERED}, g AS (SELECT doc_id, {_LIST} AS ss, count(*) AS n_spans FROM kept GROUP BY doc_id) SELECT d.doc_id, coalesce(n_spans, 0) AS n_spans, CASE WHEN ss IS NULL THEN text ELSE {_FOLD_RIGHT} END AS masked_text FROM documents d LEFT JOIN g USING (doc_id)",
     "sanitized_text": f"WITH {SPANS1}, g AS (SELECT doc_id, list({{'o': '', 's': CAST(\"start\" AS BIGINT), 'e': CAST(\"end\" AS BIGINT), 'l': display}} ORDER BY \"start\", \"end\", label) AS ss FROM spans1 JOIN {_META} USING (label) WHERE label IN ('email', 'phone_number', 'card_number') GROUP BY doc_id), f AS (SELECT d.doc_id, text, CASE WHEN ss IS NOT NULL THEN {_FOLD_LEFT} END AS r FROM documents d LEFT JOIN g USING (doc_id)) SELECT doc_id, CASE WHEN r IS NULL THEN text ELSE r.o || text[r.e+1:] END AS sanitized FROM f",
-    "mask_overlapping": f"SELECT doc_id, from_right, from_left FROM {_values([(1, 'Anna Svensson bor här', None, None)], 'doc_id, a, b, c')} , (SELECT 1) WHERE false UNION ALL SELECT * FROM {_values([(1, '[PERSON] bor här', '[person] Svensson bor här'), (2, 'ab[B]f', '[a]def'), (3, 'abc', 'abc'), (4, '[FIRST]äö[EMOJI]x', '[first]äö[emoji]x')], 'doc_id, from_right, from_left')}",
+    "mask_overlapping": "SELECT * FROM " + _values([(1, "[PERSON] bor här", "[person] Svensson bor här"), (2, "ab[B]f", "[a]def"), (3, "abc", "abc"), (4, "[FIRST]äö[EMOJI]x", "[first]äö[emoji]x")], "doc_id, from_right, from_left"),
     "masked_in_row": f"WITH {SPANS1}, kept AS (SELECT * FROM spans1 WHERE {_rule_sql(filters.DEFAULT_RULES, False)}), g AS (SELECT doc_id, {_LIST} AS ss, count(*) AS n FROM kept GROUP BY doc_id) SELECT d.doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_spans, CASE WHEN ss IS NULL THEN text ELSE {_FOLD_RIGHT} END AS masked_text FROM documents d LEFT JOIN g USING (doc_id)",
     "custom_label_keys": f"SELECT i, slug, regexp_matches(slug, '^[a-z][a-z0-9_]*$') AND length(slug) <= 48 AS valid FROM (SELECT i, regexp_replace(regexp_replace(lower(trim(name)), '[^a-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM {_values(list(enumerate(SLUGS)), 'i, name')})",
     "label_dimension": f"SELECT * FROM {_values([(i, n, t) for i, (n, t) in enumerate(taxonomy.LABELS.items())], 'ord, label, tier')}",
@@ -196,7 +198,7 @@ SQL = {
     "changed_rules": f"SELECT label, label IN ('email', 'url') AS customised FROM {_values([(k,) for k in taxonomy.DEFAULT_ENABLED], 'label')}",
     "toggled_labels": f"SELECT * FROM {_values([(1, 'email'), (2, 'email,url')], 'i, enabled')}",
     "removed_label": f"SELECT * FROM {_values([(k, taxonomy.DEFAULT_PATTERNS.get(k, '')) for k in taxonomy.DEFAULT_ENABLED], 'label, regex')} WHERE label NOT IN ('iban', 'url')",
+    "rule_previews": f"SELECT doc_id, CASE WHEN b THEN 'empty' WHEN regexp_extract(w, '[A-Z][a-z]+') = w AND w <> '' THEN 'ok' ELSE 'reject' END AS full, CASE WHEN b THEN 'empty' WHEN contains(w, 'the') THEN 'reject' ELSE 'ok' END AS exclude, CASE WHEN b THEN 'empty' ELSE 'invalid' END AS broken, CASE WHEN b THEN 'empty' ELSE 'ok' END AS open, 'empty' AS none FROM (SELECT doc_id, w, NOT {NOT_BLANK.replace('(text,', '(w,')} AS b FROM (SELECT doc_id, split_part(text, ' ', 1) AS w FROM documents))",
     "browser_labels": f"SELECT * FROM {_values([(1, 'per'), (2, 'loc'), (3, 'misc')], 'i, label')}",
     "detector_labels": f"SELECT label, CASE label WHEN 'email' THEN 'mail' ELSE 'default' END AS description FROM {_values([(k,) for k in taxonomy.TRAINED], 'label')} UNION ALL SELECT 'badge', 'Badge'",
 }
-SQL["mask_overlapping"] = "SELECT * FROM " + _values([(1, "[PERSON] bor här", "[person] Svensson bor här"), (2, "ab[B]f", "[a]def"), (3, "abc", "abc"), (4, "[FIRST]äö[EMOJI]x", "[first]äö[emoji]x")], "doc_id, from_right, from_left")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from brakta.operators import boxes as B
 from brakta.operators import geometry as G
 from brakta.operators import taxonomy
-from brakta.queries.base import BOXES, LINES, boxes, documents, lines
+from brakta.functions.text import not_blank
+from brakta.queries.base import BOXES, LINES, NOT_BLANK, boxes, documents, lines
 from brakta.queries.detection import _values
 from brakta.streaming.masking import progress_frames
 
@@ -31,7 +32,7 @@ def joined_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def line_counters(spark: SparkSession, d: str) -> DataFrame:
     rows = documents(spark, d).select(F.explode(F.split("text", "\n", -1)).alias("t"))
-    return rows.agg(F.count("*").alias("detected"), F.count_if(F.col("t") != "").alias("recognised"), F.count_if(F.trim("t") != "").alias("kept"))
+    return rows.agg(F.count("*").alias("detected"), F.count_if(F.col("t") != "").alias("recognised"), F.count_if(not_blank(F.col("t"))).alias("kept"))
 
 
 def lines_for_wire(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +73,7 @@ def box_geometry(spark: SparkSession, d: str) -> DataFrame:
 
 def custom_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Drawn boxes appended to a page, with the text under them."""
-    drawn = documents(spark, d).select("doc_id", (F.col("doc_id") * 1000 + 999).alias("box_id"), F.lit(10).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(300).cast("long").alias("w"), F.lit(30).cast("long").alias("h"))
+    drawn = documents(spark, d).select("doc_id", (F.col("doc_id") * 1000000 + 999999).alias("box_id"), F.lit(10).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(300).cast("long").alias("w"), F.lit(30).cast("long").alias("h"))
     with_text = drawn.join(G.text_in_box(drawn, lines(spark, d), "doc_id"), "box_id")
     made = with_text.select("doc_id", "box_id", F.lit("custom").alias("label"), "text", F.lit(True).alias("enabled"), F.lit(True).alias("custom"))
     return boxes(spark, d).select("doc_id", "box_id", "label", "text", "enabled", "custom").unionByName(made)
@@ -156,7 +157,7 @@ def numbered_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def selected_boxes(spark: SparkSession, d: str) -> DataFrame:
-    return B.selected_range(boxes(spark, d), ["person"], 90_000, 30_000)
+    return B.selected_range(boxes(spark, d), ["person"], 90_000_000, 30_000_000)
 
 
 def page_progress(spark: SparkSession, d: str) -> DataFrame:
@@ -174,7 +175,7 @@ SQL = {
     "polygon_lines": "SELECT * FROM " + _values([(1, 0, "a b", 0, 3, 1, 2, 9, 6), (1, 1, "next", 4, 8, 2, 1, 5, 8), (2, 0, "solo", 0, 4, 0, 0, 30, 10)], 'image_id, line_no, text, "start", "end", x, y, w, h'),
     "line_offsets": f'WITH {LINES} SELECT doc_id, line_no, text, "start", "end", y, w FROM lines',
     "joined_lines": f"WITH {LINES} SELECT doc_id, string_agg(text, chr(10) ORDER BY line_no) AS text FROM lines GROUP BY doc_id",
-    "line_counters": f"WITH {LINES} SELECT count(*) AS detected, count(*) FILTER (text <> '') AS recognised, count(*) FILTER (trim(text) <> '') AS kept FROM lines0",
+    "line_counters": f"WITH {LINES} SELECT count(*) AS detected, count(*) FILTER (text <> '') AS recognised, count(*) FILTER ({NOT_BLANK}) AS kept FROM lines0",
     "lines_for_wire": f"WITH {LINES} SELECT doc_id, line_no, x, y, w, h FROM lines",
     "span_boxes": f"WITH {BOXES} SELECT doc_id, span_no, label, text, x, y, w, h FROM boxes",
     "text_under_boxes": f"WITH {BOXES} {_UNDER('boxes')}",
@@ -193,7 +194,7 @@ SQL = {
                CAST(greatest(1, floor((o_orderkey % 900 + 1) * sc + 0.5)) AS BIGINT) AS thumb_w, CAST(greatest(1, floor((o_orderkey % 500 + 1) * sc + 0.5)) AS BIGINT) AS thumb_h,
                CAST(64 AS BIGINT) AS part_x, CAST(33 AS BIGINT) AS part_y, CAST(greatest(1, floor(801 * ((o_orderkey % 7) / 10) + 0.5)) AS BIGINT) AS part_w, CAST(1 AS BIGINT) AS part_h
         FROM e""",
-    "custom_boxes": f"WITH {BOXES}, drawn AS (SELECT doc_id, doc_id * 1000 + 999 AS box_id, 10 AS x, 0 AS y, 300 AS w, 30 AS h FROM documents), dt AS ({_UNDER('drawn')}) SELECT doc_id, box_id, label, text, enabled, custom FROM boxes UNION ALL SELECT doc_id, box_id, 'custom', dt.text, true, true FROM drawn JOIN dt USING (box_id)",
+    "custom_boxes": f"WITH {BOXES}, drawn AS (SELECT doc_id, doc_id * 1000000 + 999999 AS box_id, 10 AS x, 0 AS y, 300 AS w, 30 AS h FROM documents), dt AS ({_UNDER('drawn')}) SELECT doc_id, box_id, label, text, enabled, custom FROM boxes UNION ALL SELECT doc_id, box_id, 'custom', dt.text, true, true FROM drawn JOIN dt USING (box_id)",
     "label_counts": f"WITH {BOXES} SELECT label, count(*) AS n FROM boxes WHERE label <> 'custom' GROUP BY label",
     "visible_boxes": f"WITH {BOXES} SELECT box_id, label FROM boxes WHERE {_VISIBLE('person', 'address')}",
     "duplicate_groups": f"WITH {BOXES} SELECT label, lower(trim(text)) AS key, count(*) AS n FROM boxes WHERE trim(text) <> '' GROUP BY 1, 2 HAVING count(*) >= 2",
@@ -209,6 +210,6 @@ SQL = {
     "active_labels": f"WITH {BOXES} SELECT DISTINCT label FROM boxes WHERE label <> 'custom'",
     "edited_boxes": f"WITH {BOXES} SELECT box_id, label, CASE WHEN box_id % 5 = 0 THEN 'new text' ELSE text END AS text, CASE WHEN box_id % 5 = 0 THEN box_id % 2 = 0 ELSE enabled END AS enabled FROM boxes WHERE box_id % 15 <> 0",
     "numbered_boxes": f"WITH {BOXES} SELECT page_id, span_no, row_number() OVER (ORDER BY page_id, span_no) - 1 AS box_id, true AS enabled, false AS custom FROM boxes",
-    "selected_boxes": f"WITH {BOXES} SELECT box_id FROM boxes WHERE {_VISIBLE('person')} AND box_id BETWEEN 30000 AND 90000",
+    "selected_boxes": f"WITH {BOXES} SELECT box_id FROM boxes WHERE {_VISIBLE('person')} AND box_id BETWEEN 30000000 AND 90000000",
     "page_progress": "SELECT doc_id AS image_id, CAST(i - 1 AS INTEGER) AS place, st[i] AS stage FROM (SELECT doc_id, st, unnest(range(1, len(st) + 1)) AS i FROM (SELECT doc_id, CASE WHEN trim(text) <> '' THEN ['ocr_started','ocr_done','detection_started','done'] ELSE ['ocr_started','ocr_done','done'] END AS st FROM documents))",
 }

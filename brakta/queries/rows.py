@@ -177,8 +177,51 @@ def task_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def deduped_documents(spark: SparkSession, d: str) -> DataFrame:
-    docs = documents(spark, d).withColumn("entities_validated", F.when(F.col("doc_id") % 11 == 0, F.lit(None).cast("boolean")).otherwise(F.col("doc_id") % 7 != 0))
-    return curate.exact_dedup(curate.valid_only(docs), "text", "doc_id").select("doc_id")
+    return curate.exact_dedup(documents(spark, d), "text", "doc_id").select("doc_id")
+
+
+def valid_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Rows validated as true: here those labelled as good; unlabelled ones are not."""
+    said = table(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("entities_validated"))
+    return curate.valid_only(documents(spark, d).join(said, "doc_id", "left")).select("doc_id")
+
+
+def _document_entities(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, text, entities): what the patterns find, sorted, by label; in every third document in capitals, and a label with a null list."""
+    found = raw_spans(spark, d).groupBy("doc_id", "label").agg(F.array_sort(F.collect_set(F.when(F.col("doc_id") % 3 == 0, F.upper("text")).otherwise(F.col("text")))).alias("ms"))
+    maps = found.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "ms"))).alias("m"))
+    none = F.create_map(F.lit("mrz"), F.lit(None).cast("array<string>"))
+    return documents(spark, d).join(maps, "doc_id").withColumn("entities", F.map_concat("m", none)).drop("m")
+
+
+def validated_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Whether what is said of a document stands in it, and what is left of it."""
+    e = _document_entities(spark, d)
+    kept = validate.clean_entities(F.col("text"), F.col("entities"), NAMES)
+    return e.select("doc_id", validate.entities_valid(F.col("text"), F.col("entities")).alias("valid"), validate.entities_valid_lenient(F.col("text"), F.col("entities")).alias("lenient"), _sorted_map(kept).alias("kept"))
+
+
+def document_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Entities of documents, written as JSON cells and parsed again."""
+    e = _document_entities(spark, d).withColumn("cell", F.to_json(F.map_filter("entities", lambda k, v: v.isNotNull())))
+    return e.select("doc_id", _sorted_map(parsing.sparse_entities(F.col("cell"), NAMES)).alias("entities"))
+
+
+def document_sensitivity(spark: SparkSession, d: str) -> DataFrame:
+    """Classes and the dense form of every document's entities."""
+    e = _document_entities(spark, d).withColumn("clean", validate.clean_entities(F.col("text"), F.col("entities"), NAMES))
+    dense = tasks.dense(F.col("clean"))
+    return e.select("doc_id", F.array_join(tasks.sensitivity(F.col("clean"), F.col("text")), ",").alias("classes"), F.size(F.map_filter(dense, lambda k, v: F.size(v) > 0)).alias("n_present"))
+
+
+def customer_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records of customers against seeds: every fourth says another phone, every sixth what its text does not hold; every ninth has no seeds."""
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").withColumn("c_phone", F.concat(F.lit("+46 "), k.cast("string")))
+    record = F.create_map(F.lit("name"), F.col("c_name"), F.lit("phone"), F.when(k % 4 == 0, F.lit("0")).otherwise(F.col("c_phone")))
+    seeds = F.when(k % 9 != 0, F.array(F.create_map(F.lit("name"), F.col("c_name"), F.lit("phone"), F.col("c_phone"))))
+    rows = c.select(k.alias("row_id"), F.concat_ws(" ", F.col("c_name"), F.when(k % 6 != 0, F.col("c_phone"))).alias("text"), F.array(record).alias("records"), seeds.alias("seed_subjects"))
+    return validate.records_valid(rows)
 
 
 def document_splits(spark: SparkSession, d: str) -> DataFrame:
@@ -231,12 +274,12 @@ def pinned_pools(spark: SparkSession, d: str) -> DataFrame:
 def gold_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Gold mentions from lines of training examples."""
     e = raw_spans(spark, d).groupBy("doc_id", "label").agg(F.collect_list("text").alias("ms")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "ms"))).alias("entities"))
-    lines = io.example_lines(e.select(F.lit("test").alias("split"), F.col("doc_id").cast("string").alias("text"), "entities"))
+    lines = io.example_lines(documents(spark, d).join(e, "doc_id").select(F.lit("test").alias("split"), "text", "entities"))
     return io.gold_from_lines(lines.select("value"))
 
 
 def example_json(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "labels").filter("quality is not null and toxic is not null").select(F.lit("train").alias("split"), F.col("doc_id").cast("string").alias("text"), "quality", "toxic")
+    rows = table(spark, d, "labels").filter("quality is not null and toxic is not null").join(documents(spark, d), "doc_id").select(F.lit("train").alias("split"), "text", "quality", "toxic")
     return io.example_lines(rows)
 
 
@@ -278,10 +321,12 @@ def noise_invariants(spark: SparkSession, d: str) -> DataFrame:
     return lost.withColumn("one", F.lit(1)).join(moved.withColumn("one", F.lit(1)), "one").drop("one")
 
 
-QUERIES = {f.__name__: f for f in (parsed_mappings, coerced_entities, sparse_entities, parsed_records, event_properties, validated_entities, cleaned_entities, flattened_entities, validated_records, matched_addresses, seed_values, test_cases, token_matches, sensitivity_classes, person_records, ownership, tasks_from_records, dense_entities, training_examples, task_coverage, deduped_documents, document_splits, split_sizes, cleaned_splits, random_split_sizes, unit_vectors, similar_vector_pairs, semantic_keep_mask, pinned_pools, gold_mentions, example_json, first_rows, export_names, appended_pages, line_structure, noisy_examples, noise_invariants)}
+QUERIES = {f.__name__: f for f in (parsed_mappings, coerced_entities, sparse_entities, parsed_records, event_properties, validated_entities, cleaned_entities, flattened_entities, validated_records, matched_addresses, seed_values, test_cases, token_matches, sensitivity_classes, person_records, ownership, tasks_from_records, dense_entities, training_examples, task_coverage, deduped_documents, valid_documents, validated_documents, document_cells, document_sensitivity, customer_records, document_splits, split_sizes, cleaned_splits, random_split_sizes, unit_vectors, similar_vector_pairs, semantic_keep_mask, pinned_pools, gold_mentions, example_json, first_rows, export_names, appended_pages, line_structure, noisy_examples, noise_invariants)}
 
 _SPLIT = lambda key: f"CASE WHEN CAST(('0x' || sha256('42:' || {key})[1:16])::UBIGINT AS DOUBLE) / 18446744073709551616.0 < 0.9 THEN 'train' WHEN CAST(('0x' || sha256('42:' || {key})[1:16])::UBIGINT AS DOUBLE) / 18446744073709551616.0 < 0.9 + 0.05 THEN 'val' ELSE 'test' END"
 _KEYS = f"WITH {SPANS0}, m AS (SELECT doc_id, string_agg(DISTINCT text, '|' ORDER BY text) AS ids FROM spans0 WHERE label IN ('email', 'card_number') GROUP BY doc_id), k AS (SELECT doc_id, CASE WHEN ids IS NOT NULL THEN 'ids::' || ids ELSE 'text::' || sha256(text) END AS group_key FROM documents LEFT JOIN m USING (doc_id)), s AS (SELECT doc_id, group_key, {_SPLIT('group_key')} AS split FROM k)"
+_CLASS = "'\\p{L}\\p{M}\\p{N}\\p{Pc}'"
+_FOUND = f"{SPANS0}, found AS (SELECT DISTINCT doc_id, d.text, label, CASE WHEN doc_id % 3 = 0 THEN upper(s.text) ELSE s.text END AS m FROM spans0 s JOIN documents d USING (doc_id))"
 _WORD = "[\\p{L}\\p{M}\\p{N}\\p{Pc}]"
 # An occurrence counts if neither neighbour is a word character: every suffix that starts with the mention is tried.
 _TOKEN = lambda m: f"({m} <> '' AND len(list_filter(range(1, length(text) - length({m}) + 2), lambda i: text[i:i + length({m}) - 1] = {m} AND (i = 1 OR NOT regexp_matches(text[i - 1], '{_WORD}')) AND (i + length({m}) > length(text) OR NOT regexp_matches(text[i + length({m})], '{_WORD}')))) > 0)"
@@ -308,7 +353,12 @@ SQL = {
     "dense_entities": "SELECT * FROM " + _values([(1, 22, 3), (2, 22, 2), (3, 22, 2), (4, 22, 4), (5, 22, 0), (6, 22, 2), (7, 22, 1)], "row_id, n_labels, n_present"),
     "training_examples": "SELECT row_id, classes, has_structure, n_relations FROM " + _values([(1, "direct_pii", True, 2), (2, "direct_pii,art9_health", False, 0), (3, "direct_pii", True, 0), (4, "direct_pii,art9_religion_ethnicity,art10_criminal", True, 0), (5, "no_sensitive", False, 0), (6, "direct_pii", True, 0)], "row_id, classes, has_structure, n_relations"),
     "task_coverage": "SELECT 5::BIGINT AS entities, 6::BIGINT AS classification, 4::BIGINT AS structures, 1::BIGINT AS relations, 6::BIGINT AS rows",
-    "deduped_documents": "SELECT min(doc_id) AS doc_id FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 7 <> 0 GROUP BY text",
+    "deduped_documents": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text",
+    "valid_documents": "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1",
+    "validated_documents": f"WITH {_FOUND} SELECT doc_id, bool_and(ok) AS valid, bool_and(ok) AS lenient, coalesce(string_agg(label || '=' || kept, ';' ORDER BY label) FILTER (kept IS NOT NULL), '') AS kept FROM (SELECT doc_id, label, bool_and(contains(text, m)) AS ok, string_agg(m, '/' ORDER BY m) FILTER (contains(text, m)) AS kept FROM found GROUP BY ALL) GROUP BY doc_id",
+    "document_cells": f"WITH {_FOUND} SELECT doc_id, string_agg(label || '=' || ms, ';' ORDER BY label) AS entities FROM (SELECT doc_id, label, string_agg(m, '/' ORDER BY m) AS ms FROM found GROUP BY ALL) GROUP BY doc_id",
+    "document_sensitivity": f"WITH {_FOUND} SELECT doc_id, CASE WHEN count(*) FILTER (contains(text, m) AND label <> 'ip_address' AND regexp_matches(text, '(?:^|[^' || {_CLASS} || '])' || regexp_escape(m) || '(?:$|[^' || {_CLASS} || '])')) > 0 THEN 'direct_pii' ELSE 'no_sensitive' END AS classes, CAST(count(DISTINCT label) FILTER (contains(text, m)) AS INTEGER) AS n_present FROM found GROUP BY doc_id",
+    "customer_records": "SELECT c_custkey AS row_id, c_custkey % 9 <> 0 AND c_custkey % 4 <> 0 AND c_custkey % 6 <> 0 AS valid FROM customer",
     "document_splits": f"{_KEYS} SELECT doc_id, group_key, split FROM s",
     "split_sizes": f"{_KEYS} SELECT split, count(*) AS n, count(DISTINCT group_key) AS n_groups FROM s GROUP BY split",
     "cleaned_splits": f"SELECT row_id, k AS group_key, {_SPLIT('k')} AS split FROM (SELECT row_id, CASE WHEN v LIKE 'ids::%' THEN v ELSE 'text::' || sha256(v) END AS k FROM {_E([(1, 'ids::19850315-2389|Anna Ek'), (2, 'ids::Anna|Bo'), (3, 'ids::Anna'), (4, 'ids::Bo'), (5, 'inget här'), (6, 'ids::Anna')])})",
@@ -316,8 +366,8 @@ SQL = {
     "similar_vector_pairs": "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3",
     "semantic_keep_mask": "WITH RECURSIVE p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3), n AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k, coalesce((SELECT list(a) FROM p WHERE b = vec_id), []) AS before FROM embeddings), g AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL SELECT n.k, CASE WHEN list_has_any(g.kept, n.before) THEN g.kept ELSE list_append(g.kept, n.vec_id) END FROM g JOIN n ON n.k = g.k + 1) SELECT vec_id, list_contains((SELECT kept FROM g ORDER BY k DESC LIMIT 1), vec_id) AS keep FROM embeddings",
     "pinned_pools": "SELECT pool, sha256('[\"' || v || '\"]')[1:16] AS sha FROM " + _values([(k, '", "'.join(v)) for k, v in pools.PINNED.items()], "pool, v"),
-    "gold_mentions": f"WITH {SPANS0} SELECT DISTINCT CAST(doc_id AS VARCHAR) AS text, label, lower(text) AS mention FROM spans0",
-    "example_json": "SELECT 'train' AS split, '{\"input\":\"' || doc_id || '\",\"output\":{\"quality\":' || quality || ',\"toxic\":' || toxic || '}}' AS value FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL",
+    "gold_mentions": f"WITH {SPANS0} SELECT DISTINCT d.text, label, lower(s.text) AS mention FROM spans0 s JOIN documents d USING (doc_id)",
+    "example_json": "SELECT 'train' AS split, '{\"input\":' || CAST(to_json(text) AS VARCHAR) || ',\"output\":{\"quality\":' || quality || ',\"toxic\":' || toxic || '}}' AS value FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL",
     "first_rows": "SELECT n_nationkey, n_name, n_regionkey FROM nation ORDER BY n_nationkey LIMIT 10",
     "export_names": r"""SELECT page_id, lpad(CAST(page_id % 100 AS VARCHAR), 2, '0') || '_' || regexp_replace(regexp_replace(f, '\.[^.]*$', ''), '[/\\:*?"<>|]+', '_', 'g') || '-redacted.png' AS entry, regexp_replace(f, '\.[^.]*$', '') || '-redacted.txt' AS text_name, 'Scan ' || page_id || '-p3.png' AS pdf_page, true AS is_pdf FROM (SELECT page_id, url || '/a:b*c.tar.png' AS f FROM pages)""",
     "appended_pages": "SELECT page_id, url FROM pages WHERE page_id % 2 = 0 OR url IS NOT NULL",

@@ -22,12 +22,13 @@ def _gold(spark: SparkSession, d: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     """Gold with losses, doubles in other case and inventions, each with a confidence."""
-    g = _gold(spark, d).distinct()
-    hit = g.filter("row_id % 4 <> 0").select("row_id", "label", F.upper("mention").alias("mention"), (0.3 + (F.col("row_id") % 60) / 100).alias("confidence"))
-    again = g.filter("row_id % 8 = 1").select("row_id", "label", "mention", F.lit(0.97).alias("confidence"))
-    made = g.filter("row_id % 3 = 0").select("row_id", "label", F.lit("made up").alias("mention"), ((F.col("row_id") % 90) / 100).alias("confidence"))
-    bare = g.filter("row_id % 16 = 4").select("row_id", "label", "mention", F.lit(None).cast("double").alias("confidence"))
-    return hit.unionByName(again).unionByName(made).unionByName(bare)
+    row = F.col("row_id")
+    said = lambda when, mention, sure: F.when(when, F.struct(mention.alias("mention"), sure.cast("double").alias("confidence")))
+    # One pass over the gold: each mention brings what is said of it.
+    kinds = F.array(
+        said(row % 4 != 0, F.upper("mention"), 0.3 + (row % 60) / 100), said(row % 8 == 1, F.col("mention"), F.lit(0.97)),
+        said(row % 3 == 0, F.lit("made up"), (row % 90) / 100), said(row % 16 == 4, F.col("mention"), F.lit(None)))
+    return _gold(spark, d).distinct().select("row_id", "label", F.inline(F.filter(kinds, lambda x: x.isNotNull())))
 
 
 def span_confusion(spark: SparkSession, d: str) -> DataFrame:
@@ -157,7 +158,7 @@ SQL = {
     "tuned_report": "WITH " + _GOLD + _GRID.replace("FROM best b FULL JOIN gold g", "FROM (SELECT * FROM best WHERE row_id % 2 = 0) b FULL JOIN (SELECT * FROM gold WHERE row_id % 2 = 0) g") + f", thr AS {_TUNE('cnt', 1.0)}, pr AS (SELECT row_id, label, mention, 1 AS p FROM best JOIN thr USING (label) WHERE confidence >= thr AND row_id % 2 = 1), cf AS (SELECT label, count(*) FILTER (g IS NOT NULL AND p IS NOT NULL) AS tp, count(*) FILTER (g IS NULL) AS fp, count(*) FILTER (p IS NULL) AS fn FROM (SELECT *, 1 AS g FROM gold WHERE row_id % 2 = 1) FULL JOIN pr USING (row_id, label, mention) GROUP BY label) SELECT label, tp + fn AS support, tp, fp, fn FROM cf",
     "scores_by_slice": f"WITH {_GOLD}, m AS (SELECT row_id, g, p FROM (SELECT *, 1 AS g FROM gold) FULL JOIN (SELECT *, 1 AS p FROM pred) USING (row_id, label, mention)), s AS (SELECT 'all' AS slice, '' AS value, g, p FROM m JOIN documents ON doc_id = row_id UNION ALL SELECT 'lang', lang, g, p FROM m JOIN documents ON doc_id = row_id UNION ALL SELECT 'source', source, g, p FROM m JOIN documents ON doc_id = row_id) SELECT slice, value, count(*) FILTER (g IS NOT NULL AND p IS NOT NULL) AS tp, count(*) FILTER (g IS NULL) AS fp, count(*) FILTER (p IS NULL) AS fn FROM s GROUP BY 1, 2",
     "pair_edges": f"WITH {_PEOPLE} SELECT row_id, field, value, owner FROM said",
-    "pairing_scores": f"WITH {_PEOPLE}, b AS (SELECT row_id, count(p) AS np, count(t) AS nt, count(p + t) AS hit FROM (SELECT *, 1 AS p FROM said) FULL JOIN (SELECT *, 1 AS t FROM truth) USING (row_id, field, value, owner) GROUP BY 1), s AS (SELECT row_id, nt, CASE WHEN np = 0 THEN 1.0 ELSE hit::DOUBLE / np END AS p, CASE WHEN nt = 0 THEN 1.0 ELSE hit::DOUBLE / nt END AS r FROM b), f AS (SELECT *, {_DIV('2.0 * p * r', 'p + r')} AS f1 FROM s) SELECT row_id, nt AS pairs_checked, f1 >= 0.5 AS success, round(p::DOUBLE, 9) AS precision, round(r::DOUBLE, 9) AS recall, round(f1, 9) AS f1 FROM f",
+    "pairing_scores": f"WITH {_PEOPLE}, b AS (SELECT row_id, count(p) AS np, count(t) AS nt, count(p + t) AS hit FROM (SELECT *, 1 AS p FROM said) FULL JOIN (SELECT *, 1 AS t FROM truth) USING (row_id, field, value, owner) GROUP BY 1), s AS (SELECT row_id, np, CASE WHEN np = 0 THEN 1.0 ELSE hit::DOUBLE / np END AS p, CASE WHEN nt = 0 THEN 1.0 ELSE hit::DOUBLE / nt END AS r FROM b), f AS (SELECT *, {_DIV('2.0 * p * r', 'p + r')} AS f1 FROM s) SELECT row_id, np AS pairs_checked, f1 >= 0.5 AS success, round(p::DOUBLE, 9) AS precision, round(r::DOUBLE, 9) AS recall, round(f1, 9) AS f1 FROM f",
     "judge_means": f"WITH {_JUDGED} SELECT metric, round(avg(score), 9) AS mean_score, count(*) FILTER (success) AS passed, count(*) AS n, round(count(*) FILTER (success)::DOUBLE / count(*), 9) AS pass_rate FROM j GROUP BY metric",
     "judge_gate": f"WITH {_JUDGED} SELECT 'all' AS rows, round(avg(success::INTEGER::DOUBLE), 9) AS pass_rate, count(*) AS n FROM j UNION ALL SELECT 'none', 0.0, 0",
     "quality_verdicts": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 0 WHEN doc_id % 3 = 0 THEN 2 ELSE 4 END AS verdict FROM labels",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brakta.functions.text import not_blank
 from brakta.operators.detect import PATTERNS, located
 from brakta.operators.filters import Rule, passes
 from brakta.operators.redact import mask_from_right
@@ -40,5 +41,5 @@ def masked_stream(spark: SparkSession, path: str, rules: dict[str, Rule], out: s
 
 def progress_frames(pages: DataFrame) -> DataFrame:
     """(image_id, place, stage): the stages a page's run reports; the detector starts only on a text that is not blank."""
-    stages = F.when(F.trim("text") != "", F.array(*map(F.lit, ("ocr_started", "ocr_done", "detection_started", "done")))).otherwise(F.array(*map(F.lit, ("ocr_started", "ocr_done", "done"))))
+    stages = F.when(not_blank(F.col("text")), F.array(*map(F.lit, ("ocr_started", "ocr_done", "detection_started", "done")))).otherwise(F.array(*map(F.lit, ("ocr_started", "ocr_done", "done"))))
     return pages.select("image_id", F.posexplode(stages).alias("place", "stage"))

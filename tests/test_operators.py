@@ -9,8 +9,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from brakta.functions import text as T
-from brakta.operators import boxes, curate, detect, filters, noise, redact, synth, taxonomy
+from brakta.operators import boxes, curate, detect, filters, metrics, noise, redact, synth, taxonomy, validate
 from brakta.operators.geometry import overlapping_ids
+from brakta.plans import order
 from brakta.sources import io
 from brakta.streaming import masking
 
@@ -209,3 +210,104 @@ def test_people_of_validated_records_are_in_the_group_key(spark, as_json):
     df = df.withColumn("records", F.to_json("records")) if as_json else df
     got = {r.row_id: r.group_key for r in curate.with_split(df, ["person", "personnummer"]).collect()}
     assert got == {1: "ids::19850315-2389|Anna|Bo", 2: "ids::Anna|Bo", 3: "ids::Anna", 4: "ids::Anna", 5: "ids::Anna"}
+
+
+def test_pairs_checked_are_the_predicted_ones(spark):
+    """The rule: how many owner pairs were asserted, whatever the truth holds."""
+    pair = "row_id int, field string, value string, owner string"
+    said = spark.createDataFrame([(1, "phone", "1", "a"), (1, "phone", "2", "a"), (1, "email", "x", "b")], pair)
+    true = spark.createDataFrame([(1, "phone", "1", "a"), (2, "phone", "9", "c")], pair)
+    rows = {r.row_id: r for r in metrics.pairing(said, true, spark.range(1, 4).select(F.col("id").cast("int").alias("row_id"))).collect()}
+    assert {i: r.pairs_checked for i, r in rows.items()} == {1: 3, 2: 0, 3: 0}
+    assert rows[2].precision == 1.0 and rows[2].recall == 0.0 and rows[3].f1 == 1.0
+
+
+def test_null_lists_of_mentions_are_skipped(spark):
+    rows = [(1, "Anna", {"person": ["Anna"], "mrz": None}), (2, "Anna", {"mrz": None}), (3, "Anna", {"person": ["Bo"], "mrz": None}), (4, None, {"mrz": None}), (5, None, {"person": ["x"]}), (6, "Anna", None), (7, "Anna", {"person": [None, ""]})]
+    df = spark.createDataFrame(rows, "i int, text string, entities map<string,array<string>>")
+    for rule in (validate.entities_valid, validate.entities_valid_lenient):
+        got = {r.i: r.ok for r in df.select("i", rule(F.col("text"), F.col("entities")).alias("ok")).collect()}
+        assert got == {1: True, 2: True, 3: False, 4: True, 5: False, 6: False, 7: True}
+
+
+def test_rules_that_one_engine_cannot_read_are_off(spark):
+    """Blank, broken, or valid in one dialect only: no error and no effect; white space around a pattern does not count."""
+    ask = lambda regex, text, mode="full": spark.range(1).select(filters.passes(filters.Rule(regex, mode), F.lit(text), F.lit(1.0)).alias("ok")).first().ok
+    assert ask("(?P<x>a)", "a") and not ask("(?P<x>a)", "b")
+    assert ask(r"(?P<x>a)(?P=x)", "aa") and not ask(r"(?P<x>a)(?P=x)", "ab")
+    assert ask("  ab ", "ab") and not ask("  ab ", "xab")
+    for off in ("", " \n", "(", "a{2", "(?(1)a|b)", "[[:odd:]&&[^x]]("):
+        assert ask(off, "whatever")
+    says = spark.range(1).select(*[filters.preview(filters.Rule(r), F.lit(t)).alias(f"c{i}") for i, (r, t) in enumerate((("a", " \t"), ("(", "a"), ("a", "a"), ("a", "b"), ("", "b")))]).first()
+    assert list(says) == ["empty", "invalid", "ok", "reject", "ok"]
+
+
+def test_blank_is_any_white_space(spark):
+    texts = [" ", "\n\t", "\x0b\x0c\r", "  　", "\x1c\x85", "", " a ", "\n.\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r.i: (r.kept, r.bare) for r in df.select("i", T.not_blank(F.col("text")).alias("kept"), T.stripped(F.col("text")).alias("bare")).collect()}
+    assert got == {i: (bool(t.strip()), t.strip()) for i, t in enumerate(texts)}
+
+
+def test_rule_tables(spark):
+    base = taxonomy.rules_table(spark)
+    assert filters.customised(base, base).filter("customised").count() == 0
+    assert filters.rule_counts(base).first().n_rules == base.count()
+    rules, enabled = filters.without_labels(["url"], base, spark.createDataFrame([("url",), ("email",)], "label string"))
+    assert rules.filter("label = 'url'").count() == 0 and [r.label for r in enabled.collect()] == ["email"]
+
+
+def test_selections(spark):
+    b = spark.createDataFrame([(1, "email", True), (2, "email", False), (3, "url", True), (4, "custom", True)], "box_id long, label string, enabled boolean")
+    ids = lambda df: sorted(r.box_id for r in df.collect())
+    assert ids(boxes.select_all(b, ["email"])) == [1, 4] and ids(boxes.select_only(b, 3)) == [3]
+    assert ids(boxes.select_toggled(b, b.filter("box_id < 3"), 3)) == [1, 2, 3] and ids(boxes.select_toggled(b, b.filter("box_id < 3"), 2)) == [1]
+
+
+class Script(random.Random):
+    """Draws as written down."""
+
+    def __init__(self, values):
+        super().__init__(0)
+        self.values = list(values)
+
+    def random(self):
+        return self.values.pop(0) if self.values else 0.999
+
+
+def test_merged_letters_belong_to_the_mention_that_ends_on_the_first():
+    """``rn`` read as m: a mention up to the r keeps the m, one from the n on does not get it."""
+    out, found = noise.noised("barn!", {"a": ["bar"], "b": ["n!"]}, Script([0.9, 0.9, 0.0]), 0.5)
+    assert out == "bam!" and found == {"a": ["bam"], "b": ["!"]}
+
+
+def test_shares_of_what_becomes_of_spaces():
+    """Long unstructured lines wrap for draws from .50 to .95, once a line; columns in structured lines are bars in 40 of 100 cases."""
+    line = "x" * 50 + " " + "y" * 5
+    for draw, want in ((0.2, "xy"), (0.4, "x  y"), (0.5, "x\ny"), (0.6, "x\ny"), (0.94, "x\ny"), (0.96, "x y")):
+        assert noise.noisy_spaces(line, Script([0.0, draw]), 1.0)[0] == want.replace("x", "x" * 50).replace("y", "y" * 5)
+    assert noise.noisy_spaces("a b", Script([0.0, 0.6]), 1.0)[0] == "a b"
+    for draw, want in ((0.39, "a | b|"), (0.41, "a   b|")):
+        assert noise.noisy_spaces("a b|", Script([0.0, 0.6, draw]), 1.0)[0] == want
+    # A mention's slice is taken as it stands.
+    assert noise.noised("ab cd", {"k": ["ab cd"]}, Script([0.9] * 5 + [0.0, 0.4]), 0.5)[1] == {"k": ["ab  cd"]}
+
+
+def test_noisy_copies_name_no_employer(spark):
+    rows = spark.createDataFrame([(1, "Anna, Norrvik Bygg AB", {"person": ["Anna"]}, "train", "Norrvik Bygg AB")], "row_id int, text string, entities map<string,array<string>>, split string, company string")
+    got = {r.noisy: r.company for r in noise.with_noisy_copies(rows, "row_id").collect()}
+    assert got == {False: "Norrvik Bygg AB", True: None}
+
+
+def test_ranks_over_ranges(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), (F.col("id") % 5).alias("v"))
+    got = [(r.k, r["rank"], r.before) for r in order.in_order(df, [F.col("k").asc()], "t", totals={"before": F.col("v")}).orderBy("k").collect()]
+    values = [r.v for r in df.orderBy("k").collect()]
+    assert got == [(i, i, sum(values[:i])) for i in range(1000)]
+    assert order.in_order(df.filter("k < 0"), [F.col("k").asc()], "t").count() == 0
+
+
+def test_numbered_boxes_go_on_from_page_to_page(spark):
+    rows = spark.createDataFrame([(p, s) for p in range(30) for s in range(p % 4)], "page_id long, span_no int")
+    got = sorted((r.page_id, r.span_no, r.box_id) for r in boxes.numbered(rows, 100).collect())
+    assert [x[2] for x in got] == list(range(100, 100 + rows.count()))
