@@ -56,18 +56,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, s
     return own.join(F.broadcast(few), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "y", "text_hash"]).select("doc_id", "y", "text")
 
 
-def in_one_task(sample: DataFrame, learn: Callable[[pa.Table], bytes]) -> bytes:
-    """What ``learn`` makes of a bounded sample, all of it in one task: the driver sees the result only.  The rows come in no order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if held:
-            yield pa.RecordBatch.from_pydict({"made": [learn(pa.Table.from_batches(held))]})
-
-    made = sample.repartition(1).mapInArrow(run, "made binary").collect()
-    return bytes(made[0]["made"]) if made else b""
-
-
 class Memo(dict):
     """A dictionary that computes what is missing, within a budget of bytes.
 
