@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Every round is two aggregations with map-side combination and two joins, on a
-table staged in the shared folder; no component and no link reaches the driver,
+Every round is two aggregations with map-side combination and two joins, each on
+tables staged in the shared folder; no component and no link reaches the driver,
 which sees a count and a checksum a round.  A vertex with very many neighbours
 would be one join key, hence one task: such hubs are few, at most two for each
 share of the links that makes one, so they are broadcast and their links stay
@@ -44,11 +44,14 @@ def connected_components(links: DataFrame, tag: str, rounds: int = 60) -> DataFr
         if mark == seen or mark[0] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = mark
+        # Each step is staged: plans stay as small as one step, whatever the round.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        star = hub_join(both.filter("v > u"), least, "u", mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = star.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        least = stage(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), f"{tag}-least")
+        # Links (u, v) have v below u, so from the lower end they are (v, u).
+        star = stage(hub_join(edges.select(F.col("v").alias("u"), F.col("u").alias("v")), least, "u", mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{tag}-star")
+        low = stage(star.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), f"{tag}-low")
         small = hub_join(star, low, "u", mark[0]).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         before, edges = edges, stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{tag}-cc")
-        unstage(before)
+        for done in (before, least, star, low):
+            unstage(done)
     raise RuntimeError(f"no fixed point after {rounds} rounds")

@@ -154,7 +154,7 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5,
     goals = targets(hist, cycle, float(share), float(cap))
     total = sizes.count()
     facts = goals.select("source", F.struct("src", "source_size", "target").alias("m"), F.col("n_docs").alias("n"))
-    named = hub_join(sizes, facts, "source", total).select(*(c for c in sizes.columns if c != "source"), "m.*")
+    named = stage(hub_join(sizes, facts, "source", total).select(*(c for c in sizes.columns if c != "source"), "m.*"), "named-sizes")
     cells = hist.join(goals, "source").drop("source").filter("size > 0")
     x = F.col("size") * F.col("n_docs") / F.col("source_size")
     scaled = stage(cells.select("src", x.alias("x"), (F.col("size") * F.col("n") / F.col("source_size")).alias("w")), "size-cells")
@@ -162,10 +162,12 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5,
     unstage(scaled)
     tilted = cells.join(tilts, "src", "left").withColumn("rate", rate(F.col("tilt"), x, float(cap)))
     copies = stage(allot(tilted, cap), "copies")
+    unstage(tilts)
 
     # Parts of at most some ten thousand documents that share source and size: copies are dealt to parts, then by rank.
     parts = max(64, math.ceil(total / 20_000))
-    salted = placed(named, total, parts)
+    salted = stage(placed(named, total, parts), "salted-sizes")
+    unstage(named)
     held = salted.filter("size > 0").groupBy("src", "size", "part").agg(F.count("*").alias("held"))
     upto = F.sum("held").over(Window.partitionBy("src", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     dealt = held.withColumn("upto", upto).join(copies, ["src", "size"]).select(
