@@ -12,7 +12,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 
 @F.pandas_udf(StringType())
@@ -65,6 +65,36 @@ def records(cell: Column) -> Column:
     return F.transform(raw, lambda x: F.map_filter(F.from_json(x, "map<string,string>"), lambda k, v: v.isNotNull()))
 
 
+def scalars(value: object) -> list[str]:
+    """Scalar strings of a nested value in order: lists, objects, and strings that hold either as JSON or a literal; blank ones and NaN count for nothing."""
+    if value is None or isinstance(value, float) and value != value:
+        return []
+    if isinstance(value, dict):
+        return [x for v in value.values() for x in scalars(v)]
+    if isinstance(value, (list, tuple)):
+        return [x for v in value for x in scalars(v)]
+    text = str(value).strip()
+    if isinstance(value, str) and text[:1] in ("[", "{", "("):
+        for read in (json.loads, ast.literal_eval):
+            try:
+                held = read(text)
+            except (ValueError, SyntaxError, RecursionError, MemoryError):
+                continue
+            if isinstance(held, (dict, list, tuple)):
+                return scalars(held)
+    return [text] if text else []
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _scalars_of_json(cells: pd.Series) -> pd.Series:
+    return cells.map(lambda c: scalars(json.loads(c)) if c else [])
+
+
+def grounding(columns: list[Column]) -> Column:
+    """All scalar strings of some columns in order, whatever their nesting. Python, batch by batch: strings may hold literals of either dialect."""
+    return _scalars_of_json(F.to_json(F.struct(*[c.alias(f"c{i:02d}") for i, c in enumerate(columns)])))
+
+
 def leaves(cells: list[Column]) -> Column:
     """Scalar strings of string and array columns in order, trimmed, without empty ones."""
     return F.filter(F.transform(F.flatten(F.array(*cells)), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))

@@ -9,7 +9,7 @@ from pyspark.sql.types import StringType
 from brakta.functions import parsing
 from brakta.functions.text import hash_fraction
 from brakta.operators.validate import clean_entities
-from brakta.plans.staging import stage
+from brakta.plans.staging import stage, unstage
 
 
 def valid_only(rows: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def close_pairs(vectors: DataFrame, threshold: float, key: str, vec: str, block:
     def pairs(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         ids, own = table.column("id").to_numpy(), table.column("own").to_numpy()
-        v = np.array(table.column("v").to_pylist(), float)
+        v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a, b = np.nonzero(v[left] @ v[right].T >= threshold)
         a, b = ids[left[a]], ids[right[b]]
@@ -61,19 +61,21 @@ def greedy_keep(ids: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     Rounds instead of a scan: what has no earlier open or kept neighbour is kept,
     and drops its later neighbours; each round is staged in the shared folder.
     """
-    edges = stage(pairs.select("a", "b"), "close-pairs")
-    dropped = None
-    live = edges
+    live, dropped = stage(pairs.select("a", "b"), "close-pairs"), None
     while True:
         # Rows that are the later end of a live pair wait; all other earlier ends are kept and drop their later ends.
         waiting = live.select(F.col("b").alias("a")).distinct()
         kept_now = live.select("a").distinct().join(waiting, "a", "left_anti")
         gone = live.join(kept_now, "a", "left_semi").select(F.col("b").alias("id")).distinct()
         gone = stage(gone, "dropped")
-        dropped = gone if dropped is None else dropped.unionByName(gone)
+        before, dropped = dropped, gone if dropped is None else stage(dropped.unionByName(gone), "all-dropped")
+        if before is not None:
+            unstage(before)
         rest = live.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti")
         rest = stage(rest.join(kept_now, "a", "left_anti"), "live-pairs")
+        unstage(live)
         if rest.isEmpty():
+            unstage(rest)
             break
         live = rest
     marks = dropped.select(F.col("id").alias(key), F.lit(False).alias("keep"))

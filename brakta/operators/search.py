@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from brakta.operators.detect import located
 
 #: Letters that folding makes plain.
+WORD = r"[\p{L}\p{N}]"
 FOLD_FROM, FOLD_TO = "åäöéüÅÄÖÉÜ", "aaoeuAAOEU"
 
 
@@ -23,11 +24,30 @@ def phrase_pattern(words: str) -> str:
     return r"\s+".join(re.escape(w) for w in words.split())
 
 
-def find_phrase(lines: DataFrame, words: str, fold: bool = True) -> DataFrame:
-    """(doc_id, line_no, text, start, end) of a phrase in lines, whatever its case and diacritics."""
+def find_phrase(lines: DataFrame, words: str, fold: bool = True, whole: bool = False) -> DataFrame:
+    """(doc_id, line_no, text, start, end) of a phrase in lines, whatever its case and diacritics; ``whole``: only where no letter or digit touches it."""
     plain = words.lower().translate(str.maketrans(FOLD_FROM.lower(), FOLD_TO.lower(), "")) if fold else words
-    hay = folded(F.col("text")) if fold else F.col("text")
-    return find_pattern(lines.withColumn("text", hay), phrase_pattern(plain))
+    hay = lines.withColumn("text", folded(F.col("text"))) if fold else lines
+    hits = find_pattern(hay, phrase_pattern(plain))
+    if not whole:
+        return hits
+    # The letters around a hit are read from its line; lines and hits are dealt alike by document and line.
+    line = hay.select("doc_id", "line_no", F.col("text").alias("line"), F.col("start").alias("line_start"))
+    near = hits.join(line, ["doc_id", "line_no"])
+    at, end = F.col("start") - F.col("line_start"), F.col("end") - F.col("line_start")
+    before = F.when(at > 0, F.col("line").substr(at.cast("int"), F.lit(1))).otherwise("")
+    after = F.col("line").substr((end + 1).cast("int"), F.lit(1))
+    return near.filter(~before.rlike(WORD) & ~after.rlike(WORD)).select("doc_id", "line_no", "text", "start", "end")
+
+
+def boxes_of_hits(lines: DataFrame, hits: DataFrame, whole_line: bool = False) -> DataFrame:
+    """(doc_id, line_no, start, end, x, y, w, h): a box for each hit, tight or as wide as its line. lines: with offsets and x, y, w, h."""
+    line = lines.select("doc_id", "line_no", F.col("start").alias("line_start"), F.length("text").alias("n"), "x", "y", "w", "h")
+    met = hits.join(line, ["doc_id", "line_no"])
+    if whole_line:
+        return met.select("doc_id", "line_no", "start", "end", "x", "y", "w", "h")
+    edge = lambda c: F.floor(F.col("w") * (F.col(c) - F.col("line_start")) / F.greatest(F.col("n"), F.lit(1))).cast("long")
+    return met.select("doc_id", "line_no", "start", "end", (F.col("x") + edge("start")).alias("x"), "y", F.greatest(F.lit(1), edge("end") - edge("start")).alias("w"), "h")
 
 
 def find_pattern(lines: DataFrame, pattern: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brakta.functions import parsing
 from brakta.functions.text import collapse
 
 
@@ -54,3 +55,18 @@ def records_valid(rows: DataFrame) -> DataFrame:
 
     valid = F.when(F.col("records").isNull() | F.col("seed_subjects").isNull(), False).otherwise(F.forall("records", lambda r: F.coalesce(one(r), F.lit(False))))
     return rows.select("row_id", valid.alias("valid"))
+
+
+#: The seed columns whose values a text may use.
+SEED_FIELDS = ("seed_person", "seed_email", "seed_phone", "seed_personnummer", "seed_company", "seed_address", "seed_date", "seed_url", "seed_health", "seed_religion_ethnicity", "seed_criminal", "seed_card", "seed_iban", "seed_ip", "seed_username", "seed_dob", "seed_subjects")
+# The task that a judge is shown.
+TASK = "Task: write a realistic Swedish PII text fragment that uses only the seed PII values below, and label every PII mention.\n\nSeed PII values (the only allowed PII):\n"
+
+
+def test_cases(rows: DataFrame, key: str, seeds: list[str] | None = None) -> DataFrame:
+    """(key, input, actual_output, expected_output, context) for a judge: the task with its seeds, the text, the entities as JSON, the seeds. rows: (key, text, entities map) and seed columns, missing ones left out."""
+    fields = [c for c in seeds or SEED_FIELDS if c in rows.columns]
+    made = rows.withColumn("context", parsing.grounding([F.col(c) for c in fields]) if fields else F.array().cast("array<string>"))
+    block = F.when(F.size("context") > 0, F.array_join(F.transform("context", lambda v: F.concat(F.lit("- "), v)), "\n")).otherwise(F.lit("(no seed values)"))
+    entities = F.coalesce(F.to_json("entities"), F.lit("{}"))
+    return made.select(key, F.concat(F.lit(TASK), block).alias("input"), F.coalesce("text", F.lit("")).alias("actual_output"), entities.alias("expected_output"), "context")

@@ -127,8 +127,14 @@ def seed_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def test_cases(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer")
-    return c.select("c_custkey", F.concat_ws("\n", F.lit("Text:"), F.col("c_name"), F.lit("Labels:"), F.col("c_mktsegment")).alias("input"), F.to_json(F.struct(F.col("c_name").alias("name"))).alias("expected"))
+    """Customers as rows to judge: a name, an object, a list with a blank, and a list written as text; every seventh has no seeds."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    some = k % 7 != 0
+    rows = c.select(
+        "c_custkey", F.concat_ws(", ", "c_name", "c_mktsegment").alias("text"), F.create_map(F.lit("person"), F.array("c_name")).alias("entities"),
+        F.when(some, F.col("c_name")).alias("seed_person"), F.when(some, F.struct(F.col("c_mktsegment").alias("name"), k.alias("no"))).alias("seed_company"),
+        F.when(some, F.array(F.lit(" "), F.lit(" x "))).alias("seed_subjects"), F.when(some, F.concat(F.lit("['a', {'b': "), k.cast("string"), F.lit("}]"))).alias("seed_url"))
+    return validate.test_cases(rows, "c_custkey").withColumn("context", F.array_join("context", "|"))
 
 
 def token_matches(spark: SparkSession, d: str) -> DataFrame:
@@ -330,6 +336,7 @@ _FOUND = f"{SPANS0}, found AS (SELECT DISTINCT doc_id, d.text, label, CASE WHEN
 _WORD = "[\\p{L}\\p{M}\\p{N}\\p{Pc}]"
 # An occurrence counts if neither neighbour is a word character: every suffix that starts with the mention is tried.
 _TOKEN = lambda m: f"({m} <> '' AND len(list_filter(range(1, length(text) - length({m}) + 2), lambda i: text[i:i + length({m}) - 1] = {m} AND (i = 1 OR NOT regexp_matches(text[i - 1], '{_WORD}')) AND (i + length({m}) > length(text) OR NOT regexp_matches(text[i + length({m})], '{_WORD}')))) > 0)"
+_quoted = lambda text: "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 _E = lambda rows: _values(rows, "row_id, v")
 
 SQL = {
@@ -344,7 +351,7 @@ SQL = {
     "validated_records": "SELECT row_id, v = 'true' AS valid FROM " + _E([(1, "false"), (2, "false"), (3, "false"), (4, "true"), (5, "false"), (6, "true"), (7, "false"), (8, "false")]),
     "matched_addresses": "SELECT row_id AS i, v = 'true' AS matches FROM " + _E([(1, "true"), (2, "true"), (3, "false"), (4, "true"), (5, "false"), (6, "true")]),
     "seed_values": "SELECT c_custkey, c_name || '|' || c_mktsegment || '|x' AS leaves FROM customer",
-    "test_cases": "SELECT c_custkey, 'Text:' || chr(10) || c_name || chr(10) || 'Labels:' || chr(10) || c_mktsegment AS input, '{\"name\":\"' || c_name || '\"}' AS expected FROM customer",
+    "test_cases": f"SELECT c_custkey, {_quoted(validate.TASK)} || CASE WHEN len(v) = 0 THEN '(no seed values)' ELSE array_to_string(list_transform(v, lambda x: '- ' || x), chr(10)) END AS input, c_name || ', ' || c_mktsegment AS actual_output, '{{\"person\":[\"' || c_name || '\"]}}' AS expected_output, array_to_string(v, '|') AS context FROM (SELECT *, CASE WHEN c_custkey % 7 = 0 THEN []::VARCHAR[] ELSE [c_name, c_mktsegment, CAST(c_custkey AS VARCHAR), 'a', CAST(c_custkey AS VARCHAR), 'x'] END AS v FROM customer)",
     "token_matches": f"SELECT conv_id, turn, {_TOKEN('m')} AS matched, {_TOKEN('m[1:2]')} AS part_matched FROM (SELECT *, split_part(text, ' ', 3) AS m FROM conversations)",
     "sensitivity_classes": "SELECT row_id, v AS classes FROM " + _E([(1, "direct_pii"), (2, "direct_pii,art9_health"), (3, "direct_pii"), (4, "direct_pii,art9_religion_ethnicity,art10_criminal"), (5, "no_sensitive"), (6, "direct_pii"), (7, "no_sensitive")]),
     "person_records": "SELECT * FROM " + _values([(1, "Anna Ek", "19850315-2389", None, None, None), (2, None, None, None, None, None), (3, None, None, None, "Umeå", None), (4, "Bo", None, None, None, None), (5, None, None, None, None, None), (6, None, None, "a|b", None, None), (7, None, None, None, None, None)], "row_id, name, personnummer, phone, address, employer"),

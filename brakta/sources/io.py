@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, fields
 from datetime import UTC, datetime
+from io import BytesIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,6 +66,25 @@ def write_sanitized(pages: DataFrame, path: str) -> None:
     pages.select(redacted_name(F.col("file_name")).alias("name"), "text").write.mode("overwrite").json(path)
 
 
+def write_text_files(pages: DataFrame, path: str) -> None:
+    """Each page's text under ``redacted_name`` in a folder of its own name, which Spark writes whole or not at all. pages: (file_name, text), names distinct."""
+    pages.select("text", redacted_name(F.col("file_name")).alias("name")).write.partitionBy("name").option("lineSep", "\n").mode("overwrite").text(path)
+
+
+def archive(pages: DataFrame) -> DataFrame:
+    """(document, zip): the pages of each document in one ZIP, in order. pages: (document, place, entry, content binary); a document's pages must fit a task."""
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for entry, content in pdf.sort_values("place")[["entry", "content"]].itertuples(index=False):
+                z.writestr(zipfile.ZipInfo(entry), content)
+        return pd.DataFrame({"document": [key[0]], "zip": [out.getvalue()]})
+
+    kind = dict(pages.dtypes)["document"]
+    return pages.groupBy("document").applyInPandas(one, f"document {kind}, zip binary")
+
+
 def redacted_name(file_name: Column) -> Column:
     return F.concat(F.regexp_replace(file_name, r"\.[^.]*$", ""), F.lit("-redacted.txt"))
 

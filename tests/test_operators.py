@@ -2,14 +2,17 @@
 
 import random
 import re
+import zipfile
+from io import BytesIO
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from brakta.functions import parsing
 from brakta.functions import text as T
-from brakta.operators import boxes, curate, detect, filters, metrics, noise, redact, synth, taxonomy, validate
+from brakta.operators import boxes, curate, detect, filters, metrics, noise, redact, search, synth, taxonomy, validate
 from brakta.operators.geometry import overlapping_ids
 from brakta.plans import order
 from brakta.sources import io
@@ -311,3 +314,37 @@ def test_numbered_boxes_go_on_from_page_to_page(spark):
     rows = spark.createDataFrame([(p, s) for p in range(30) for s in range(p % 4)], "page_id long, span_no int")
     got = sorted((r.page_id, r.span_no, r.box_id) for r in boxes.numbered(rows, 100).collect())
     assert [x[2] for x in got] == list(range(100, 100 + rows.count()))
+
+
+def test_grounding_values_of_nested_and_written_seeds(spark):
+    """Scalars in order, through lists, objects, and either written as text; what is broken is a scalar."""
+    rows = [(1, "Anna", ["x", " "], '[{"name": "Bo", "tel": null}, ["c", 5]]'), (2, None, None, "('a', {'b': 'c'})"), (3, " nan ", [], "[broken"), (4, None, None, None), (5, "{}", None, "")]
+    df = spark.createDataFrame(rows, "i int, a string, b array<string>, c string")
+    got = {r.i: r.v for r in df.select("i", parsing.grounding([F.col("a"), F.col("b"), F.col("c")]).alias("v")).collect()}
+    assert got == {1: ["Anna", "x", "Bo", "c", "5"], 2: ["a", "c"], 3: ["nan", "[broken"], 4: [], 5: []}
+    assert parsing.scalars([1.5, float("nan"), True, {"k": [None, "v"]}]) == ["1.5", "True", "v"]
+
+
+def test_cases_without_seeds(spark):
+    df = spark.createDataFrame([(1, None, None)], "row_id int, text string, entities map<string,array<string>>")
+    r = validate.test_cases(df, "row_id").first()
+    assert r.input.endswith("(no seed values)") and (r.actual_output, r.expected_output, r.context) == ("", "{}", [])
+
+
+def test_whole_words_and_their_boxes(spark):
+    lines = spark.createDataFrame([(1, 0, "Åsa går, asa", 0, 12, 10, 0, 120, 16), (1, 1, "Åsalund asa1", 13, 25, 10, 20, 120, 16)], "doc_id long, line_no int, text string, start long, end long, x int, y int, w int, h int")
+    every, whole = (search.find_phrase(lines, "åsa", whole=w).collect() for w in (False, True))
+    assert sorted(r.start for r in every) == [0, 9, 13, 21] and sorted(r.start for r in whole) == [0, 9]
+    hits = search.find_phrase(lines, "åsa", whole=True)
+    assert sorted((r.x, r.y, r.w) for r in search.boxes_of_hits(lines, hits).collect()) == [(10, 0, 30), (100, 0, 30)]
+    assert {(r.x, r.w) for r in search.boxes_of_hits(lines, hits, whole_line=True).collect()} == {(10, 120)}
+
+
+def test_archives_and_text_files(spark, tmp_path):
+    pages = spark.createDataFrame([("d", 2, "02_b.png", b"B"), ("d", 1, "01_a.png", b"A"), ("e", 1, "01_c.png", b"C")], "document string, place int, entry string, content binary")
+    got = {r.document: bytes(r.zip) for r in io.archive(pages).collect()}
+    with zipfile.ZipFile(BytesIO(got["d"])) as z:
+        assert z.namelist() == ["01_a.png", "02_b.png"] and z.read("02_b.png") == b"B"
+    assert set(got) == {"d", "e"}
+    io.write_text_files(spark.createDataFrame([("a.png", "one"), ("b.png", "two")], "file_name string, text string"), f"{tmp_path}/texts")
+    assert {(r.name, r.value) for r in spark.read.text(f"{tmp_path}/texts").collect()} == {("a-redacted.txt", "one"), ("b-redacted.txt", "two")}
