@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 from brakta.functions import parsing
 from brakta.functions.text import hash_fraction
@@ -29,13 +36,51 @@ def normalised(vec: Column) -> Column:
     return F.transform(vec, lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-12)))
 
 
+def embedded(rows: DataFrame, text: str, make: Callable[[], Callable[[list[str]], list[tuple[int, list[float]]]]], batch: int = 64, vec: str = "embedding") -> DataFrame:
+    """Adds the unit vector of each text, null as the empty text.
+
+    make() is called once a task and gives embed(texts) -> (place in texts, vector), in any order, for at most
+    ``batch`` texts at a time.  An answer that does not have one vector for each text ends the query in a ValueError.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        embed = make()
+        for part in parts:
+            out: list[np.ndarray] = []
+            for at in range(0, len(part), batch):
+                chunk = [x or "" for x in part[text].iloc[at : at + batch]]
+                said = sorted(embed(chunk), key=lambda x: x[0])
+                if [i for i, _ in said] != list(range(len(chunk))):
+                    raise ValueError(f"{len(said)} vectors for {len(chunk)} texts, or not one for each")
+                v = np.asarray([x for _, x in said], np.float32)
+                out.extend(v / np.clip(np.linalg.norm(v, axis=1, keepdims=True), 1e-12, None))
+            yield part.assign(**{vec: out})
+
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField(vec, ArrayType(FloatType()))]))
+
+
+def without_near_copies(rows: DataFrame, key: str, text: str, make: Callable, threshold: float = 0.95, batch: int = 64) -> DataFrame:
+    """Rows that greedy semantic dedup keeps, at a threshold brought into [0.5, 1]; a row without a key stays.
+
+    Rows without the text column, and no rows, pass as they are; so does all when the embedder fails, with a warning.
+    """
+    if text not in rows.columns or rows.isEmpty():
+        return rows
+    try:
+        vectors = stage(embedded(rows.filter(F.col(key).isNotNull()).select(key, text), text, make, batch).drop(text), "text-vectors")
+    except (PySparkException, Py4JJavaError) as e:
+        logging.getLogger(__name__).warning("no semantic dedup, all rows are kept: %s", e)
+        return rows
+    gone = dedup_texts(vectors, threshold, key, clamp=True).filter("not keep")
+    return rows.join(gone.select(key), key, "left_anti")
+
+
 def close_pairs(vectors: DataFrame, threshold: float, key: str, vec: str, block: int = 512) -> DataFrame:
     """(a, b), a < b, of vectors whose normalised dot product reaches the threshold: exact, block by block.
 
     The comparison is exhaustive by definition; each pair of blocks is one task's
     matrix product and only pairs that link leave it.
     """
-    import numpy as np
     import pyarrow as pa
 
     rows = vectors.select(F.col(key).cast("long").alias("id"), normalised(F.col(vec)).alias("v"))

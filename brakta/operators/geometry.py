@@ -19,14 +19,26 @@ def polygon_bounds(poly: Column) -> Column:
     return F.when(~F.coalesce(bad, F.lit(True)), F.struct(F.array_min(axis(1)).alias("x0"), F.array_min(axis(2)).alias("y0"), F.array_max(axis(1)).alias("x1"), F.array_max(axis(2)).alias("y1")))
 
 
+def zipped() -> Column:
+    """Texts with their polygons, as far as both go."""
+    n = F.least(F.size("texts"), F.size("polys"))
+    return F.arrays_zip(F.slice("texts", F.lit(1), n).alias("text"), F.slice("polys", F.lit(1), n).alias("poly"))
+
+
+def ocr_counters(pages: DataFrame) -> DataFrame:
+    """(image_id, detected, recognised, kept): polygons, texts that are not blank, and lines that have both, over an image's pages; a null list has none."""
+    size = lambda c: F.greatest(F.size(c), F.lit(0)).cast("long")
+    per = pages.select("image_id", size(F.col("polys")).alias("d"), size(F.filter("texts", not_blank)).alias("r"), size(F.filter(zipped(), lambda x: not_blank(x["text"]) & polygon_bounds(x["poly"]).isNotNull())).alias("k"))
+    return per.groupBy("image_id").agg(F.sum("d").alias("detected"), F.sum("r").alias("recognised"), F.sum("k").alias("kept"))
+
+
 def page_lines(pages: DataFrame) -> DataFrame:
     """Lines with offsets in the newline-joined text of an image.
 
     pages: (image_id, page_no, texts array<string>, polys array<array<array<double>>>).
     Blank texts and broken polygons are skipped; offsets go on from page to page.
     """
-    zipped = F.arrays_zip(F.slice("texts", F.lit(1), F.least(F.size("texts"), F.size("polys"))).alias("text"), F.slice("polys", F.lit(1), F.least(F.size("texts"), F.size("polys"))).alias("poly"))
-    rows = pages.select("image_id", "page_no", F.posexplode(zipped).alias("pos", "line")).select("image_id", "page_no", "pos", F.col("line.text").alias("text"), polygon_bounds(F.col("line.poly")).alias("b"))
+    rows = pages.select("image_id", "page_no", F.posexplode(zipped()).alias("pos", "line")).select("image_id", "page_no", "pos", F.col("line.text").alias("text"), polygon_bounds(F.col("line.poly")).alias("b"))
     kept = rows.filter(not_blank(F.col("text")) & F.col("b").isNotNull())
     return with_offsets(kept.select("image_id", "page_no", "pos", "text", F.col("b.x0").alias("x"), F.col("b.y0").alias("y"), (F.col("b.x1") - F.col("b.x0")).alias("w"), (F.col("b.y1") - F.col("b.y0")).alias("h")), "image_id", ["page_no", "pos"])
 
@@ -131,6 +143,20 @@ def resized(box: dict[str, Column], handle: Column, px: Column, py: Column, widt
     return {"x": js_round(left), "y": js_round(top), "w": js_round(right - left), "h": js_round(low - top)}
 
 
+def edited(boxes: DataFrame, edits: DataFrame, lines: DataFrame, key: str, width: Column, height: Column) -> DataFrame:
+    """Boxes after edits (box_id, handle, px, py), at most one a box: without a handle the box moves to the point, else the handle does.
+
+    Drawn boxes take the text that then lies under them, others keep theirs. boxes: (key, box_id, x, y, w, h, text, custom, ...).
+    """
+    old = {c: F.col(c) for c in "xywh"}
+    move = moved(F.col("px"), F.col("py"), old["w"], old["h"], width, height) | {"w": old["w"], "h": old["h"]}
+    size = resized(old, F.col("handle"), F.col("px"), F.col("py"), width, height)
+    now = {c: F.when(F.col("px").isNull(), old[c]).when(F.col("handle").isNull(), move[c]).otherwise(size[c]).cast("long") for c in "xywh"}
+    placed = boxes.join(edits.select("box_id", "handle", "px", "py"), "box_id", "left").withColumns(now)
+    under = text_in_box(placed.filter("px is not null and custom").select(key, "box_id", *"xywh"), lines, key).withColumnRenamed("text", "__under")
+    return placed.join(under, "box_id", "left").withColumn("text", F.coalesce("__under", "text")).select(*boxes.columns)
+
+
 def fraction_box(width: Column, height: Column, fx: Column, fy: Column, fw: Column, fh: Column) -> dict[str, Column]:
     """A box given by fractions of an image, at least a pixel wide and high."""
     return {"x": js_round(width * fx), "y": js_round(height * fy), "w": F.greatest(F.lit(1), js_round(width * fw)), "h": F.greatest(F.lit(1), js_round(height * fh))}

@@ -80,6 +80,14 @@ def at_thresholds(candidates: DataFrame, thresholds: DataFrame) -> DataFrame:
     return best_confidence(candidates).join(F.broadcast(thresholds.select("label", "thr")), "label").filter("confidence >= thr").select("row_id", "label", "mention")
 
 
+def fixed_and_tuned(val_candidates: DataFrame, val_gold: DataFrame, candidates: DataFrame, gold: DataFrame, labels: DataFrame, beta: float = 1.0) -> DataFrame:
+    """report() of the same candidates twice, told by ``threshold``: at 0.5 for all labels (0.5), and at thresholds tuned on the validation rows (-1)."""
+    tuned = tune(counts_on_grid(val_candidates, val_gold, labels), beta)
+    half = labels.select("label", F.lit(0.5).alias("thr"))
+    one = lambda thr, mark: report(confusion(gold, at_thresholds(candidates, thr)), labels).withColumn("threshold", F.lit(mark))
+    return one(half, 0.5).unionByName(one(tuned, -1.0))
+
+
 def edges(rows: DataFrame, records: str) -> DataFrame:
     """Distinct (row_id, field, value, owner) of records with a name. rows: (row_id, array of maps)."""
     r = rows.select("row_id", F.explode(records).alias("r"))

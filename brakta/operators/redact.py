@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brakta.operators.boxes import is_visible
 from brakta.operators.detect import Detector
 from brakta.operators.filters import Rule, filtered
 
@@ -50,3 +55,25 @@ def anonymize(docs: DataFrame, detector: Detector, rules: dict[str, Rule], thres
     joined = docs.select("doc_id", "text").join(spans, "doc_id", "left")
     masked = F.when(F.col("spans").isNull(), F.col("text")).otherwise(mask_from_right(F.col("text"), F.col("spans")))
     return joined.select("doc_id", "text", "spans", F.coalesce("n_spans", F.lit(0)).alias("n_spans"), masked.alias("masked_text"))
+
+
+def fills(boxes: DataFrame, active: list[str], key: str) -> DataFrame:
+    """(key, rects): the rectangles that cover an image's visible boxes, in box order."""
+    return boxes.filter(is_visible(active)).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("box_id", "x", "y", "w", "h"))).alias("rects"))
+
+
+def painted(images: DataFrame, rects: DataFrame, key: str, color: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
+    """Images with their rectangles filled, as far as they lie in the image. images: (key, width, height, pixels: RGB bytes, row by row); one without rectangles stays."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            done = []
+            for width, height, pixels, found in zip(part["width"], part["height"], part["pixels"], part["rects"], strict=True):
+                image = np.frombuffer(pixels, np.uint8).reshape(height, width, 3).copy()
+                for r in found if found is not None else ():
+                    image[max(0, r["y"]) : max(0, r["y"] + r["h"]), max(0, r["x"]) : max(0, r["x"] + r["w"])] = color
+                done.append(image.tobytes())
+            yield part.drop(columns="rects").assign(pixels=done)
+
+    plain = images.select(key, "width", "height", "pixels")
+    return plain.join(rects.select(key, "rects"), key, "left").mapInPandas(run, plain.schema)

@@ -6,13 +6,15 @@ on any number of executors and a row does not depend on another.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brakta.functions.text import email_from_name, hash_fraction, luhn_check_digit, mrz_check, mrz_fold, passport_date, pick, postcode, swedish_iban, weighted_pick
-from brakta.operators import pools
+from brakta.operators import pools, validate
+from brakta.operators.metrics import rubric_scores
 from brakta.operators.taxonomy import LABELS
 
 
@@ -76,6 +78,35 @@ def bankgiro(fraction: Column, digits: Column) -> Column:
     return F.when(fraction < 0.5, F.concat(F.substring(d, 1, 3), F.lit("-"), F.substring(d, 5, 4))).otherwise(F.concat(F.substring(d, 1, 4), F.lit("-"), F.substring(d, 5, 4)))
 
 
+def card_number(digits: Column) -> Column:
+    """Sixteen digits that begin with 4 and pass the Luhn check. digits: a number of up to fourteen digits."""
+    body = F.concat(F.lit("4"), padded(digits, 14))
+    return F.concat(body, luhn_check_digit(body).cast("string"))
+
+
+def org_number(digits: Column) -> Column:
+    """NNNNNN-NNNC, where C completes the nine digits; the third is 2 or more. digits: a number of up to nine digits."""
+    d = padded(digits, 9)
+    body = F.concat(F.substring(d, 1, 2), (F.substring(d, 3, 1).cast("int") % 8 + 2).cast("string"), F.substring(d, 4, 6))
+    return F.concat(F.substring(body, 1, 6), F.lit("-"), F.substring(body, 7, 3), luhn_check_digit(body).cast("string"))
+
+
+def phone(style: Column, digits: Column) -> Column:
+    """070-NNN NN NN, +46 70 NNN NN NN or 08-NNN NN NN, evenly. digits: a number of up to seven digits."""
+    d = padded(digits, 7)
+    tail = F.concat_ws(" ", F.substring(d, 1, 3), F.substring(d, 4, 2), F.substring(d, 6, 2))
+    return F.concat(F.when(style < 1 / 3, "070-").when(style < 2 / 3, "+46 70 ").otherwise("08-"), tail)
+
+
+#: Ages of synthetic people are counted at this day, so that rows do not depend on when they are made.
+AS_OF = "2025-01-01"
+
+
+def birth_date(fraction: Column) -> Column:
+    """A date between 90 and 18 years before ``AS_OF``."""
+    return F.date_sub(F.lit(AS_OF).cast("date"), whole(fraction, 18 * 366, 90 * 365))
+
+
 def address(street: Column, number: Column, code: Column, city: Column) -> Column:
     line, post = F.concat(street, F.lit(" "), number.cast("string")), postcode(code)
     return F.struct(line.alias("street_line"), post.alias("postnr"), city.alias("city"), F.concat(line, F.lit(", "), post, F.lit(" "), city).alias("full"))
@@ -104,9 +135,9 @@ def subject(seed: int, foreign: Column, *key: Column) -> Column:
     native = F.concat_ws(" ", pick(pools.GIVEN, d("given")), pick(pools.FAMILY, d("family")))
     name = F.when(foreign, pick(pools.FOREIGN_NAMES, d("foreign name"))).otherwise(native)
     pnr = personnummer_any(personnummer(whole(d("year"), 1940, 2010), whole(d("month"), 1, 12), whole(d("day"), 1, 28), whole(d("serial"), 0, 999)), d("form"))
-    phone = F.when(foreign, F.concat(F.lit("+4"), whole(d("country"), 4, 9).cast("string"), F.lit(" "), padded(whole(d("abroad"), 0, 99999999), 8))).otherwise(F.concat(F.lit("07"), whole(d("net"), 0, 9).cast("string"), F.lit("-"), padded(whole(d("phone"), 0, 9999999), 7)))
+    called = F.when(foreign, F.concat(F.lit("+4"), whole(d("country"), 4, 9).cast("string"), F.lit(" "), padded(whole(d("abroad"), 0, 99999999), 8))).otherwise(phone(d("net"), whole(d("phone"), 0, 9999999)))
     home = address(pick(pools.STREETS, d("street")), whole(d("number"), 1, 99), padded(whole(d("post"), 10000, 98499), 5), pick(pools.CITIES, d("city")))
-    return F.struct(name.alias("name"), pnr.alias("personnummer"), email_from_name(name, pick(pools.DOMAINS, d("domain"))).alias("email"), phone.alias("phone"), home["full"].alias("address"))
+    return F.struct(name.alias("name"), pnr.alias("personnummer"), email_from_name(name, pick(pools.DOMAINS, d("domain"))).alias("email"), called.alias("phone"), home["full"].alias("address"))
 
 
 def categories(rows: DataFrame, config: SynthesisConfig, key: str = "row_id") -> DataFrame:
@@ -129,24 +160,70 @@ def seed_rows(spark: SparkSession, n: int, config: SynthesisConfig | None = None
     key, d = F.col("row_id"), lambda name: draw(config.seed, name, F.col("row_id"))
     foreign = F.col("seed_locale") == "foreign"
     people = F.transform(F.sequence(F.lit(1), F.col("num_subjects").cast("int")), lambda i: subject(config.seed, foreign, key, i))
-    company = F.struct(pick(pools.COMPANIES, d("company")).alias("name"), F.concat(padded(whole(d("org a"), 550000, 559999), 6), F.lit("-"), padded(whole(d("org b"), 0, 9999), 4)).alias("org_nr"), bankgiro(d("giro form"), whole(d("giro"), 0, 99999999)).alias("bankgiro"))
+    company = F.struct(pick(pools.COMPANIES, d("company")).alias("name"), org_number(whole(d("org"), 550000000, 559999999)).alias("org_nr"), bankgiro(d("giro form"), whole(d("giro"), 0, 99999999)).alias("bankgiro"))
     bban = F.concat(padded(whole(d("bank"), 100, 999), 3), padded(whole(d("account a"), 0, 99999999), 8), padded(whole(d("account b"), 0, 999999999), 9))
-    return rows.withColumn("seed_subjects", people).select(
+    own_number = personnummer(whole(d("own year"), 1940, 2010), whole(d("own month"), 1, 12), whole(d("own day"), 1, 28), whole(d("own serial"), 0, 999))
+    # Columns of their own, so that the passport's expression does not hold each of them many times over.
+    drawn = {"__born": birth_date(d("holder born")), "__issued": F.date_sub(F.lit(AS_OF).cast("date"), whole(d("issued"), 0, 1800)), "__family": pick(pools.FAMILY, d("holder family")), "__given": pick(pools.GIVEN, d("holder given")), "__number": F.concat(F.lit("AA"), padded(whole(d("passport"), 0, 9999999), 7)), "__serial": whole(d("holder serial"), 0, 999)}
+    born = F.col("__born")
+    holder = personnummer(F.year(born), F.month(born), F.dayofmonth(born), F.col("__serial"))
+    travel = passport(F.col("__family"), F.col("__given"), F.col("__number"), born, F.when(d("sex") < 0.5, "F").otherwise("M"), F.col("__issued"), pick(pools.CITIES, d("birthplace")), F.col("__holder"))
+    seeded = rows.withColumn("seed_subjects", people).withColumns(drawn).withColumn("__holder", holder)
+    return seeded.select(
         "*",
+        email_from_name(F.col("seed_subjects")[0]["name"], pick(pools.DOMAINS, d("own domain"))).alias("seed_email"),
+        phone(d("own net"), whole(d("own phone"), 0, 9999999)).alias("seed_phone"),
+        personnummer_any(own_number, d("own form")).alias("seed_personnummer"),
+        address(pick(pools.STREETS, d("own street")), whole(d("own number"), 1, 99), padded(whole(d("own post"), 10000, 98499), 5), pick(pools.CITIES, d("own city"))).alias("seed_address"),
+        card_number(F.floor(d("card") * 1e14).cast("long")).alias("seed_card"),
+        birth_date(d("dob")).cast("string").alias("seed_dob"),
+        travel.alias("seed_passport"),
         F.col("seed_subjects")[0]["name"].alias("seed_person"),
         company.alias("seed_company"),
         swedish_iban(bban).alias("seed_iban"),
         F.concat_ws(".", *[whole(d(f"ip {i}"), 1, 254).cast("string") for i in range(4)]).alias("seed_ip"),
         F.concat(F.lower(F.translate(pick(pools.GIVEN, d("user")), "åäöÅÖ", "aaoAO")), whole(d("user no"), 10, 99).cast("string")).alias("seed_username"),
         pick(pools.DATES, d("date")).alias("seed_date"), pick(pools.URLS, d("url")).alias("seed_url"), pick(pools.HEALTH, d("health")).alias("seed_health"),
-        pick(pools.BELIEF, d("religion_ethnicity")).alias("seed_religion_ethnicity"), pick(pools.CRIMINAL, d("criminal")).alias("seed_criminal"))
+        pick(pools.BELIEF, d("religion_ethnicity")).alias("seed_religion_ethnicity"), pick(pools.CRIMINAL, d("criminal")).alias("seed_criminal")).drop(*drawn, "__holder")
 
 
 class TemplateGenerator:
     """A text generator without a model: one line with the first subject's seeds."""
 
     def generate(self, rows: DataFrame) -> DataFrame:
-        s = F.col("seed_subjects")[0]
+        # Of subjects with the first one's name, the last: it is the one that records are checked against.
+        s = F.element_at(F.filter("seed_subjects", lambda x: x["name"] == F.col("seed_subjects")[0]["name"]), -1)
         text = F.when(F.col("content_kind") == "pii", F.concat_ws(" | ", F.col("text_type"), s["name"], s["personnummer"], s["email"], F.col("seed_date"))).otherwise(F.col("text_type"))
         entities = F.when(F.col("content_kind") == "pii", F.create_map(F.lit("person"), F.array(s["name"]), F.lit("personnummer"), F.array(s["personnummer"]), F.lit("email"), F.array(s["email"]), F.lit("date"), F.array("seed_date"))).otherwise(F.create_map().cast("map<string,array<string>>"))
-        return rows.withColumn("text", text).withColumn("entities", entities)
+        record = F.create_map(F.lit("name"), s["name"], F.lit("personnummer"), s["personnummer"], F.lit("email"), s["email"])
+        records = F.when(F.col("content_kind") == "pii", F.array(record)).otherwise(F.array().cast("array<map<string,string>>"))
+        return rows.withColumns({"text": text, "entities": entities, "records": records})
+
+
+#: A judge's rubrics.
+RUBRICS = ("swedish_naturalness", "seed_grounding", "label_completeness")
+
+
+def recipe(rows: DataFrame, generator: TemplateGenerator | None = None, judge: Callable[[DataFrame], DataFrame] | None = None, rubrics: tuple[str, ...] = RUBRICS) -> DataFrame:
+    """Seeds to checked rows: text, entities and records by a generator, both checked, and a judge's scores as <rubric>_score.
+
+    generator.generate(rows) adds text, entities (map) and records (array of maps); judge(rows) adds ``judge``,
+    a struct of rubrics with a score, null where it gave none ('' then). Without a judge there are no scores.
+    """
+    made = (generator or TemplateGenerator()).generate(rows)
+    checked = made.withColumns({"entities_validated": validate.entities_valid(F.col("text"), F.col("entities")), "records_validated": validate.records_ok()})
+    return checked if judge is None else judge(checked).select("*", *rubric_scores(list(rubrics), "judge")).drop("judge")
+
+
+def preview(spark: SparkSession, n: int = 10, config: SynthesisConfig | None = None, **steps) -> DataFrame:
+    """n rows, not kept anywhere."""
+    return recipe(seed_rows(spark, n, config), **steps)
+
+
+def create(spark: SparkSession, n: int, folder: str, name: str, config: SynthesisConfig | None = None, **steps) -> str:
+    """Writes n rows as Parquet under folder/name/parquet-files, entities as JSON, and returns folder/name. Needs n > 0 and a name without a slash."""
+    if n <= 0 or not name or "/" in name:
+        raise ValueError("a dataset needs rows and a plain name")
+    rows = recipe(seed_rows(spark, n, config), **steps).withColumn("entities", F.to_json("entities"))
+    rows.write.mode("overwrite").parquet(f"{folder}/{name}/parquet-files")
+    return f"{folder}/{name}"

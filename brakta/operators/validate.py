@@ -38,8 +38,8 @@ def address_matches(record: Column, seed: Column) -> Column:
     return F.when(r == "", True).when(s == "", False).otherwise(r.contains(s) | s.contains(r))
 
 
-def records_valid(rows: DataFrame) -> DataFrame:
-    """(row_id, valid). rows: (row_id, text, records, seed_subjects), both arrays of maps.
+def records_ok() -> Column:
+    """Whether the records of a row agree with its text and seeds. Columns: text, records and seed_subjects, arrays of maps or structs.
 
     A record must name a seed (of one name, the last), hold only what the text
     holds, and give that seed's own identifiers. Null on either side is invalid,
@@ -53,8 +53,12 @@ def records_valid(rows: DataFrame) -> DataFrame:
         same = lambda k: F.coalesce(r[k], F.lit("")).isin("") | r[k].eqNullSafe(own[k])
         return in_text & own.isNotNull() & same("personnummer") & same("email") & same("phone") & address_matches(r["address"], own["address"])
 
-    valid = F.when(F.col("records").isNull() | F.col("seed_subjects").isNull(), False).otherwise(F.forall("records", lambda r: F.coalesce(one(r), F.lit(False))))
-    return rows.select("row_id", valid.alias("valid"))
+    return F.when(F.col("records").isNull() | F.col("seed_subjects").isNull(), False).otherwise(F.forall("records", lambda r: F.coalesce(one(r), F.lit(False))))
+
+
+def records_valid(rows: DataFrame) -> DataFrame:
+    """(row_id, valid). rows: (row_id, text, records, seed_subjects)."""
+    return rows.select("row_id", records_ok().alias("valid"))
 
 
 #: The seed columns whose values a text may use.

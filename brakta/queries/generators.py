@@ -31,6 +31,24 @@ def personal_numbers(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", full.alias("pnr"), synth.personnummer_any(full, (k % 10) / 10).alias("any_form"), T.luhn_ok(F.substring(full, 3, 20)).alias("ok"), synth.bankgiro((k % 2) / 2 + 0.1, k).alias("giro"))
 
 
+def seed_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Card and organisation numbers with their check digits, phones in three styles, birth dates."""
+    k = F.col("o_orderkey")
+    card, org = synth.card_number(k * 7919), synth.org_number(k * 31 % 1000000000)
+    return table(spark, d, "orders").select(k, card.alias("card"), org.alias("org_nr"), T.luhn_ok(card).alias("card_ok"), T.luhn_ok(org).alias("org_ok"), synth.phone((k % 3) / 3 + 0.1, k % 10000000).alias("phone"), synth.birth_date((k % 10) / 10).cast("string").alias("dob"))
+
+
+def recipe_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the recipe that fail a check, or lack a seed or a score: none."""
+    judge = lambda rows: rows.withColumn("judge", F.struct(*[F.struct(F.lit(4).alias("score")).alias(n) for n in synth.RUBRICS]))
+    rows = synth.preview(spark, 2000, judge=judge)
+    wrong = {
+        "bad_entities": ~F.col("entities_validated"), "bad_records": ~F.col("records_validated"), "bad_card": ~T.luhn_ok(F.col("seed_card")), "bad_org": ~T.luhn_ok(F.col("seed_company.org_nr")),
+        "bad_age": ~F.col("seed_dob").between("1935-01-01", "2007-01-01"), "bad_passport": F.length("seed_passport.mrz") != 89, "no_score": F.concat(*[F.col(f"{n}_score") for n in synth.RUBRICS]) != "444",
+    }
+    return rows.agg(*[F.count_if(F.coalesce(c, F.lit(True))).alias(n) for n, c in wrong.items()])
+
+
 def text_forms(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
     k = F.col("c_custkey")
@@ -107,9 +125,10 @@ def ranked_lines(spark: SparkSession, d: str) -> DataFrame:
     return search.bm25(lines(spark, d), "license version of", 20).select("doc_id", "line_no", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
-QUERIES = {f.__name__: f for f in (checksums, personal_numbers, text_forms, passport_dates, passports, sampled_categories, pool_draws, synthetic_rows, synthetic_invariants, demo_page, demo_spans, found_phrases, found_patterns, match_counts, ranked_lines)}
+QUERIES = {f.__name__: f for f in (checksums, personal_numbers, seed_numbers, recipe_checks, text_forms, passport_dates, passports, sampled_categories, pool_draws, synthetic_rows, synthetic_invariants, demo_page, demo_spans, found_phrases, found_patterns, match_counts, ranked_lines)}
 
 _LUHN9 = lambda s: f"(10 - list_sum(list_transform(range(1, 10), lambda i: CASE WHEN i % 2 = 1 THEN 2 * CAST({s}[i] AS INTEGER) - CASE WHEN CAST({s}[i] AS INTEGER) > 4 THEN 9 ELSE 0 END ELSE CAST({s}[i] AS INTEGER) END)) % 10) % 10"
+_LUHN15 = lambda s: _LUHN9(s).replace("range(1, 10)", "range(1, 16)")
 _MRZ = lambda s: f"(list_sum(list_transform(range(1, length({s}) + 1), lambda i: (CASE WHEN {s}[i] BETWEEN '0' AND '9' THEN ascii({s}[i]) - 48 WHEN {s}[i] BETWEEN 'A' AND 'Z' THEN ascii({s}[i]) - 55 ELSE 0 END) * [7,3,1][CAST((i - 1) % 3 + 1 AS INTEGER)])) % 10)"
 _HASH = lambda name, key: f"(CAST(('0x' || sha256('42:{name}:' || {key})[1:16])::UBIGINT AS DOUBLE) / 18446744073709551616.0)"
 _PRINT = lambda day: f"lpad(day({day})::VARCHAR, 2, '0') || ' ' || {list(T.MONTHS_SV)}[month({day})] || '/' || {list(T.MONTHS_EN)}[month({day})] || ' ' || lpad((year({day}) % 100)::VARCHAR, 2, '0')"
@@ -134,6 +153,8 @@ _IBAN = "'SE' || lpad((98 - (bban || '281400')::HUGEINT % 97)::VARCHAR, 2, '0')
 SQL = {
     "checksums": f"SELECT o_orderkey, CAST({_LUHN9('nine')} AS INTEGER) AS luhn, {_IBAN} AS iban, CAST({_MRZ('m')} AS INTEGER) AS mrz FROM (SELECT *, 'AZ<' || nine AS m FROM (SELECT o_orderkey, lpad(o_orderkey::VARCHAR, 9, '0') AS nine, lpad(o_orderkey::VARCHAR, 20, '1') AS bban FROM orders))",
     "personal_numbers": f"WITH a AS (SELECT o_orderkey AS k, lpad((1940 + o_orderkey % 71)::VARCHAR, 4, '0') || lpad((1 + o_orderkey % 12)::VARCHAR, 2, '0') || lpad((1 + o_orderkey % 28)::VARCHAR, 2, '0') AS body, lpad((o_orderkey % 1000)::VARCHAR, 3, '0') AS serial FROM orders), b AS (SELECT *, body[3:8] || serial AS nine FROM a), c AS (SELECT k, body || '-' || serial || CAST({_LUHN9('nine')} AS INTEGER) AS pnr, lpad(k::VARCHAR, 8, '0') AS g FROM b) SELECT k AS o_orderkey, pnr, CASE WHEN (k % 10) / 10 < 0.6 THEN pnr[3:] ELSE pnr END AS any_form, true AS ok, CASE WHEN (k % 2) / 2 + 0.1 < 0.5 THEN g[1:3] || '-' || g[5:8] ELSE g[1:4] || '-' || g[5:8] END AS giro FROM c",
+    "seed_numbers": f"WITH a AS (SELECT o_orderkey AS k, '4' || lpad((o_orderkey * 7919)::VARCHAR, 14, '0') AS b, lpad((o_orderkey * 31 % 1000000000)::VARCHAR, 9, '0') AS g0, lpad((o_orderkey % 10000000)::VARCHAR, 7, '0') AS p FROM orders), o AS (SELECT *, g0[1:2] || (g0[3]::INTEGER % 8 + 2) || g0[4:9] AS g FROM a) SELECT k AS o_orderkey, b || CAST({_LUHN15('b')} AS INTEGER) AS card, g[1:6] || '-' || g[7:9] || CAST({_LUHN9('g')} AS INTEGER) AS org_nr, true AS card_ok, true AS org_ok, ['070-', '+46 70 ', '08-'][CAST(k % 3 + 1 AS INTEGER)] || p[1:3] || ' ' || p[4:5] || ' ' || p[6:7] AS phone, CAST(DATE '{synth.AS_OF}' - CAST(floor((k % 10) / 10 * {90 * 365 - 18 * 366 + 1}) + {18 * 366} AS INTEGER) AS VARCHAR) AS dob FROM o",
+    "recipe_checks": "SELECT " + ", ".join(f"0::BIGINT AS {n}" for n in ("bad_entities", "bad_records", "bad_card", "bad_org", "bad_age", "bad_passport", "no_score")),
     "text_forms": "SELECT c_custkey, translate(lower('Åsa Öberg ' || c_name), ' åäö', '.aao') || '@live.se' AS email, post[1:3] || ' ' || post[4:5] AS post, 'ASA<LEEEU' IS NOT NULL AND false AS x, 1 FROM (SELECT *, lpad((c_custkey * 7)::VARCHAR, 5, '1') AS post FROM customer)",
     "passport_dates": f"SELECT o_orderkey, {_PRINT('d')} AS printed, {_PRINT('e')} AS expires FROM (SELECT o_orderkey, o_orderdate::DATE AS d, o_orderdate::DATE + 1826 AS e FROM orders)",
     "passports": f"WITH a AS (SELECT c_custkey, 'AA' || lpad(c_custkey::VARCHAR, 7, '0') AS num, strftime(DATE '1950-01-01' + c_custkey::INTEGER, '%y%m%d') AS born, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex, rpad('500101' || lpad((c_custkey % 10000)::VARCHAR, 4, '0'), 14, '<') AS own, '250228' AS ends FROM customer), b AS (SELECT *, num || {_MRZ('num')} AS n2, born || {_MRZ('born')} AS b2, ends || {_MRZ('ends')} AS e2, own || {_MRZ('own')} AS o2 FROM a), c AS (SELECT *, n2 || b2 || e2 || o2 AS al FROM b) SELECT c_custkey, rpad('P<SWEAKESSON<<ANNA<LENA', 44, '<') || chr(10) || n2 || 'SWE' || b2 || sex || e2 || o2 || {_MRZ('al')} AS mrz, '28 FEB/FEB 25' AS expires, 'ÅKESSON' AS last_name FROM c",

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from brakta.operators import boxes as B
 from brakta.operators import geometry as G
 from brakta.operators import taxonomy
-from brakta.functions.text import not_blank
+from brakta.operators.redact import fills
+from brakta.functions.text import SPACE, not_blank
 from brakta.queries.base import BOXES, LINES, NOT_BLANK, boxes, documents, lines
 from brakta.queries.detection import _values
 from brakta.streaming.masking import progress_frames
@@ -26,6 +27,15 @@ def line_offsets(spark: SparkSession, d: str) -> DataFrame:
     return lines(spark, d).select("doc_id", "line_no", "text", "start", "end", "y", "w")
 
 
+def polygon_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as recognised texts: every fifth polygon is broken, every other page has one polygon more than texts."""
+    i = F.col("doc_id")
+    rows = documents(spark, d).select(i.alias("image_id"), F.split("text", "\n", -1).alias("texts"))
+    point = lambda k, more: F.array((k + more).cast("double"), (k * 2 + more).cast("double"))
+    poly = lambda k: F.when((F.col("image_id") + k) % 5 == 0, F.array(F.array(k.cast("double")))).otherwise(F.array(point(k, 0), point(k, 7)))
+    return G.ocr_counters(rows.withColumn("polys", F.transform(F.sequence(F.lit(1), (F.size("texts") + F.col("image_id") % 2).cast("int")), poly)))
+
+
 def joined_lines(spark: SparkSession, d: str) -> DataFrame:
     return G.joined_text(lines(spark, d), "doc_id")
 
@@ -71,6 +81,18 @@ def box_geometry(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", G.big_enough(draw["w"], draw["h"]).alias("accepted"), *[v.cast("long").alias(k) for k, v in out.items()])
 
 
+def recaptured_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Every third box moved, or its lower right corner dragged; drawn ones take the text under them."""
+    b, k = boxes(spark, d), F.col("box_id")
+    edits = b.filter(k % 3 == 0).select("box_id", F.when(k % 2 == 1, "se").alias("handle"), (k % 400).cast("double").alias("px"), (k * 7 % 90).cast("double").alias("py"))
+    return G.edited(b, edits, lines(spark, d), "doc_id", F.lit(800), F.lit(600)).select("box_id", "x", "y", "w", "h", "text")
+
+
+def page_fills(spark: SparkSession, d: str) -> DataFrame:
+    """The solid rectangles of each page's masks."""
+    return fills(boxes(spark, d), ["person", "email"], "page_id").select("page_id", F.inline("rects"))
+
+
 def custom_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Drawn boxes appended to a page, with the text under them."""
     drawn = documents(spark, d).select("doc_id", (F.col("doc_id") * 1000000 + 999999).alias("box_id"), F.lit(10).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(300).cast("long").alias("w"), F.lit(30).cast("long").alias("h"))
@@ -164,7 +186,7 @@ def page_progress(spark: SparkSession, d: str) -> DataFrame:
     return progress_frames(documents(spark, d).select(F.col("doc_id").alias("image_id"), "text"))
 
 
-QUERIES = {f.__name__: f for f in (polygon_lines, line_offsets, joined_lines, line_counters, lines_for_wire, span_boxes, text_under_boxes, overlapping_boxes, hit_boxes, box_geometry, custom_boxes, label_counts, visible_boxes, duplicate_groups, duplicate_box_ids, boxes_of_all_pages, boxes_with_confidence, label_pills, searched_boxes, label_meta_with_custom, bulk_deleted, bulk_relabelled, rerun_merge, active_labels, edited_boxes, numbered_boxes, selected_boxes, page_progress)}
+QUERIES = {f.__name__: f for f in (polygon_lines, line_offsets, joined_lines, line_counters, polygon_counters, recaptured_boxes, page_fills, lines_for_wire, span_boxes, text_under_boxes, overlapping_boxes, hit_boxes, box_geometry, custom_boxes, label_counts, visible_boxes, duplicate_groups, duplicate_box_ids, boxes_of_all_pages, boxes_with_confidence, label_pills, searched_boxes, label_meta_with_custom, bulk_deleted, bulk_relabelled, rerun_merge, active_labels, edited_boxes, numbered_boxes, selected_boxes, page_progress)}
 
 _VISIBLE = lambda *active: "enabled AND (label = 'custom' OR label IN (" + ", ".join(f"'{a}'" for a in active) + "))"
 _MEET = "least(b.x + b.w, n.x + n.w) - greatest(b.x, n.x) > 0 AND least(b.y + b.h, n.y + n.h) - greatest(b.y, n.y) > 0 AND ((n.x + n.w / 2 BETWEEN b.x AND b.x + b.w AND n.y + n.h / 2 BETWEEN b.y AND b.y + b.h) OR (least(b.x + b.w, n.x + n.w) - greatest(b.x, n.x)) * (least(b.y + b.h, n.y + n.h) - greatest(b.y, n.y)) / greatest(1, n.w * n.h) >= 0.3)"
@@ -194,6 +216,13 @@ SQL = {
                CAST(greatest(1, floor((o_orderkey % 900 + 1) * sc + 0.5)) AS BIGINT) AS thumb_w, CAST(greatest(1, floor((o_orderkey % 500 + 1) * sc + 0.5)) AS BIGINT) AS thumb_h,
                CAST(64 AS BIGINT) AS part_x, CAST(33 AS BIGINT) AS part_y, CAST(greatest(1, floor(801 * ((o_orderkey % 7) / 10) + 0.5)) AS BIGINT) AS part_w, CAST(1 AS BIGINT) AS part_h
         FROM e""",
+    "polygon_counters": f"SELECT doc_id AS image_id, CAST(len(ps) + doc_id % 2 AS BIGINT) AS detected, CAST(len(list_filter(ps, lambda x: regexp_matches(x, '[^{SPACE}]'))) AS BIGINT) AS recognised, CAST(len(list_filter(range(1, len(ps) + 1), lambda i: regexp_matches(ps[i], '[^{SPACE}]') AND (doc_id + i) % 5 <> 0)) AS BIGINT) AS kept FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents)",
+    "recaptured_boxes": f"""WITH {BOXES}, a AS (SELECT *, box_id % 3 = 0 AS hit, box_id % 2 = 0 AS mv, box_id % 400 AS px, box_id * 7 % 90 AS py FROM boxes),
+        e AS (SELECT doc_id, box_id, text AS before, custom, hit, CAST(CASE WHEN NOT hit THEN a.x WHEN mv THEN greatest(0, least(px, 800 - a.w)) ELSE greatest(0, a.x) END AS BIGINT) AS x, CAST(CASE WHEN NOT hit THEN a.y WHEN mv THEN greatest(0, least(py, 600 - a.h)) ELSE greatest(0, a.y) END AS BIGINT) AS y,
+                     CAST(CASE WHEN hit AND NOT mv THEN least(800, greatest(px, a.x + 4)) - greatest(0, a.x) ELSE a.w END AS BIGINT) AS w, CAST(CASE WHEN hit AND NOT mv THEN least(600, greatest(py, a.y + 4)) - greatest(0, a.y) ELSE a.h END AS BIGINT) AS h FROM a),
+        c AS (SELECT * FROM e WHERE hit AND custom), u AS ({_UNDER('c')})
+        SELECT box_id, x, y, w, h, coalesce(u.text, before) AS text FROM e LEFT JOIN u USING (box_id)""",
+    "page_fills": f"WITH {BOXES} SELECT page_id, box_id, x, y, w, h FROM boxes WHERE {_VISIBLE('person', 'email')}",
     "custom_boxes": f"WITH {BOXES}, drawn AS (SELECT doc_id, doc_id * 1000000 + 999999 AS box_id, 10 AS x, 0 AS y, 300 AS w, 30 AS h FROM documents), dt AS ({_UNDER('drawn')}) SELECT doc_id, box_id, label, text, enabled, custom FROM boxes UNION ALL SELECT doc_id, box_id, 'custom', dt.text, true, true FROM drawn JOIN dt USING (box_id)",
     "label_counts": f"WITH {BOXES} SELECT label, count(*) AS n FROM boxes WHERE label <> 'custom' GROUP BY label",
     "visible_boxes": f"WITH {BOXES} SELECT box_id, label FROM boxes WHERE {_VISIBLE('person', 'address')}",

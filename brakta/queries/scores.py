@@ -72,6 +72,14 @@ def tuned_report(spark: SparkSession, d: str) -> DataFrame:
     return r.select("label", "support", "tp", "fp", "fn")
 
 
+def fixed_and_tuned_report(spark: SparkSession, d: str) -> DataFrame:
+    """Odd rows at 0.5 for all labels, and at thresholds tuned on even rows."""
+    c, g = _candidates(spark, d), _gold(spark, d)
+    even, odd = "row_id % 2 = 0", "row_id % 2 = 1"
+    r = M.fixed_and_tuned(c.filter(even), g.filter(even), c.filter(odd), g.filter(odd), _labels(spark))
+    return r.select("threshold", "label", "support", "tp", "fp", "fn")
+
+
 def scores_by_slice(spark: SparkSession, d: str) -> DataFrame:
     slices = table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "lang", "source")
     return M.by_slice(_gold(spark, d), _candidates(spark, d), slices, ["lang", "source"])
@@ -128,7 +136,7 @@ def rows_over_judge_score(spark: SparkSession, d: str) -> DataFrame:
     return M.min_score_filter(rubric_columns(spark, d), ["fluency_score", "grounding_score"], 1).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (span_confusion, label_report, total_scores, labels_by_support, candidate_confidence, threshold_grid, tuned_thresholds, tuned_report, scores_by_slice, pair_edges, pairing_scores, judge_means, judge_gate, quality_verdicts, rubric_columns, rows_over_judge_score)}
+QUERIES = {f.__name__: f for f in (span_confusion, label_report, total_scores, labels_by_support, candidate_confidence, threshold_grid, tuned_thresholds, tuned_report, fixed_and_tuned_report, scores_by_slice, pair_edges, pairing_scores, judge_means, judge_gate, quality_verdicts, rubric_columns, rows_over_judge_score)}
 
 _LABELS = _values(list(enumerate(NAMES)), "ord, label")
 _GOLD = f"""{SPANS0}, g0 AS (SELECT doc_id AS row_id, label, text AS mention FROM spans0), gd AS (SELECT DISTINCT * FROM g0),
@@ -142,6 +150,8 @@ _REP = _CONF + f", rep AS (SELECT label, ord, tp + fn AS support, tp, fp, fn, {_
 _GRID = f", grid AS (SELECT t.label, t.ord, round(0.05 * i, 2)::DOUBLE AS thr FROM {_LABELS}, range(1, 20) AS r(i)), bg AS (SELECT coalesce(b.row_id, g.row_id) AS row_id, coalesce(b.label, g.label) AS label, b.confidence, g.mention IS NOT NULL AS is_gold FROM best b FULL JOIN gold g USING (row_id, label, mention)), cnt AS (SELECT grid.label, ord, thr, count(*) FILTER (is_gold AND confidence >= thr) AS tp, count(*) FILTER (NOT is_gold AND confidence >= thr) AS fp, count(*) FILTER (is_gold) - count(*) FILTER (is_gold AND confidence >= thr) AS fn FROM grid LEFT JOIN bg USING (label) GROUP BY 1, 2, 3)"
 _FB = lambda beta: _DIV(f"{1 + beta * beta} * p * r", f"{beta * beta} * p + r")
 _TUNE = lambda src, beta: f"(SELECT label, thr, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, thr) AS k FROM (SELECT *, {_FB(beta)} AS score FROM (SELECT *, {_DIV('tp', 'tp + fp')} AS p, {_DIV('tp', 'tp + fn')} AS r FROM {src}))) WHERE k = 1)"
+#: The report of odd rows at thresholds given as a CTE ``thr``, which may read ``cnt``, counted on even rows.
+_tuned_report = lambda thresholds: "WITH " + _GOLD + _GRID.replace("FROM best b FULL JOIN gold g", "FROM (SELECT * FROM best WHERE row_id % 2 = 0) b FULL JOIN (SELECT * FROM gold WHERE row_id % 2 = 0) g") + ", " + thresholds + ", pr AS (SELECT row_id, label, mention, 1 AS p FROM best JOIN thr USING (label) WHERE confidence >= thr AND row_id % 2 = 1), cf AS (SELECT label, count(*) FILTER (g IS NOT NULL AND p IS NOT NULL) AS tp, count(*) FILTER (g IS NULL) AS fp, count(*) FILTER (p IS NULL) AS fn FROM (SELECT *, 1 AS g FROM gold WHERE row_id % 2 = 1) FULL JOIN pr USING (row_id, label, mention) GROUP BY label) SELECT label, tp + fn AS support, tp, fp, fn FROM cf"
 _PEOPLE = """pp AS (SELECT c_custkey AS k, c_name AS c, n_name AS n FROM customer JOIN nation ON c_nationkey = n_nationkey),
 truth AS (SELECT k AS row_id, 'phone' AS field, '+' || k AS value, lower(c) AS owner FROM pp UNION SELECT k, 'email', k || '@x', lower(c) FROM pp UNION SELECT k, 'phone', '0', lower(n) FROM pp),
 said AS (SELECT k AS row_id, 'phone' AS field, '+' || k AS value, lower(CASE WHEN k % 5 = 0 THEN n ELSE c END) AS owner FROM pp WHERE k % 7 <> 0 UNION SELECT k, 'email', k || '@x', lower(CASE WHEN k % 5 = 0 THEN n ELSE c END) FROM pp WHERE k % 7 <> 0)"""
@@ -155,7 +165,8 @@ SQL = {
     "candidate_confidence": f"WITH {_GOLD} SELECT row_id, label, mention, round(confidence, 9) AS confidence FROM best",
     "threshold_grid": f"WITH {_GOLD}{_GRID} SELECT label, thr, tp, fp, fn FROM cnt",
     "tuned_thresholds": f"WITH {_GOLD}{_GRID} SELECT label, thr, round(score, 9) AS score FROM {_TUNE('cnt', 0.5)}",
-    "tuned_report": "WITH " + _GOLD + _GRID.replace("FROM best b FULL JOIN gold g", "FROM (SELECT * FROM best WHERE row_id % 2 = 0) b FULL JOIN (SELECT * FROM gold WHERE row_id % 2 = 0) g") + f", thr AS {_TUNE('cnt', 1.0)}, pr AS (SELECT row_id, label, mention, 1 AS p FROM best JOIN thr USING (label) WHERE confidence >= thr AND row_id % 2 = 1), cf AS (SELECT label, count(*) FILTER (g IS NOT NULL AND p IS NOT NULL) AS tp, count(*) FILTER (g IS NULL) AS fp, count(*) FILTER (p IS NULL) AS fn FROM (SELECT *, 1 AS g FROM gold WHERE row_id % 2 = 1) FULL JOIN pr USING (row_id, label, mention) GROUP BY label) SELECT label, tp + fn AS support, tp, fp, fn FROM cf",
+    "tuned_report": _tuned_report(f"thr AS {_TUNE('cnt', 1.0)}"),
+    "fixed_and_tuned_report": f"SELECT -1.0::DOUBLE AS threshold, * FROM ({_tuned_report('thr AS ' + _TUNE('cnt', 1.0))}) UNION ALL SELECT 0.5::DOUBLE, * FROM ({_tuned_report(f'thr AS (SELECT label, 0.5 AS thr FROM {_LABELS})')})",
     "scores_by_slice": f"WITH {_GOLD}, m AS (SELECT row_id, g, p FROM (SELECT *, 1 AS g FROM gold) FULL JOIN (SELECT *, 1 AS p FROM pred) USING (row_id, label, mention)), s AS (SELECT 'all' AS slice, '' AS value, g, p FROM m JOIN documents ON doc_id = row_id UNION ALL SELECT 'lang', lang, g, p FROM m JOIN documents ON doc_id = row_id UNION ALL SELECT 'source', source, g, p FROM m JOIN documents ON doc_id = row_id) SELECT slice, value, count(*) FILTER (g IS NOT NULL AND p IS NOT NULL) AS tp, count(*) FILTER (g IS NULL) AS fp, count(*) FILTER (p IS NULL) AS fn FROM s GROUP BY 1, 2",
     "pair_edges": f"WITH {_PEOPLE} SELECT row_id, field, value, owner FROM said",
     "pairing_scores": f"WITH {_PEOPLE}, b AS (SELECT row_id, count(p) AS np, count(t) AS nt, count(p + t) AS hit FROM (SELECT *, 1 AS p FROM said) FULL JOIN (SELECT *, 1 AS t FROM truth) USING (row_id, field, value, owner) GROUP BY 1), s AS (SELECT row_id, np, CASE WHEN np = 0 THEN 1.0 ELSE hit::DOUBLE / np END AS p, CASE WHEN nt = 0 THEN 1.0 ELSE hit::DOUBLE / nt END AS r FROM b), f AS (SELECT *, {_DIV('2.0 * p * r', 'p + r')} AS f1 FROM s) SELECT row_id, np AS pairs_checked, f1 >= 0.5 AS success, round(p::DOUBLE, 9) AS precision, round(r::DOUBLE, 9) AS recall, round(f1, 9) AS f1 FROM f",

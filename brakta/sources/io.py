@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brakta.operators.filters import Rule
+from brakta.plans.order import in_order
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -85,6 +86,22 @@ def archive(pages: DataFrame) -> DataFrame:
     return pages.groupBy("document").applyInPandas(one, f"document {kind}, zip binary")
 
 
+def uploaded(pages: DataFrame, files: DataFrame, append: bool) -> DataFrame:
+    """Pages of a session after an upload: (page_no, file_name, width, height, text), new ones after the old or, without ``append``, in their stead.
+
+    files: (place, file_name, width, height), PDFs as one file a page; those that could not be read have no width and
+    are passed over.  New pages are skeletons: their text is empty until they are analysed.  Without any page, ValueError.
+    """
+    kept = pages.select("page_no", "file_name", "width", "height", "text")
+    first = (kept.agg(F.max("page_no")).first()[0] if append else None)
+    placed = in_order(files.filter("width is not null and height is not null").select("place", "file_name", "width", "height"), [F.col("place"), F.col("file_name")], "uploaded", "page_no")
+    new = placed.select((F.col("page_no") + F.lit(0 if first is None else first + 1)).cast("long").alias("page_no"), "file_name", "width", "height", F.lit("").alias("text"))
+    out = kept.unionByName(new) if append else new
+    if out.isEmpty():
+        raise ValueError("no usable images")
+    return out
+
+
 def redacted_name(file_name: Column) -> Column:
     return F.concat(F.regexp_replace(file_name, r"\.[^.]*$", ""), F.lit("-redacted.txt"))
 
