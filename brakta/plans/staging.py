@@ -32,11 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL['dir']}"
 
 
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new place in the shared folder, deleted with the tables staged beside it."""
+    path = f"{shared_dir(spark)}/brakta/{tag}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder (this runs it) and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/brakta/{tag}-{uuid.uuid4().hex}"
-    _STAGED.append(path)
+    path = folder(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
