@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brakta.llm import embed_dedup, langid, mixing, ngram_join, packing, quality, suffix_dedup, token_count, topk, toxicity
+from brakta.llm import clustering, embed_dedup, langid, mixing, ngram_join, packing, quality, spelling, suffix_dedup, token_count, topk, toxicity, warc
 from brakta.llm.common import id_crc, read
 
 
@@ -63,11 +63,31 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.filter(F.pmod(F.col("vec_id"), F.lit(50)) == 0), vectors)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_array_dedup, op3_language_id, op4_mixing, op5_token_counts, op6_toxicity, op7_ngram_join, op8_embedding_near_dedup, op9_quality, op10_exact_top_k)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
 
-#: Top-k search over integers is exact in SQL; the others need a tokenizer, a model or hash functions that SQL lacks,
-#: or would take too long over whole tables.
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_packing, op2_suffix_array_dedup, op3_language_id, op4_mixing, op5_token_counts, op6_toxicity, op7_ngram_join, op8_embedding_near_dedup, op9_quality, op10_exact_top_k,
+        op11_spelling_variants, op12_warc, op13_centroid_clustering,
+    )
+}
+
+#: Top-k search and clusters of integers, archives read back and cosines are exact in SQL; the others need a tokenizer, a model
+#: or hash functions that SQL lacks, or would take too long over whole tables.
 SQL = {
+    "op12_warc": warc.SQL,
+    "op13_centroid_clustering": clustering.sql(),
     "op10_exact_top_k": """
         WITH usable AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
