@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, Str
 
 from brakta.functions import parsing
 from brakta.functions.text import hash_fraction
+from brakta.operators.similarity import close_pairs, comparable
 from brakta.operators.validate import clean_entities
 from brakta.plans.staging import stage, unstage
 
@@ -30,12 +31,6 @@ def exact_dedup(rows: DataFrame, text: str, ordinal: str) -> DataFrame:
     return rows.join(firsts.select(F.col(ordinal)), ordinal, "left_semi")
 
 
-def normalised(vec: Column) -> Column:
-    """Components over the vector's length, at least 1e-12."""
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(vec, lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-12)))
-
-
 def embedded(rows: DataFrame, text: str, make: Callable[[], Callable[[list[str]], list[tuple[int, list[float]]]]], batch: int = 64, vec: str = "embedding") -> DataFrame:
     """Adds the unit vector of each text, null as the empty text.
 
@@ -75,37 +70,14 @@ def without_near_copies(rows: DataFrame, key: str, text: str, make: Callable, th
     return rows.join(gone.select(key), key, "left_anti")
 
 
-def close_pairs(vectors: DataFrame, threshold: float, key: str, vec: str, block: int = 512) -> DataFrame:
-    """(a, b), a < b, of vectors whose normalised dot product reaches the threshold: exact, block by block.
-
-    The comparison is exhaustive by definition; each pair of blocks is one task's
-    matrix product and only pairs that link leave it.
-    """
-    import pyarrow as pa
-
-    rows = vectors.select(F.col(key).cast("long").alias("id"), normalised(F.col(vec)).alias("v"))
-    blocks = max(1, -(-rows.count() // block))
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-
-    def pairs(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        ids, own = table.column("id").to_numpy(), table.column("own").to_numpy()
-        v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = np.nonzero(v[left] @ v[right].T >= threshold)
-        a, b = ids[left[a]], ids[right[b]]
-        keep = a < b if i == j else a != b
-        return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
-
-    return dealt.groupBy("i", "j").applyInArrow(pairs, "a long, b long")
-
-
-def greedy_keep(ids: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+def greedy_keep(ids: DataFrame, pairs: DataFrame, key: str, gone: DataFrame | None = None) -> DataFrame:
     """(key, keep): in id order, a row is kept unless an earlier kept row is close to it.
 
     Rounds instead of a scan: what has no earlier open or kept neighbour is kept,
     and drops its later neighbours; each round is staged in the shared folder.
+    ``gone`` (id) has further rows that are not kept.
     """
+    others, gone = gone, None
     live, dropped = stage(pairs.select("a", "b"), "close-pairs"), None
     while True:
         # Rows that are the later end of a live pair wait; all other earlier ends are kept and drop their later ends.
@@ -123,17 +95,30 @@ def greedy_keep(ids: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
             unstage(rest)
             break
         live = rest
+    if others is not None:
+        dropped = dropped.unionByName(others).distinct()
     marks = dropped.select(F.col("id").alias(key), F.lit(False).alias("keep"))
     return ids.select(key).join(marks, key, "left").withColumn("keep", F.coalesce("keep", F.lit(True)))
 
 
 def dedup_texts(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id", vec: str = "embedding", clamp: bool = False) -> DataFrame:
-    """Keep mask of greedy semantic dedup; ``clamp`` brings the threshold into [0.5, 1]. Needs 0 < threshold <= 1."""
+    """Keep mask of greedy semantic dedup; ``clamp`` brings the threshold into [0.5, 1]. Needs 0 < threshold <= 1.
+
+    Of equal vectors all but the first go, whatever becomes of it: what drops it drops them.  So only firsts
+    are compared, and a vector that a third of all rows share is one of them.  Vectors that are null, zero or
+    not finite stay.
+    """
     if clamp:
         threshold = min(1.0, max(0.5, threshold))
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
-    return greedy_keep(vectors, close_pairs(vectors, threshold, key, vec), key)
+    rows = comparable(vectors, key, vec).filter(F.exists("v", lambda x: x != 0))
+    if threshold > 1 - 1e-9:  # rounding decides what is close: every row for itself
+        return greedy_keep(vectors, close_pairs(rows, threshold, "id", "v"), key)
+    firsts = stage(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")), "distinct-vectors")
+    many = firsts.filter("n > 1").select("v", F.col("id").alias("first"))
+    copies = rows.join(many, "v").filter("id > first").select("id")
+    return greedy_keep(vectors, close_pairs(firsts, threshold, "id", "v"), key, copies)
 
 
 def group_key(text: Column, mentions: Column) -> Column:

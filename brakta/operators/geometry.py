@@ -1,7 +1,9 @@
 """OCR lines, spans and boxes: running offsets, overlap joins, and box arithmetic.
 
-Every join carries an equi key (image or page), so it is a hash or sort-merge
-join with the overlap as a residual predicate, and never a cross join.
+Joins by overlap are dealt by stretches of a page: what overlaps is written once
+for each stretch of offsets, or cell of the page, that it touches, and a pair counts
+in one of them only, that in which the overlap begins.  So the join key is the page
+with the stretch, and a page of any length is many small groups.
 """
 
 from __future__ import annotations
@@ -67,13 +69,34 @@ def one_line_box(x: Column, y: Column, w: Column, h: Column, start: Column, text
     return bx, y, F.greatest(F.lit(1), right - left + 4), h
 
 
+#: Characters of a stretch; pixels of a cell, wide as lines are.
+STRETCH, CELL_W, CELL_H = 2048, 2048, 512
+
+
+def _steps(low: Column, high: Column, size: int) -> Column:
+    """The stretches that [low, high] touches; a range that ends before it starts touches where it starts."""
+    first = F.floor(low / size)
+    return F.sequence(first, F.greatest(first, F.floor(high / size)))
+
+
+def in_stretches(rows: DataFrame, size: int = STRETCH) -> DataFrame:
+    """A row for each stretch of offsets that start and end touch, the end not included."""
+    return rows.withColumn("__at", F.explode(_steps(F.col("start"), F.col("end") - 1, size)))
+
+
+def in_cells(boxes: DataFrame) -> DataFrame:
+    """A row for each cell that x, y, w and h touch, edges included."""
+    return boxes.withColumn("__cx", F.explode(_steps(F.col("x"), F.col("x") + F.col("w"), CELL_W))).withColumn("__cy", F.explode(_steps(F.col("y"), F.col("y") + F.col("h"), CELL_H)))
+
+
 def boxes_of_spans(lines: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """A box per span that meets a line: a part of it, or the bounds of all lines met.
 
     lines: (key, line_no, text, start, end, x, y, w, h); spans: (key, span_no, label, text, start, end).
     """
-    s, n = spans.alias("s"), lines.alias("n")
-    met = s.join(n, (F.col(f"s.{key}") == F.col(f"n.{key}")) & overlaps(F.col("n.start"), F.col("n.end"), F.col("s.start"), F.col("s.end")))
+    s, n = in_stretches(spans).alias("s"), in_stretches(lines).alias("n")
+    here = (F.col(f"s.{key}") == F.col(f"n.{key}")) & (F.col("s.__at") == F.col("n.__at")) & (F.floor(F.greatest("s.start", "n.start") / STRETCH) == F.col("s.__at"))
+    met = s.join(n, here & overlaps(F.col("n.start"), F.col("n.end"), F.col("s.start"), F.col("s.end")))
     bx, by, bw, bh = one_line_box(*(F.col(f"n.{c}") for c in ("x", "y", "w", "h", "start")), F.length("n.text"), F.col("s.start"), F.col("s.end"))
     rows = met.select(F.col(f"s.{key}").alias(key), "s.span_no", "s.label", F.col("s.text").alias("text"), F.col("n.x").alias("x0"), F.col("n.y").alias("y0"), (F.col("n.x") + F.col("n.w")).alias("x1"), (F.col("n.y") + F.col("n.h")).alias("y1"), bx.alias("bx"), by.alias("by"), bw.alias("bw"), bh.alias("bh"))
     many = F.count("*") > 1
@@ -86,13 +109,14 @@ def boxes_of_spans(lines: DataFrame, spans: DataFrame, key: str) -> DataFrame:
 
 def text_in_box(boxes: DataFrame, lines: DataFrame, key: str) -> DataFrame:
     """(box_id, text): lines that a box meets and whose centre it holds, or of which it covers three tenths, joined by spaces."""
-    b, n = boxes.alias("b"), lines.alias("n")
+    b, n = in_cells(boxes).alias("b"), in_cells(lines).alias("n")
+    cell = (F.col("b.__cx") == F.col("n.__cx")) & (F.col("b.__cy") == F.col("n.__cy")) & (F.floor(F.greatest("b.x", "n.x") / CELL_W) == F.col("b.__cx")) & (F.floor(F.greatest("b.y", "n.y") / CELL_H) == F.col("b.__cy"))
     ix = F.least(F.expr("b.x + b.w"), F.expr("n.x + n.w")) - F.greatest("b.x", "n.x")
     iy = F.least(F.expr("b.y + b.h"), F.expr("n.y + n.h")) - F.greatest("b.y", "n.y")
     cx, cy = F.expr("n.x + n.w / 2"), F.expr("n.y + n.h / 2")
     centre = cx.between(F.col("b.x"), F.expr("b.x + b.w")) & cy.between(F.col("b.y"), F.expr("b.y + b.h"))
     share = (ix * iy) / F.greatest(F.lit(1), F.expr("n.w * n.h")) >= 0.3
-    met = b.join(n, (F.col(f"b.{key}") == F.col(f"n.{key}")) & (ix > 0) & (iy > 0) & (centre | share))
+    met = b.join(n, (F.col(f"b.{key}") == F.col(f"n.{key}")) & cell & (ix > 0) & (iy > 0) & (centre | share))
     texts = met.groupBy("b.box_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n.line_no", F.col("n.text").alias("t")))), lambda x: x["t"]), " ").alias("text"))
     return boxes.select("box_id").join(texts, "box_id", "left").select("box_id", F.coalesce("text", F.lit("")).alias("text"))
 
@@ -113,8 +137,8 @@ def overlapping_ids(boxes: DataFrame, key: str, cell: int = 512) -> DataFrame:
 
 def hit_test(points: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
     """(point_id, box_id): of the boxes that hold a point, edges included, the last in list order."""
-    p, b = points.alias("p"), boxes.alias("b")
-    held = (F.col(f"p.{key}") == F.col(f"b.{key}")) & F.col("p.px").between(F.col("b.x"), F.expr("b.x + b.w")) & F.col("p.py").between(F.col("b.y"), F.expr("b.y + b.h"))
+    p, b = points.withColumns({"__cx": F.floor(F.col("px") / CELL_W), "__cy": F.floor(F.col("py") / CELL_H)}).alias("p"), in_cells(boxes).alias("b")
+    held = (F.col(f"p.{key}") == F.col(f"b.{key}")) & (F.col("p.__cx") == F.col("b.__cx")) & (F.col("p.__cy") == F.col("b.__cy")) & F.col("p.px").between(F.col("b.x"), F.expr("b.x + b.w")) & F.col("p.py").between(F.col("b.y"), F.expr("b.y + b.h"))
     return p.join(b, held).groupBy("p.point_id").agg(F.max("b.box_id").alias("box_id"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brakta.functions import parsing
 from brakta.functions.text import token_match
-from brakta.operators import curate, noise, pools, tasks, validate
+from brakta.operators import curate, noise, pools, similarity, tasks, validate
 from brakta.operators.taxonomy import LABELS
 from brakta.queries.base import SPANS0, documents, raw_spans, table
 from brakta.queries.detection import _values
@@ -260,18 +260,33 @@ def random_split_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").withColumn("u", curate.normalised(F.col("embedding")))
+    e = table(spark, d, "embeddings").withColumn("u", similarity.normalised(F.col("embedding")))
     return e.select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"), F.round(F.col("u")[0], 6).alias("first"))
 
 
 def similar_vector_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return curate.close_pairs(table(spark, d, "embeddings"), 0.3, "vec_id", "embedding")
+    return similarity.close_pairs(table(spark, d, "embeddings"), 0.3, "vec_id", "embedding")
 
 
 def semantic_keep_mask(spark: SparkSession, d: str) -> DataFrame:
     return curate.dedup_texts(table(spark, d, "embeddings"), 0.3)
 
 
+def _copied(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings, each with three copies drifting away from it, the last one below the usual threshold."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("of"), "embedding").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    drift = F.transform("embedding", lambda x, i: x.cast("double") * (1 + F.col("copy") * 0.04 * (F.pmod(i * 7 + F.col("of") * 3, F.lit(11)) - 5)))
+    return e.select((F.col("of") * 4 + F.col("copy")).alias("vec_id"), drift.alias("embedding"))
+
+
+def near_copies(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.close_pairs(_copied(spark, d), 0.95, "vec_id", "embedding")
+
+
+def kept_of_near_copies(spark: SparkSession, d: str) -> DataFrame:
+    return curate.dedup_texts(_copied(spark, d))
+
+
 def pinned_pools(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame([(k, list(v)) for k, v in pools.PINNED.items()], "pool string, entries array<string>")
     return rows.select("pool", curate.pool_hash(F.col("entries")).alias("sha"))
@@ -327,7 +342,7 @@ def noise_invariants(spark: SparkSession, d: str) -> DataFrame:
     return lost.withColumn("one", F.lit(1)).join(moved.withColumn("one", F.lit(1)), "one").drop("one")
 
 
-QUERIES = {f.__name__: f for f in (parsed_mappings, coerced_entities, sparse_entities, parsed_records, event_properties, validated_entities, cleaned_entities, flattened_entities, validated_records, matched_addresses, seed_values, test_cases, token_matches, sensitivity_classes, person_records, ownership, tasks_from_records, dense_entities, training_examples, task_coverage, deduped_documents, valid_documents, validated_documents, document_cells, document_sensitivity, customer_records, document_splits, split_sizes, cleaned_splits, random_split_sizes, unit_vectors, similar_vector_pairs, semantic_keep_mask, pinned_pools, gold_mentions, example_json, first_rows, export_names, appended_pages, line_structure, noisy_examples, noise_invariants)}
+QUERIES = {f.__name__: f for f in (parsed_mappings, coerced_entities, sparse_entities, parsed_records, event_properties, validated_entities, cleaned_entities, flattened_entities, validated_records, matched_addresses, seed_values, test_cases, token_matches, sensitivity_classes, person_records, ownership, tasks_from_records, dense_entities, training_examples, task_coverage, deduped_documents, valid_documents, validated_documents, document_cells, document_sensitivity, customer_records, document_splits, split_sizes, cleaned_splits, random_split_sizes, unit_vectors, similar_vector_pairs, semantic_keep_mask, near_copies, kept_of_near_copies, pinned_pools, gold_mentions, example_json, first_rows, export_names, appended_pages, line_structure, noisy_examples, noise_invariants)}
 
 _SPLIT = lambda key: f"CASE WHEN CAST(('0x' || sha256('42:' || {key})[1:16])::UBIGINT AS DOUBLE) / 18446744073709551616.0 < 0.9 THEN 'train' WHEN CAST(('0x' || sha256('42:' || {key})[1:16])::UBIGINT AS DOUBLE) / 18446744073709551616.0 < 0.9 + 0.05 THEN 'val' ELSE 'test' END"
 _KEYS = f"WITH {SPANS0}, m AS (SELECT doc_id, string_agg(DISTINCT text, '|' ORDER BY text) AS ids FROM spans0 WHERE label IN ('email', 'card_number') GROUP BY doc_id), k AS (SELECT doc_id, CASE WHEN ids IS NOT NULL THEN 'ids::' || ids ELSE 'text::' || sha256(text) END AS group_key FROM documents LEFT JOIN m USING (doc_id)), s AS (SELECT doc_id, group_key, {_SPLIT('group_key')} AS split FROM k)"
@@ -339,6 +354,11 @@ _TOKEN = lambda m: f"({m} <> '' AND len(list_filter(range(1, length(text) - leng
 _quoted = lambda text: "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 _E = lambda rows: _values(rows, "row_id, v")
 
+_COPIED = "copied AS MATERIALIZED (SELECT e.vec_id * 4 + c AS vec_id, list_transform(e.embedding, lambda x, i: CAST(x AS DOUBLE) * (1 + c * 0.04::DOUBLE * (((i - 1) * 7 + e.vec_id * 3) % 11 - 5))) AS embedding FROM embeddings e CROSS JOIN range(0, 4) t(c))"
+_PAIRS = lambda rows, least: f"SELECT a.vec_id AS a, b.vec_id AS b FROM {rows} a JOIN {rows} b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {least}"
+# In id order: a row is kept unless an earlier kept row is close to it.
+_KEPT = lambda rows, least, first="": f"WITH RECURSIVE {first}p AS MATERIALIZED ({_PAIRS(rows, least)}), n AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k, coalesce(before, []) AS before FROM {rows} LEFT JOIN (SELECT b, list(a) AS before FROM p GROUP BY b) ON b = vec_id), g AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL SELECT n.k, CASE WHEN list_has_any(g.kept, n.before) THEN g.kept ELSE list_append(g.kept, n.vec_id) END FROM g JOIN n ON n.k = g.k + 1) SELECT vec_id, list_contains((SELECT kept FROM g ORDER BY k DESC LIMIT 1), vec_id) AS keep FROM {rows}"
+
 SQL = {
     "parsed_mappings": "SELECT row_id, v AS keys FROM " + _E([(1, "email,person,phone"), (2, "bank,person"), (3, ""), (4, ""), (5, ""), (6, "nope,person"), (7, "")]),
     "coerced_entities": "SELECT row_id, v AS entities FROM " + _E([(1, "person=Anna/Bo;phone="), (2, "bank=1/2;person=Anna"), (3, ""), (4, ""), (5, ""), (6, "nope=x;person=1/NULL/"), (7, "")]),
@@ -370,8 +390,10 @@ SQL = {
     "split_sizes": f"{_KEYS} SELECT split, count(*) AS n, count(DISTINCT group_key) AS n_groups FROM s GROUP BY split",
     "cleaned_splits": f"SELECT row_id, k AS group_key, {_SPLIT('k')} AS split FROM (SELECT row_id, CASE WHEN v LIKE 'ids::%' THEN v ELSE 'text::' || sha256(v) END AS k FROM {_E([(1, 'ids::19850315-2389|Anna Ek'), (2, 'ids::Anna|Bo'), (3, 'ids::Anna'), (4, 'ids::Bo'), (5, 'inget här'), (6, 'ids::Anna')])})",
     "unit_vectors": "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: (x::DOUBLE / n) * (x::DOUBLE / n))), 6) AS norm, round(embedding[1]::DOUBLE / n, 6) AS first FROM (SELECT *, greatest(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 1e-12) AS n FROM embeddings)",
-    "similar_vector_pairs": "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3",
-    "semantic_keep_mask": "WITH RECURSIVE p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3), n AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k, coalesce((SELECT list(a) FROM p WHERE b = vec_id), []) AS before FROM embeddings), g AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL SELECT n.k, CASE WHEN list_has_any(g.kept, n.before) THEN g.kept ELSE list_append(g.kept, n.vec_id) END FROM g JOIN n ON n.k = g.k + 1) SELECT vec_id, list_contains((SELECT kept FROM g ORDER BY k DESC LIMIT 1), vec_id) AS keep FROM embeddings",
+    "similar_vector_pairs": _PAIRS("embeddings", 0.3),
+    "near_copies": f"WITH {_COPIED} " + _PAIRS("copied", 0.95),
+    "semantic_keep_mask": _KEPT("embeddings", 0.3),
+    "kept_of_near_copies": _KEPT("copied", 0.95, _COPIED + ", "),
     "pinned_pools": "SELECT pool, sha256('[\"' || v || '\"]')[1:16] AS sha FROM " + _values([(k, '", "'.join(v)) for k, v in pools.PINNED.items()], "pool, v"),
     "gold_mentions": f"WITH {SPANS0} SELECT DISTINCT d.text, label, lower(s.text) AS mention FROM spans0 s JOIN documents d USING (doc_id)",
     "example_json": "SELECT 'train' AS split, '{\"input\":' || CAST(to_json(text) AS VARCHAR) || ',\"output\":{\"quality\":' || quality || ',\"toxic\":' || toxic || '}}' AS value FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL",
