@@ -183,7 +183,10 @@ def selected_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_progress(spark: SparkSession, d: str) -> DataFrame:
-    return progress_frames(documents(spark, d).select(F.col("doc_id").alias("image_id"), "text"))
+    """Every fifth page fails somewhere."""
+    n = F.pmod("doc_id", F.lit(20))
+    failed = F.when(n == 3, "input").when(n == 8, "ocr").when(n == 13, "detection").when(n == 18, "detection")
+    return progress_frames(documents(spark, d).select(F.col("doc_id").alias("image_id"), "text", failed.alias("failed_at"), F.concat(F.lit("RuntimeError: page "), F.col("doc_id").cast("string")).alias("error")))
 
 
 QUERIES = {f.__name__: f for f in (polygon_lines, line_offsets, joined_lines, line_counters, polygon_counters, recaptured_boxes, page_fills, lines_for_wire, span_boxes, text_under_boxes, overlapping_boxes, hit_boxes, box_geometry, custom_boxes, label_counts, visible_boxes, duplicate_groups, duplicate_box_ids, boxes_of_all_pages, boxes_with_confidence, label_pills, searched_boxes, label_meta_with_custom, bulk_deleted, bulk_relabelled, rerun_merge, active_labels, edited_boxes, numbered_boxes, selected_boxes, page_progress)}
@@ -240,5 +243,14 @@ SQL = {
     "edited_boxes": f"WITH {BOXES} SELECT box_id, label, CASE WHEN box_id % 5 = 0 THEN 'new text' ELSE text END AS text, CASE WHEN box_id % 5 = 0 THEN box_id % 2 = 0 ELSE enabled END AS enabled FROM boxes WHERE box_id % 15 <> 0",
     "numbered_boxes": f"WITH {BOXES} SELECT page_id, span_no, row_number() OVER (ORDER BY page_id, span_no) - 1 AS box_id, true AS enabled, false AS custom FROM boxes",
     "selected_boxes": f"WITH {BOXES} SELECT box_id FROM boxes WHERE {_VISIBLE('person')} AND box_id BETWEEN 30000000 AND 90000000",
-    "page_progress": "SELECT doc_id AS image_id, CAST(i - 1 AS INTEGER) AS place, st[i] AS stage FROM (SELECT doc_id, st, unnest(range(1, len(st) + 1)) AS i FROM (SELECT doc_id, CASE WHEN trim(text) <> '' THEN ['ocr_started','ocr_done','detection_started','done'] ELSE ['ocr_started','ocr_done','done'] END AS st FROM documents))",
+    "page_progress": """
+        WITH runs AS (
+            SELECT doc_id, trim(text) <> '' AS spoken, CASE doc_id % 20 WHEN 3 THEN 'input' WHEN 8 THEN 'ocr' WHEN 13 THEN 'detection' WHEN 18 THEN 'detection' END AS failed FROM documents
+        ), reported AS (
+            SELECT doc_id, CASE WHEN failed IN ('input', 'ocr') OR failed = 'detection' AND spoken THEN 'RuntimeError: page ' || doc_id END AS e,
+                   CASE WHEN failed = 'input' THEN ['done'] WHEN failed = 'ocr' THEN ['ocr_started', 'done']
+                        WHEN spoken THEN ['ocr_started', 'ocr_done', 'detection_started', 'done'] ELSE ['ocr_started', 'ocr_done', 'done'] END AS st
+            FROM runs
+        )
+        SELECT doc_id AS image_id, CAST(i - 1 AS INTEGER) AS place, st[i] AS stage, CASE WHEN st[i] = 'done' THEN e END AS error FROM (SELECT *, unnest(range(1, len(st) + 1)) AS i FROM reported)""",
 }

@@ -401,5 +401,6 @@ SQL = {
     "export_names": r"""SELECT page_id, lpad(CAST(page_id % 100 AS VARCHAR), 2, '0') || '_' || regexp_replace(regexp_replace(f, '\.[^.]*$', ''), '[/\\:*?"<>|]+', '_', 'g') || '-redacted.png' AS entry, regexp_replace(f, '\.[^.]*$', '') || '-redacted.txt' AS text_name, 'Scan ' || page_id || '-p3.png' AS pdf_page, true AS is_pdf FROM (SELECT page_id, url || '/a:b*c.tar.png' AS f FROM pages)""",
     "appended_pages": "SELECT page_id, url FROM pages WHERE page_id % 2 = 0 OR url IS NOT NULL",
     "line_structure": "SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, contains(ps[i], '|') OR contains(ps[i], '  ') AS structured, CAST(length(ps[i]) AS INTEGER) AS length FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents))",
+    "noisy_examples": f"WITH {SPANS0}, spoken AS (SELECT doc_id, text, {_SPLIT('doc_id')} AS split FROM documents WHERE doc_id IN (SELECT doc_id FROM spans0)) SELECT doc_id, false AS noisy, split, text FROM spoken UNION ALL SELECT doc_id, true, split, n.text FROM spoken JOIN (" + noise.noisy_sql("spoken", "doc_id", 0.12) + ") n USING (doc_id)",
     "noise_invariants": "SELECT 0::BIGINT AS lost_mentions, 0::BIGINT AS moved_rows",
 }

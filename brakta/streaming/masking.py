@@ -40,6 +40,19 @@ def masked_stream(spark: SparkSession, path: str, rules: dict[str, Rule], out: s
 
 
 def progress_frames(pages: DataFrame) -> DataFrame:
-    """(image_id, place, stage): the stages a page's run reports; the detector starts only on a text that is not blank."""
-    stages = F.when(not_blank(F.col("text")), F.array(*map(F.lit, ("ocr_started", "ocr_done", "detection_started", "done")))).otherwise(F.array(*map(F.lit, ("ocr_started", "ocr_done", "done"))))
-    return pages.select("image_id", F.posexplode(stages).alias("place", "stage"))
+    """(image_id, place, stage, error): the stages a page's run reports; the detector starts only on a text that is not blank.
+
+    A run that fails reports what it had begun, and then ``done`` with its error, on which nothing follows.
+    pages: (image_id, text), and failed_at (input, ocr or detection; null where nothing failed) with error where
+    runs can fail.  A text that is blank reaches no detector, so none fails there.
+    """
+    spoken = not_blank(F.col("text"))
+    failed, error = (F.col("failed_at"), F.col("error")) if "failed_at" in pages.columns else (F.lit(None).cast("string"), F.lit(None).cast("string"))
+    stages = lambda *names: F.array(*map(F.lit, names))
+    broken = (failed == "input") | (failed == "ocr") | ((failed == "detection") & spoken)
+    reported = (
+        F.when(failed == "input", stages("done")).when(failed == "ocr", stages("ocr_started", "done"))
+        .when(spoken, stages("ocr_started", "ocr_done", "detection_started", "done")).otherwise(stages("ocr_started", "ocr_done", "done"))
+    )
+    frames = pages.select("image_id", F.when(broken, F.coalesce(error, F.lit("unknown"))).alias("e"), F.posexplode(reported).alias("place", "stage"))
+    return frames.select("image_id", "place", "stage", F.when(F.col("stage") == "done", F.col("e")).alias("error"))

@@ -5,6 +5,7 @@ import re
 import zipfile
 from io import BytesIO
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -130,13 +131,13 @@ NOISE = [
 def test_noise_keeps_mentions_in_the_text(text, entities):
     changed = False
     for seed in range(30):
-        out, found = noise.noised(text, entities, random.Random(seed), 0.12)
+        out, found = noise.noised(text, entities, noise.draws_of(str(seed)), 0.12)
         assert all(m and m in out for ms in found.values() for m in ms)
         assert all(len(ms) == len(set(ms)) for ms in found.values())
-        assert noise.noised(text, entities, random.Random(seed), 0.12) == (out, found)
+        assert noise.noised(text, entities, noise.draws_of(str(seed)), 0.12) == (out, found)
         changed |= out != text
     assert changed or len(text) < 10
-    clean, same = noise.noised(text, entities, random.Random(1), 0)
+    clean, same = noise.noised(text, entities, noise.draws_of('1'), 0)
     assert clean == text and all(m in text for ms in same.values() for m in ms)
 
 
@@ -267,33 +268,50 @@ def test_selections(spark):
     assert ids(boxes.select_toggled(b, b.filter("box_id < 3"), 3)) == [1, 2, 3] and ids(boxes.select_toggled(b, b.filter("box_id < 3"), 2)) == [1]
 
 
-class Script(random.Random):
-    """Draws as written down."""
+def script(**said):
+    """Draws as written down: by kind, one for each place from the first; all others choose nothing."""
 
-    def __init__(self, values):
-        super().__init__(0)
-        self.values = list(values)
+    def draw(kind, line, place):
+        values = said.get({noise.READ_RN: "rn", noise.SPACE: "space", noise.HOW: "how", noise.BARRED: "bar", noise.READ: "read", noise.WHICH: "which", noise.GAINS: "gains", noise.READ_M: "m"}[kind], {})
+        return np.array([values.get(p, 0.999) for p in place.tolist()])
 
-    def random(self):
-        return self.values.pop(0) if self.values else 0.999
+    return draw
 
 
 def test_merged_letters_belong_to_the_mention_that_ends_on_the_first():
     """``rn`` read as m: a mention up to the r keeps the m, one from the n on does not get it."""
-    out, found = noise.noised("barn!", {"a": ["bar"], "b": ["n!"]}, Script([0.9, 0.9, 0.0]), 0.5)
+    out, found = noise.noised("barn!", {"a": ["bar"], "b": ["n!"]}, script(rn={2: 0.0}), 0.5)
     assert out == "bam!" and found == {"a": ["bam"], "b": ["!"]}
 
 
 def test_shares_of_what_becomes_of_spaces():
     """Long unstructured lines wrap for draws from .50 to .95, once a line; columns in structured lines are bars in 40 of 100 cases."""
     line = "x" * 50 + " " + "y" * 5
-    for draw, want in ((0.2, "xy"), (0.4, "x  y"), (0.5, "x\ny"), (0.6, "x\ny"), (0.94, "x\ny"), (0.96, "x y")):
-        assert noise.noisy_spaces(line, Script([0.0, draw]), 1.0)[0] == want.replace("x", "x" * 50).replace("y", "y" * 5)
-    assert noise.noisy_spaces("a b", Script([0.0, 0.6]), 1.0)[0] == "a b"
-    for draw, want in ((0.39, "a | b|"), (0.41, "a   b|")):
-        assert noise.noisy_spaces("a b|", Script([0.0, 0.6, draw]), 1.0)[0] == want
+    for how, want in ((0.2, "xy"), (0.4, "x  y"), (0.5, "x\ny"), (0.6, "x\ny"), (0.94, "x\ny"), (0.96, "x y")):
+        assert noise.noised_text(line, script(space={50: 0.0}, how={50: how}), 1.0)[0] == want.replace("x", "x" * 50).replace("y", "y" * 5)
+    assert noise.noised_text(line + " z z", script(space={50: 0.0, 56: 0.0, 58: 0.0}, how={50: 0.97, 56: 0.6, 58: 0.6}), 1.0)[0] == "x" * 50 + " yyyyy\nz z"
+    assert noise.noised_text("a b", script(space={1: 0.0}, how={1: 0.6}), 1.0)[0] == "a b"
+    for bar, want in ((0.39, "a | b|"), (0.41, "a   b|")):
+        assert noise.noised_text("a b|", script(space={1: 0.0}, how={1: 0.6}, bar={1: bar}), 1.0)[0] == want
     # A mention's slice is taken as it stands.
-    assert noise.noised("ab cd", {"k": ["ab cd"]}, Script([0.9] * 5 + [0.0, 0.4]), 0.5)[1] == {"k": ["ab  cd"]}
+    assert noise.noised("ab cd", {"k": ["ab cd"]}, script(space={2: 0.0}, how={2: 0.4}), 0.5)[1] == {"k": ["ab  cd"]}
+
+
+def test_what_characters_are_read_as():
+    assert noise.noised_text("mål", script(m={0: 0.3}, read={1: 1.4, 2: 0.9}, which={1: 0.9, 2: 0.4}), 1.0)[0] == "rna1"
+    assert noise.noised_text("oOao", script(read=dict.fromkeys(range(4), 0.0), gains={0: 0.05, 2: 0.2, 3: 0.2}, which={0: 0.0, 1: 0.0, 3: 0.0}), 1.0)[0] == "ö0a0"
+    for text in ("", "\n", "\n\n", " ", "rn", "😀 日本\n\nrn m"):
+        out, begins = noise.noised_text(text, noise.draws_of("k"), 0.9)
+        assert len(begins) == len(text) + 1 and begins[-1] == len(out)
+        assert noise.noised_text(text, script(), 0.9)[0] == text
+
+
+def test_draws_are_even_and_told_by_all_that_they_are_drawn_for():
+    place, line = np.arange(50_000), np.zeros(50_000, np.int64)
+    u = noise.draws_of("7")(noise.READ, line, place)
+    assert abs(u.mean() - 0.5) < 0.01 and abs(u.std() - 12**-0.5) < 0.01 and abs((u < 0.06).mean() - 0.06) < 0.005
+    others = (noise.draws_of("8")(noise.READ, line, place), noise.draws_of("7")(noise.SPACE, line, place), noise.draws_of("7")(noise.READ, line + 1, place), noise.draws_of("7", 43)(noise.READ, line, place))
+    assert all(abs(np.corrcoef(u, v)[0, 1]) < 0.02 for v in (*others, np.roll(u, 1)))
 
 
 def test_noisy_copies_name_no_employer(spark):
