@@ -30,18 +30,42 @@ class Detector(Protocol):
     def detect(self, docs: DataFrame) -> DataFrame: ...
 
 
+#: A character that every match of a pattern holds: texts without it are not searched.
+GUARDS = {PATTERNS["email"]: "@", PATTERNS["ip_address"]: ".", PATTERNS["phone"]: "+"}
+#: A code point that no text holds by Unicode's rules; one that does is read as U+FFFD there.
+MARK = "\ufffe"
+#: Parts that are folded at a time: a list that grows part by part is copied as often as it has parts.
+BLOCK = 256
+
+
 def located(text: Column, pattern: str) -> Column:
-    """Array of (text, start, end) of all matches, in one pass: a match starts a gap after the end of the one before."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda m, gap: F.struct(m.alias("text"), F.length(gap).alias("gap")))
+    """Array of (text, start, end) of all matches; the pattern runs once.
+
+    Matches are marked in the text, which is then split at the marks: parts are gaps and matches in turn,
+    and each starts where the one before it ends.
+    """
+    clean = F.when(F.contains(text, F.lit(MARK)), F.replace(text, F.lit(MARK), F.lit("\ufffd"))).otherwise(text)
+    parts = F.split(F.regexp_replace(clean, pattern, MARK + "$0" + MARK), MARK, -1)
     none = F.array().cast("array<struct<text:string,start:int,end:int>>")
 
-    def put(acc: Column, x: Column) -> Column:
-        start = acc["end"] + x["gap"]
-        end = start + F.length(x["text"])
-        return F.struct(end.alias("end"), F.concat(acc["out"], F.array(F.struct(x["text"].alias("text"), start.alias("start"), end.alias("end")))).alias("out"))
+    def put(acc: Column, part: Column) -> Column:
+        end = acc["end"] + F.length(part)
+        found = F.struct(part.alias("text"), acc["end"].alias("start"), end.alias("end"))
+        return F.struct(end.alias("end"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
+
+    def block(acc: Column, parts: Column, first: Column) -> Column:
+        start = F.struct(acc["end"].alias("end"), acc["hit"].alias("hit"), none.alias("out"))
+        return F.aggregate(F.slice(parts, first, F.lit(BLOCK)), start, put, lambda x: F.struct(x["end"].alias("end"), x["hit"].alias("hit"), F.concat(acc["out"], x["out"]).alias("out")))
+
+    def folded(parts: Column) -> Column:
+        start = F.struct(F.lit(0).alias("end"), F.lit(False).alias("hit"), none.alias("out"))
+        return F.when(F.size(parts) == 1, none).otherwise(F.aggregate(F.sequence(F.lit(1), F.size(parts), F.lit(BLOCK)), start, lambda acc, first: block(acc, parts, first), lambda acc: acc["out"]))
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("end"), none.alias("out")), put, lambda a: a["out"])
+    # The parts are bound to a name, so that they are made once however often they are read.
+    found = F.transform(F.array(parts), folded)[0]
+    guard = GUARDS.get(pattern)
+    here = F.contains(text, F.lit(guard)) if guard else F.lit(True)
+    return F.when(text.isNotNull(), F.when(here, found).otherwise(none))
 
 
 class PatternDetector:
