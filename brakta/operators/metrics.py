@@ -112,6 +112,12 @@ def judge_summary(judged: DataFrame) -> DataFrame:
     return judged.groupBy("metric").agg(F.avg("score").alias("mean_score"), F.count_if("success").alias("passed"), F.count("*").alias("n")).withColumn("pass_rate", ratio(F.col("passed"), F.col("n")))
 
 
+def verdicts(rows: DataFrame, metrics: list[str], threshold: float = 0.5) -> DataFrame:
+    """(row_id, metric, score, success): a verdict of each metric on each row, as judges score them; no score is no success. rows: (row_id, metrics)."""
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("score")) for m in metrics])
+    return rows.select("row_id", F.inline(each)).withColumn("success", F.coalesce(F.col("score") >= threshold, F.lit(False)))
+
+
 def gate(judged: DataFrame) -> DataFrame:
     """Pass rate of all rows, 0 when there are none."""
     return judged.agg(F.coalesce(F.avg(F.col("success").cast("double")), F.lit(0.0)).alias("pass_rate"), F.count("*").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brakta.operators import metrics as M
+from brakta.operators import weights
 from brakta.queries.base import SPANS0, raw_spans, table
 from brakta.queries.detection import _values
 
@@ -85,6 +86,30 @@ def scores_by_slice(spark: SparkSession, d: str) -> DataFrame:
     return M.by_slice(_gold(spark, d), _candidates(spark, d), slices, ["lang", "source"])
 
 
+#: Shares that languages and sources should have; other sources keep theirs.
+MARGINS = {"lang": {"en": 0.4, "de": 0.25, "es": 0.2, "fr": 0.15}, "source": {"src0": 0.3, "src1": 0.2, "none such": 0.1}}
+
+
+def reweighted_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = weights.raked(table(spark, d, "documents").select("doc_id", "lang", "source"), MARGINS, rounds=5)
+    return rows.select("doc_id", "lang", "source", F.round("weight", 6).alias("weight"))
+
+
+def weighted_scores_by_slice(spark: SparkSession, d: str) -> DataFrame:
+    slices = weights.raked(table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "lang", "source"), MARGINS, rounds=5)
+    found = weights.weighted_by_slice(_gold(spark, d), _candidates(spark, d), slices, ["lang", "source"])
+    return found.select("slice", "value", *[F.round(c, 6).alias(c) for c in ("tp", "fp", "fn", "precision", "recall", "f1")])
+
+
+def four_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts of four judges of each labelled row, as a relation."""
+    rows = table(spark, d, "labels").select(F.col("doc_id").alias("row_id"), *[F.when(F.pmod(F.col("doc_id") * k, F.lit(m)) > 0, F.pmod(F.col("doc_id") * k, F.lit(m)) / m).alias(name) for name, k, m in JUDGES])
+    return M.verdicts(rows, [name for name, _, _ in JUDGES])
+
+
+JUDGES = (("fluency", 3, 10), ("grounding", 7, 8), ("completeness", 11, 7), ("pairing", 13, 4))
+
+
 def _people(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     one = lambda name, phone, mail: F.create_map(F.lit("name"), name, F.lit("phone"), phone, F.lit("email"), mail)
@@ -136,7 +161,7 @@ def rows_over_judge_score(spark: SparkSession, d: str) -> DataFrame:
     return M.min_score_filter(rubric_columns(spark, d), ["fluency_score", "grounding_score"], 1).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (span_confusion, label_report, total_scores, labels_by_support, candidate_confidence, threshold_grid, tuned_thresholds, tuned_report, fixed_and_tuned_report, scores_by_slice, pair_edges, pairing_scores, judge_means, judge_gate, quality_verdicts, rubric_columns, rows_over_judge_score)}
+QUERIES = {f.__name__: f for f in (span_confusion, label_report, total_scores, labels_by_support, candidate_confidence, threshold_grid, tuned_thresholds, tuned_report, fixed_and_tuned_report, scores_by_slice, reweighted_rows, weighted_scores_by_slice, four_verdicts, pair_edges, pairing_scores, judge_means, judge_gate, quality_verdicts, rubric_columns, rows_over_judge_score)}
 
 _LABELS = _values(list(enumerate(NAMES)), "ord, label")
 _GOLD = f"""{SPANS0}, g0 AS (SELECT doc_id AS row_id, label, text AS mention FROM spans0), gd AS (SELECT DISTINCT * FROM g0),
@@ -168,6 +193,9 @@ SQL = {
     "tuned_report": _tuned_report(f"thr AS {_TUNE('cnt', 1.0)}"),
     "fixed_and_tuned_report": f"SELECT -1.0::DOUBLE AS threshold, * FROM ({_tuned_report('thr AS ' + _TUNE('cnt', 1.0))}) UNION ALL SELECT 0.5::DOUBLE, * FROM ({_tuned_report(f'thr AS (SELECT label, 0.5 AS thr FROM {_LABELS})')})",
     "scores_by_slice": f"WITH {_GOLD}, m AS (SELECT row_id, g, p FROM (SELECT *, 1 AS g FROM gold) FULL JOIN (SELECT *, 1 AS p FROM pred) USING (row_id, label, mention)), s AS (SELECT 'all' AS slice, '' AS value, g, p FROM m JOIN documents ON doc_id = row_id UNION ALL SELECT 'lang', lang, g, p FROM m JOIN documents ON doc_id = row_id UNION ALL SELECT 'source', source, g, p FROM m JOIN documents ON doc_id = row_id) SELECT slice, value, count(*) FILTER (g IS NOT NULL AND p IS NOT NULL) AS tp, count(*) FILTER (g IS NULL) AS fp, count(*) FILTER (p IS NULL) AS fn FROM s GROUP BY 1, 2",
+    "reweighted_rows": f"WITH {weights.raked_sql('documents', 'doc_id', MARGINS, 5)} SELECT doc_id, lang, source, round(weight, 6) AS weight FROM raked",
+    "weighted_scores_by_slice": f"WITH {_GOLD}, {weights.raked_sql('documents', 'doc_id', MARGINS, 5)}, m AS (SELECT lang, source, weight, g, p FROM (SELECT *, 1 AS g FROM gold) FULL JOIN (SELECT *, 1 AS p FROM pred) USING (row_id, label, mention) JOIN raked ON doc_id = row_id), s AS (SELECT 'all' AS slice, '' AS value, * FROM m UNION ALL SELECT 'lang', lang, * FROM m UNION ALL SELECT 'source', source, * FROM m), t AS (SELECT slice, value, coalesce(sum(weight) FILTER (g IS NOT NULL AND p IS NOT NULL), 0) AS tp, coalesce(sum(weight) FILTER (g IS NULL), 0) AS fp, coalesce(sum(weight) FILTER (p IS NULL), 0) AS fn FROM s GROUP BY 1, 2) SELECT slice, value, round(tp, 6) AS tp, round(fp, 6) AS fp, round(fn, 6) AS fn, round({_DIV('tp', '(tp + fp)')}, 6) AS precision, round({_DIV('tp', '(tp + fn)')}, 6) AS recall, round({_DIV('2.0 * tp', '(2.0 * tp + fp + fn)')}, 6) AS f1 FROM t",
+    "four_verdicts": "SELECT doc_id AS row_id, metric, score, coalesce(score >= 0.5, false) AS success FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{name}' AS metric, CASE WHEN doc_id * {k} % {m} > 0 THEN (doc_id * {k} % {m}) / {m}.0::DOUBLE END AS score FROM labels" for name, k, m in JUDGES) + ")",
     "pair_edges": f"WITH {_PEOPLE} SELECT row_id, field, value, owner FROM said",
     "pairing_scores": f"WITH {_PEOPLE}, b AS (SELECT row_id, count(p) AS np, count(t) AS nt, count(p + t) AS hit FROM (SELECT *, 1 AS p FROM said) FULL JOIN (SELECT *, 1 AS t FROM truth) USING (row_id, field, value, owner) GROUP BY 1), s AS (SELECT row_id, np, CASE WHEN np = 0 THEN 1.0 ELSE hit::DOUBLE / np END AS p, CASE WHEN nt = 0 THEN 1.0 ELSE hit::DOUBLE / nt END AS r FROM b), f AS (SELECT *, {_DIV('2.0 * p * r', 'p + r')} AS f1 FROM s) SELECT row_id, np AS pairs_checked, f1 >= 0.5 AS success, round(p::DOUBLE, 9) AS precision, round(r::DOUBLE, 9) AS recall, round(f1, 9) AS f1 FROM f",
     "judge_means": f"WITH {_JUDGED} SELECT metric, round(avg(score), 9) AS mean_score, count(*) FILTER (success) AS passed, count(*) AS n, round(count(*) FILTER (success)::DOUBLE / count(*), 9) AS pass_rate FROM j GROUP BY metric",

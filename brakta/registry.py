@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from brakta.queries import detection, generators, layout, rows, scores, sessions
+from brakta.queries import detection, generators, layout, rows, scores, search, sessions
 
-_MODULES = (detection, layout, rows, scores, generators, sessions)
+_MODULES = (detection, layout, rows, scores, generators, sessions, search)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
