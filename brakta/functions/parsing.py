@@ -65,6 +65,27 @@ def records(cell: Column) -> Column:
     return F.transform(raw, lambda x: F.map_filter(F.from_json(x, "map<string,string>"), lambda k, v: v.isNotNull()))
 
 
+def strict_records(cell: Column) -> Column:
+    """A JSON list of objects as an array of maps without null fields; null for anything else, a list with an item that is no object included."""
+    items = F.when(F.trim(cell).startswith("["), F.from_json(cell, "array<string>"))
+    good = F.forall(items, lambda x: F.coalesce(F.trim(x).startswith("{"), F.lit(False)))
+    return F.when(good, F.transform(items, lambda x: F.map_filter(F.from_json(x, "map<string,string>"), lambda k, v: v.isNotNull())))
+
+
+def found_records(cell: Column) -> Column:
+    """The objects of a JSON list, or one object, with their null fields; empty for anything else."""
+    one = F.when(F.trim(cell).startswith("{"), F.concat(F.lit("["), cell, F.lit("]"))).when(F.trim(cell).startswith("["), cell)
+    items = F.filter(F.from_json(one, "array<string>"), lambda x: F.coalesce(F.trim(x).startswith("{"), F.lit(False)))
+    return F.coalesce(F.transform(items, lambda x: F.from_json(x, "map<string,string>")), F.array().cast("array<map<string,string>>"))
+
+
+def sequence(cell: Column) -> Column:
+    """The objects of a JSON list that hold anything, with their null fields; empty for one object, a scalar or anything else."""
+    items = F.filter(F.when(F.trim(cell).startswith("["), F.from_json(cell, "array<string>")), lambda x: F.coalesce(F.trim(x).startswith("{"), F.lit(False)))
+    maps = F.filter(F.transform(items, lambda x: F.from_json(x, "map<string,string>")), lambda m: F.coalesce(F.size(m) > 0, F.lit(False)))
+    return F.coalesce(maps, F.array().cast("array<map<string,string>>"))
+
+
 def scalars(value: object) -> list[str]:
     """Scalar strings of a nested value in order: lists, objects, and strings that hold either as JSON or a literal; blank ones and NaN count for nothing."""
     if value is None or isinstance(value, float) and value != value:

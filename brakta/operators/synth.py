@@ -155,8 +155,13 @@ def categories(rows: DataFrame, config: SynthesisConfig, key: str = "row_id") ->
 
 def seed_rows(spark: SparkSession, n: int, config: SynthesisConfig | None = None) -> DataFrame:
     """n rows of categories and seeds, ready for a text generator."""
+    return seeded(spark.range(n).withColumnRenamed("id", "row_id"), config)
+
+
+def seeded(rows: DataFrame, config: SynthesisConfig | None = None) -> DataFrame:
+    """Categories and seeds for each of ``rows`` (row_id)."""
     config = config or SynthesisConfig()
-    rows = categories(spark.range(n).withColumnRenamed("id", "row_id"), config)
+    rows = categories(rows, config)
     key, d = F.col("row_id"), lambda name: draw(config.seed, name, F.col("row_id"))
     foreign = F.col("seed_locale") == "foreign"
     people = F.transform(F.sequence(F.lit(1), F.col("num_subjects").cast("int")), lambda i: subject(config.seed, foreign, key, i))
@@ -168,8 +173,8 @@ def seed_rows(spark: SparkSession, n: int, config: SynthesisConfig | None = None
     born = F.col("__born")
     holder = personnummer(F.year(born), F.month(born), F.dayofmonth(born), F.col("__serial"))
     travel = passport(F.col("__family"), F.col("__given"), F.col("__number"), born, F.when(d("sex") < 0.5, "F").otherwise("M"), F.col("__issued"), pick(pools.CITIES, d("birthplace")), F.col("__holder"))
-    seeded = rows.withColumn("seed_subjects", people).withColumns(drawn).withColumn("__holder", holder)
-    return seeded.select(
+    made = rows.withColumn("seed_subjects", people).withColumns(drawn).withColumn("__holder", holder)
+    return made.select(
         "*",
         email_from_name(F.col("seed_subjects")[0]["name"], pick(pools.DOMAINS, d("own domain"))).alias("seed_email"),
         phone(d("own net"), whole(d("own phone"), 0, 9999999)).alias("seed_phone"),

@@ -41,7 +41,7 @@ def seed_numbers(spark: SparkSession, d: str) -> DataFrame:
 def recipe_checks(spark: SparkSession, d: str) -> DataFrame:
     """Rows of the recipe that fail a check, or lack a seed or a score: none."""
     judge = lambda rows: rows.withColumn("judge", F.struct(*[F.struct(F.lit(4).alias("score")).alias(n) for n in synth.RUBRICS]))
-    rows = synth.preview(spark, 2000, judge=judge)
+    rows = synth.recipe(_seeded(spark, d), judge=judge)
     wrong = {
         "bad_entities": ~F.col("entities_validated"), "bad_records": ~F.col("records_validated"), "bad_card": ~T.luhn_ok(F.col("seed_card")), "bad_org": ~T.luhn_ok(F.col("seed_company.org_nr")),
         "bad_age": ~F.col("seed_dob").between("1935-01-01", "2007-01-01"), "bad_passport": F.length("seed_passport.mrz") != 89, "no_score": F.concat(*[F.col(f"{n}_score") for n in synth.RUBRICS]) != "444",
@@ -80,14 +80,19 @@ def pool_draws(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("row_id", pick("date", pools.DATES), pick("url", pools.URLS), pick("health", pools.HEALTH), pick("religion_ethnicity", pools.BELIEF), pick("criminal", pools.CRIMINAL))
 
 
+def _seeded(spark: SparkSession, d: str) -> DataFrame:
+    """Seeds for every customer."""
+    return synth.seeded(table(spark, d, "customer").select(F.col("c_custkey").alias("row_id")))
+
+
 def synthetic_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = synth.TemplateGenerator().generate(synth.seed_rows(spark, 2000))
+    rows = synth.TemplateGenerator().generate(_seeded(spark, d))
     return rows.select("row_id", "text_type", "content_kind", "seed_person", "seed_iban", "seed_ip", F.size("seed_subjects").alias("n_subjects"), "text")
 
 
 def synthetic_invariants(spark: SparkSession, d: str) -> DataFrame:
     """Rows whose subjects number wrongly, whose numbers fail their check, or whose mentions are not in the text: none."""
-    rows = synth.TemplateGenerator().generate(synth.seed_rows(spark, 2000))
+    rows = synth.TemplateGenerator().generate(_seeded(spark, d))
     short = lambda s: F.substring(T.digits(s["personnummer"]), -10, 10)
     bad_people = F.size("seed_subjects") != F.col("num_subjects").cast("int")
     bad_number = F.exists("seed_subjects", lambda s: ~T.luhn_ok(short(s)))

@@ -132,10 +132,10 @@ def images(spark: SparkSession, path: str, decode: Callable[[bytes], list[dict]]
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"path string, {schema}")
 
 
-def card(numbers: dict[str, int], splits: dict[str, int], labels: list[str], hashes: dict[str, str]) -> str:
-    """A dataset card in Markdown from a few aggregates."""
+def card(numbers: dict[str, int], splits: dict[str, int], labels: list[str], hashes: dict[str, str], made: dict | None = None) -> str:
+    """A dataset card in Markdown from a few aggregates; ``made`` tells how the dataset was."""
     total = max(1, sum(splits.values()))
-    lines = ["# Dataset card", "", "| split | rows | share |", "|---|---|---|", *(f"| {k} | {v} | {v / total:.3f} |" for k, v in splits.items())]
+    lines = ["# Dataset card", "", *[f"- {k}: {v}" for k, v in (made or {}).items()], *([""] if made else []), "| split | rows | share |", "|---|---|---|", *(f"| {k} | {v} | {v / total:.3f} |" for k, v in splits.items())]
     lines += ["", "| task | rows |", "|---|---|", *(f"| {k} | {v} |" for k, v in numbers.items()), "", f"Labels ({len(labels)}): {', '.join(labels)}", "", "| pool | sha256[:16] |", "|---|---|", *(f"| {k} | {v} |" for k, v in hashes.items())]
     return "\n".join(lines) + "\n"
 
