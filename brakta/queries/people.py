@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import zipfile
+from collections.abc import Iterator
+from io import BytesIO
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +20,8 @@ from brakta.queries.detection import _values
 from brakta.queries.generators import _HASH, _weighted
 from brakta.queries.rows import _CLASS, _SPLIT, NAMES
 from brakta.operators import pools
-from brakta.sources import io
+from brakta.plans.staging import folder
+from brakta.sources import io, sinks
 
 
 def letters(spark: SparkSession, d: str) -> DataFrame:
@@ -182,6 +188,30 @@ def uploaded_pages(spark: SparkSession, d: str) -> DataFrame:
     return io.uploaded(session, files, append=True)
 
 
+def pages_as_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every page as a file, read back."""
+    out = folder(spark, "files")
+    sinks.save_files(table(spark, d, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit("-redacted.txt")).alias("name"), F.col("html").alias("content")), out)
+    back = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(out)
+    return back.select(F.regexp_extract("path", r"page-(\d+)-redacted", 1).cast("long").alias("page_id"), F.col("length"), F.sha2("content", 256).alias("sha"))
+
+
+def pages_as_archives(spark: SparkSession, d: str) -> DataFrame:
+    """Pages in archives of a hundred, by their directories as they are read back."""
+    out = folder(spark, "archives")
+    p = table(spark, d, "pages").select(F.concat(F.floor(F.col("page_id") / 100).cast("string"), F.lit(".zip")).alias("name"), F.col("page_id").alias("place"), io.archive_entry(F.col("page_id") % 100, F.col("url")).alias("entry"), F.col("html").alias("content"))
+    sinks.save_archives(p, out)
+    back = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(out).select("path", "content")
+    return back.mapInPandas(_entries, "archive string, place int, entry string, bytes long")
+
+
+def _entries(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        for path, content in zip(part["path"], part["content"], strict=True):
+            with zipfile.ZipFile(BytesIO(content)) as z:
+                yield pd.DataFrame([(path.rsplit("/", 1)[1], i, e.filename, e.file_size) for i, e in enumerate(z.infolist())], columns=["archive", "place", "entry", "bytes"])
+
+
 def document_polygons(spark: SparkSession, d: str) -> DataFrame:
     """Lines of documents as polygons that an OCR engine gives, read back as lines."""
     rows = documents(spark, d).select(F.col("doc_id").alias("image_id"), F.lit(1).alias("page_no"), F.split("text", "\n", -1).alias("texts"))
@@ -204,7 +234,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         letter_examples, letter_coverage, letter_splits, letter_entities, listed_entities, record_cells, customer_addresses, event_candidates, part_keys, labels_left, customised_rules, active_rules, toggled_segments,
-        words_in_turn, event_labels, nation_labels, detector_descriptions, shown_labels, name_pools, synthetic_people, uploaded_pages, document_polygons, converted_lines,
+        words_in_turn, event_labels, nation_labels, detector_descriptions, shown_labels, name_pools, synthetic_people, uploaded_pages, pages_as_files, pages_as_archives, document_polygons, converted_lines,
     )
 }
 
@@ -262,6 +292,8 @@ SQL = {
     "name_pools": "SELECT c_nationkey, count(*) AS n, sha256('[\"' || string_agg(c_name, '\", \"' ORDER BY c_name) || '\"]')[1:16] AS sha FROM customer GROUP BY c_nationkey",
     "synthetic_people": f"SELECT row_id, CAST({_weighted(pools.SUBJECTS, 'num_subjects')} AS BIGINT) AS n_people, {_HASH('seed_locale', 'row_id')} < {synth.SynthesisConfig().foreign} AS is_foreign, 0::BIGINT AS n_bad FROM (SELECT c_custkey AS row_id FROM customer)",
     "uploaded_pages": "SELECT page_id AS page_no, url AS file_name, 800 AS width, 600 AS height, length(html)::VARCHAR AS text FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT (SELECT max(page_id) FROM pages WHERE page_id % 2 = 0) + row_number() OVER (ORDER BY page_id), url, 640, 480, '' FROM pages WHERE page_id % 2 = 1 AND page_id % 3 <> 0",
+    "pages_as_files": "SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS length, sha256(coalesce(html, '')) AS sha FROM pages",
+    "pages_as_archives": r"""SELECT CAST(page_id // 100 AS VARCHAR) || '.zip' AS archive, CAST(row_number() OVER (PARTITION BY page_id // 100 ORDER BY page_id) - 1 AS INTEGER) AS place, lpad(CAST(page_id % 100 AS VARCHAR), 2, '0') || '_' || regexp_replace(regexp_replace(url, '\.[^.]*$', ''), '[/\\:*?"<>|]+', '_', 'g') || '-redacted.png' AS entry, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS bytes FROM pages""",
     "document_polygons": f"WITH {LINES} SELECT doc_id AS image_id, line_no, \"start\", \"end\", x, y, w, h FROM lines",
     "converted_lines": f"""
         WITH {SPANS0}, m AS (
