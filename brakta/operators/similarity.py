@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +38,23 @@ def normalised(vec: Column) -> Column:
 
 def comparable(vectors: DataFrame, key: str, vec: str) -> DataFrame:
     """(id, v): unit vectors of rows with an id and with finite components only; the others are close to nothing."""
-    finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    return vectors.filter(F.col(key).isNotNull() & F.col(vec).isNotNull() & (F.size(vec) > 0) & finite).select(F.col(key).cast("long").alias("id"), normalised(F.col(vec)).alias("v"))
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("v")
+            counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            starts = np.cumsum(counts) - counts
+            if not len(counts):
+                continue
+            with np.errstate(over="ignore", invalid="ignore"):
+                good = np.logical_and.reduceat(np.isfinite(flat), starts)
+                norm = np.sqrt(np.add.reduceat(flat**2, starts))
+                made = pa.ListArray.from_arrays(pa.array(np.append(starts, len(flat)), pa.int32()), pa.array(flat / np.repeat(np.maximum(norm, 1e-12), counts)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), made], ["id", "v"]).filter(pa.array(good))
+
+    given = vectors.filter(F.col(key).isNotNull() & F.col(vec).isNotNull() & (F.size(vec) > 0))
+    return given.select(F.col(key).cast("long").alias("id"), F.col(vec).alias("v")).mapInArrow(unit, "id long, v array<double>")
 
 
 def pivots_of(rows: DataFrame, n: int, threshold: float) -> dict[int, np.ndarray]:

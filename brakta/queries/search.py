@@ -57,7 +57,7 @@ _FOLD = lambda x: f"replace(strip_accents(lower({x})), 'ß', 'ss')"  # noqa: E73
 SQL = {
     "phrases_in_documents": f"WITH {_PHRASES} SELECT phrase_id, CAST(sum({_N('text', 'phrase')}) AS BIGINT) AS n, count(DISTINCT doc_id) AS n_documents FROM ps JOIN documents ON contains(text, phrase) WHERE phrase <> '' GROUP BY phrase_id",
     "folded_phrases_in_documents": f"WITH {_PHRASES}, fp AS (SELECT phrase_id, {_FOLD('phrase')} AS phrase FROM ps WHERE phrase <> ''), fd AS (SELECT doc_id, {_FOLD('text')} AS text FROM documents) SELECT doc_id, CAST(sum({_N('text', 'phrase')}) AS BIGINT) AS n, count(DISTINCT phrase_id) AS n_phrases FROM fp JOIN fd ON contains(text, phrase) GROUP BY doc_id",
-    "folded_letters": "SELECT phrase_id, shown, count(*) AS n FROM (SELECT p.phrase_id, unnest(regexp_extract_all(text, p.pattern)) AS shown FROM documents, (VALUES (1, '(?i)[eèéêë]'), (2, '(?i)ss|ß'), (3, '(?i)[aàáâãäå][oòóôõö]'), (4, '(?i)[nñ]'), (5, '(?i)[uùúûü]')) p(phrase_id, pattern) WHERE regexp_matches(text, '[^\\x00-\\x7F]')) GROUP BY 1, 2",
+    "folded_letters": "SELECT phrase_id, shown, count(*) AS n FROM (SELECT p.phrase_id::BIGINT AS phrase_id, unnest(regexp_extract_all(text, p.pattern)) AS shown FROM documents, (VALUES (1, '(?i)[eèéêë]'), (2, '(?i)ss|ß'), (3, '(?i)[aàáâãäå][oòóôõö]'), (4, '(?i)[nñ]'), (5, '(?i)[uùúûü]')) p(phrase_id, pattern) WHERE regexp_matches(text, '[^\\x00-\\x7F]')) GROUP BY 1, 2",
     "best_documents": """
         WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS ws FROM documents WHERE text IS NOT NULL),
         t AS (SELECT count(*) AS n_all, avg(len(ws)) AS mean FROM d),
