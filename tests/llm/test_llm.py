@@ -771,7 +771,8 @@ def test_scores_beyond_a_long_are_ranked_exactly(spark, tile):
 
 def test_queries_with_sql(spark, data):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{data}/embeddings.parquet'")
+    for table in ("embeddings", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
     for name, sql in registry.SQL.items():
         df = registry.QUERIES[name](spark, data)
         columns = sorted(df.columns)
@@ -781,7 +782,7 @@ def test_queries_with_sql(spark, data):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, data, none, odd):
