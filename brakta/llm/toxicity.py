@@ -1,9 +1,14 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are a text's distinct words, lower-cased and stripped of punctuation, and
-their first letters, as 32-bit hashes; those in at least ``min_docs`` training documents are kept.  The
-machine learns a weight for each and, through short factor vectors, one for each
-pair, so that two terms can mean together what neither means alone.  It is
+their first letters, as 32-bit hashes.  Kept are those in at least ``min_docs``
+training documents whose share of toxic ones stands further from the base rate
+than chance explains, in standard errors; the further, the larger a term's value.
+The machine learns a weight for each and, through short factor vectors, one for each
+pair, so that two terms can mean together more than each means alone; a pair of
+terms neither of which says anything alone is not learned.  A document's values
+are divided by their length where that exceeds 1, so a long text doesn't score
+high, or low, by its length.  The machine is
 trained on the driver, on a bounded sample of labelled rows, and shipped to the
 tasks: its size is bounded by the sample, not by the corpus.
 
@@ -65,10 +70,11 @@ def hasher():
 
 @dataclass
 class Machine:
-    """Bias, weights and factors for the kept hashes (sorted)."""
+    """Bias, and for the kept hashes (sorted) their values, and weights and factors times those."""
 
     keys: np.ndarray
     bias: float
+    values: np.ndarray
     weights: np.ndarray
     factors: np.ndarray
 
@@ -86,12 +92,18 @@ class Machine:
 
     def score(self, rows: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
         """Probabilities of n rows from their (row, term id) entries, rows rising."""
+        scale = shrinking(rows, self.values[ids], n)
         linear = np.bincount(rows, self.weights[ids], n)
         both = np.zeros(n)
         for f in range(self.factors.shape[1]):
             v = self.factors[ids, f]
             both += np.bincount(rows, v, n) ** 2 - np.bincount(rows, v * v, n)
-        return 1 / (1 + np.exp(-np.clip(self.bias + linear + both / 2, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.bias + scale * linear + scale**2 * both / 2, -40, 40)))
+
+
+def shrinking(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """What brings each row's values to length 1 at most."""
+    return 1 / np.sqrt(np.maximum(1, np.bincount(rows, values * values, n)))
 
 
 def places(keys: np.ndarray, terms_: np.ndarray) -> np.ndarray:
@@ -100,48 +112,68 @@ def places(keys: np.ndarray, terms_: np.ndarray) -> np.ndarray:
     return at[keys[at] == terms_].astype(np.int32)
 
 
-def train(documents: list[np.ndarray], labels: np.ndarray, factors: int = 8, min_docs: int = 5, epochs: int = 10, rate: float = 0.08, decay: float = 1e-2, seed: int = 11) -> Machine:
+def telling(keys: np.ndarray, counts: np.ndarray, documents: list[np.ndarray], labels: np.ndarray, chance: float) -> tuple[np.ndarray, np.ndarray]:
+    """The keys whose documents' labels chance doesn't explain, and their values, 0 to 1.
+
+    The largest of V terms without meaning lies near sqrt(2 ln V) standard errors; ``chance``
+    times that is what a term has to exceed.
+    """
+    own = np.concatenate([d for d, y in zip(documents, labels, strict=True) if y])
+    own.sort()
+    toxic = np.searchsorted(own, keys, "right") - np.searchsorted(own, keys)
+    n, base = len(documents), labels.mean()
+    spread = np.sqrt(counts * base * (1 - base) * (n - counts) / (n - 1) + 0.25)
+    errors = np.abs(toxic - counts * base) / spread
+    least = chance * np.sqrt(2 * np.log(max(len(keys), 2)))
+    told = errors > least
+    return keys[told], np.sqrt(1 - (least / errors[told]) ** 2)
+
+
+def train(documents: list[np.ndarray], labels: np.ndarray, factors: int = 8, min_docs: int = 5, chance: float = 0.75, epochs: int = 60, rate: float = 0.3, decay: float = 1e-3, seed: int = 11) -> Machine:
     """Logistic loss by AdaGrad over small batches; the same machine for the same sample."""
+    none = np.zeros(0, np.uint32), np.zeros(0)
     if not len(documents):
-        return Machine(np.zeros(0, np.uint32), 0.0, np.zeros(0), np.zeros((0, factors)))
+        return Machine(none[0], 0.0, none[1], np.zeros(0), np.zeros((0, factors)))
     # Sorted in place: the terms of all documents are held twice at most.
     flat = np.concatenate(documents)
     flat.sort()
     starts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, int)
-    keys = flat[starts[np.diff(starts, append=len(flat)) >= min_docs]]
+    counts = np.diff(starts, append=len(flat))
+    keys, counts = flat[starts[counts >= min_docs]], counts[counts >= min_docs]
     del flat, starts
     base = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
     bias = float(np.log(base / (1 - base)))
+    keys, x = telling(keys, counts, documents, labels, chance) if 0 < labels.mean() < 1 else none
     w, v = np.zeros(len(keys)), np.zeros((len(keys), factors))
-    if labels.min() == labels.max() or not len(keys):
-        return Machine(keys, bias, w, v)
+    if not len(keys):
+        return Machine(keys, bias, x, w, v)
     rng = np.random.default_rng(seed)
-    v = rng.normal(0, 0.01, v.shape)
-    gw, gv, gb = np.full(len(w), 1.0), np.full(v.shape, 1.0), 1.0
-    # Document by document, as 32-bit places: a copy of all terms is the most that is held beside them.
+    v = rng.normal(0, 0.05, v.shape)
+    gw, gv, gb = np.full(len(w), 1e-2), np.full(v.shape, 1e-2), 1e-2
     known = [places(keys, d) for d in documents]
+    pull = decay * 128 / len(documents)
     for _ in range(epochs):
         order = rng.permutation(len(documents))
         for batch in np.array_split(order, max(1, len(order) // 128)):
             cols = np.concatenate([known[d] for d in batch])
             rows = np.repeat(np.arange(len(batch)), [len(known[d]) for d in batch])
-            if not len(cols):
-                continue
-            used, pos = np.unique(cols, return_inverse=True)
-            vs = v[cols]
+            scale = shrinking(rows, x[cols], len(batch))
+            xs = x[cols] * scale[rows]
+            vs = v[cols] * xs[:, None]
             sums = np.stack([np.bincount(rows, vs[:, f], len(batch)) for f in range(factors)], 1)
             squares = np.bincount(rows, (vs * vs).sum(1), len(batch))
-            out = bias + np.bincount(rows, w[cols], len(batch)) + ((sums**2).sum(1) - squares) / 2
-            miss = (1 / (1 + np.exp(-np.clip(out, -40, 40))) - labels[batch]) / len(batch) * 16
-            dw = np.bincount(pos, miss[rows], len(used)) + decay * w[used]
-            dv = np.stack([np.bincount(pos, miss[rows] * (sums[rows, f] - vs[:, f]), len(used)) for f in range(factors)], 1) + decay * v[used]
-            gw[used] += dw**2
-            gv[used] += dv**2
+            out = bias + np.bincount(rows, w[cols] * xs, len(batch)) + ((sums**2).sum(1) - squares) / 2
+            miss = (1 / (1 + np.exp(-np.clip(out, -40, 40))) - labels[batch]) / len(batch)
+            push = miss[rows] * xs
+            dw = np.bincount(cols, push, len(w)) + pull * w
+            dv = np.stack([np.bincount(cols, push * (sums[rows, f] - vs[:, f]), len(w)) for f in range(factors)], 1) + pull * v
+            gw += dw**2
+            gv += dv**2
             gb += miss.sum() ** 2
-            w[used] -= rate * 4 * dw / np.sqrt(gw[used])
-            v[used] -= rate * 0.25 * dv / np.sqrt(gv[used])
-            bias -= rate * miss.sum() / np.sqrt(gb)
-    return Machine(keys, bias, w, v)
+            w -= rate * dw / np.sqrt(gw)
+            v -= rate * 0.3 * dv / np.sqrt(gv)
+            bias -= float(rate * 0.3 * miss.sum() / np.sqrt(gb))
+    return Machine(keys, bias, x, w * x, v * x[:, None])
 
 
 def hashed_terms(docs: DataFrame, columns: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import struct
 import zlib
@@ -468,16 +469,51 @@ def test_labels_and_ids_are_no_inputs(spark):
     assert a == {r.doc_id - 10_000: r.score for r in toxicity.score(moved, machine, F.lit(False)).collect()}
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the tables at scale 0.01")
+def test_few_toxic_rows_are_enough(spark):
+    """At scale 0.01, with 37 toxic rows to learn from: better than the one most telling word, and no clean document lost."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = F.pmod(id_crc(), F.lit(4)) == 2
+    scores = toxicity.score(docs, toxicity.fit(docs, labels.filter(~out)), out)
+    rows = scores.join(labels.filter("toxic is not null"), "doc_id").join(docs.select("doc_id", "text"), "doc_id").collect()
+    learned, held = ([r for r in rows if r.held_out == side] for side in (False, True))
+
+    def words(r):
+        return set(map(toxicity.bare, (r.text or "").split()))
+
+    count = {y: Counter(w for r in learned if r.toxic == y for w in words(r)) for y in (0, 1)}
+    best = max(sorted(count[1]), key=lambda w: math.log((count[1][w] + 0.5) / (count[0][w] + 0.5)))
+
+    def auc(score):
+        bad, good = ([score(r) for r in held if r.toxic == y] for y in (1, 0))
+        return sum((b > g) + (b == g) / 2 for b in bad for g in good) / len(bad) / len(good)
+
+    assert auc(lambda r: r.score) > max(0.75, auc(lambda r: best in words(r)))
+    assert sum(r.predicted for r in held if r.toxic) >= 0.6 * sum(r.toxic for r in held)
+    assert not any(r.predicted for r in held if not r.toxic)
+    assert 0.001 < min(r.score for r in rows) and max(r.score for r in rows) < 0.999
+
+
+def test_length_alone_moves_no_score_far(spark):
+    """A text of a million words scores like its distinct words, and no score sits at the clip."""
+    df, labels = labelled(spark)
+    machine = toxicity.fit(df, labels)
+    long = spark.createDataFrame([(1, "aa bb scoundrel villagers"), (2, "aa bb scoundrel villagers " * 250_000), (3, "aa bb " * 500_000), (4, "aa bb")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(long, machine, F.lit(False)).collect()}
+    assert got[1] == got[2] > 0.5 > got[3] == got[4] > 1e-6
+
+
 def test_machine_scores_are_the_sum_over_pairs(spark):
-    """The score of every text against weights and products of factors summed pair by pair."""
+    """The score of every text against weights and products of factors summed pair by pair, for values of length 1 at most."""
     df, labels = labelled(spark)
     machine = toxicity.fit(df, labels)
     place = {int(k): i for i, k in enumerate(machine.keys)}
     texts = {r.doc_id: r.text for r in df.collect()}
     for r in toxicity.score(df, machine, F.lit(False)).filter("doc_id % 17 = 0").collect():
         own = sorted({place[h] for c in texts[r.doc_id].split() for h in toxicity.chunk_hashes(c) if h in place})
-        z = machine.bias + sum(machine.weights[i] for i in own)
-        z += sum(float(machine.factors[i] @ machine.factors[j]) for n, i in enumerate(own) for j in own[n + 1 :])
+        size = max(1, math.sqrt(sum(machine.values[i] ** 2 for i in own)))
+        z = machine.bias + sum(machine.weights[i] for i in own) / size
+        z += sum(float(machine.factors[i] @ machine.factors[j]) for n, i in enumerate(own) for j in own[n + 1 :]) / size**2
         assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9
 
 
