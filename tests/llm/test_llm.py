@@ -734,6 +734,20 @@ def test_vector_links_have_high_recall(spark, block):
     assert got[1000][0] >= 5
 
 
+def test_links_at_the_threshold_are_found_and_none_below_it(spark):
+    """Thousands of pairs just over and just under 0.93, in vectors that are far apart otherwise: recall by links, and not one too many."""
+    rng = np.random.default_rng(17)
+    base = rng.normal(size=(3000, 64))
+    over, under = ([embed_dedup.turned(base, c, seed) for c, seed in zip(cosines, seeds, strict=True)] for cosines, seeds in (((0.9301, 0.932, 0.94), (1, 2, 3)), ((0.9, 0.92, 0.9299), (4, 5, 6))))
+    pick = np.arange(3000) % 3
+    partner = np.where((np.arange(3000) % 2 == 0)[:, None], np.choose(pick[:, None], over), np.choose(pick[:, None], under))
+    df = spark.createDataFrame([(i, v.tolist(), i % 3000 % 5) for i, v in enumerate(np.concatenate([base, partner]))], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df).collect()}
+    found = sum(got[i] == (1, i) and got[3000 + i] == (1, i) for i in range(0, 3000, 2))
+    assert found >= 0.99 * 1500
+    assert all(got[i] == (0, i) and got[3000 + i] == (0, 3000 + i) for i in range(1, 3000, 2))
+
+
 def test_tables_are_as_wide_as_the_vectors_are_many():
     """More vectors, longer substrings; enough tables for the recall that is measured; pairs at the threshold are within the radius."""
     sample = np.random.default_rng(2).normal(size=(600, 48))
