@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,6 +32,11 @@ def digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with ``x`` computed once a row: what a lambda refers to is computed again at each of its steps, and as often as it is named."""
+    return F.transform(F.array(x), f)[0]
+
+
 def _digit(x: Column, i: Column) -> Column:
     return F.ascii(F.substring(x, i, F.lit(1))) - 48
 
@@ -38,18 +44,19 @@ def _digit(x: Column, i: Column) -> Column:
 def luhn_sum(x: Column, doubled: Column) -> Column:
     """Sum over the digits of ``x``; those whose place from the left (from 0) has parity ``doubled`` count double, less 9 above 9."""
 
-    def add(acc: Column, i: Column) -> Column:
-        d = _digit(x, i)
-        twice = d * 2
-        return acc + F.when((i - 1) % 2 == doubled, twice - F.when(twice > 9, 9).otherwise(0)).otherwise(d)
+    def summed(s: Column) -> Column:
+        def add(acc: Column, i: Column) -> Column:
+            d = _digit(s["x"], i)
+            return acc + F.when((i - 1) % 2 == s["doubled"], once(d * 2, lambda twice: twice - F.when(twice > 9, 9).otherwise(0))).otherwise(d)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), F.lit(0), add)
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(s["x"]), F.lit(1))), F.lit(0), add)
+
+    return once(F.struct(x.alias("x"), doubled.alias("doubled")), summed)
 
 
 def luhn_ok(x: Column) -> Column:
     """Whether the digits of a text pass the Luhn check; a text without digits passes."""
-    d = digits(x)
-    return F.when(F.length(d) == 0, True).otherwise(luhn_sum(d, F.length(d) % 2) % 10 == 0)
+    return once(digits(x), lambda d: F.when(F.length(d) == 0, True).otherwise(luhn_sum(d, F.length(d) % 2) % 10 == 0))
 
 
 def luhn_check_digit(x: Column) -> Column:
@@ -65,23 +72,28 @@ def mrz_fold(x: Column) -> Column:
 def mrz_check(x: Column) -> Column:
     """Check digit of a machine-readable field: weights 7, 3, 1; a filler is 0, A is 10."""
 
-    def add(acc: Column, i: Column) -> Column:
-        c = F.ascii(F.substring(x, i, F.lit(1)))
-        value = F.when(c.between(48, 57), c - 48).when(c.between(65, 90), c - 55).otherwise(0)
-        return acc + value * F.element_at(F.array(F.lit(7), F.lit(3), F.lit(1)), ((i - 1) % 3 + 1).cast("int"))
+    def value(c: Column) -> Column:
+        return F.when(c.between(48, 57), c - 48).when(c.between(65, 90), c - 55).otherwise(0)
+
+    def summed(s: Column) -> Column:
+        def add(acc: Column, i: Column) -> Column:
+            weight = F.when(i % 3 == 1, 7).when(i % 3 == 2, 3).otherwise(1)
+            return acc + once(F.ascii(F.substring(s, i, F.lit(1))), value) * weight
 
-    return F.when(F.length(x) == 0, 0).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), F.lit(0), add) % 10)
+        return F.when(F.length(s) == 0, 0).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), F.lit(0), add) % 10)
+
+    return once(x, summed)
 
 
 def mod97(x: Column) -> Column:
     """A long string of digits modulo 97, digit by digit."""
-    return F.aggregate(F.sequence(F.lit(1), F.length(x)), F.lit(0), lambda r, i: (r * 10 + _digit(x, i)) % 97)
+    return once(x, lambda s: F.aggregate(F.sequence(F.lit(1), F.length(s)), F.lit(0), lambda r, i: (r * 10 + _digit(s, i)) % 97))
 
 
 def swedish_iban(bban: Column) -> Column:
     """SE, two check digits, and the 20-digit account part; 281400 stands for SE00."""
-    check = 98 - mod97(F.concat(bban, F.lit("281400")))
-    return F.concat(F.lit("SE"), F.lpad(check.cast("string"), 2, "0"), bban)
+    check = lambda b: 98 - mod97(F.concat(b, F.lit("281400")))
+    return once(bban, lambda b: F.concat(F.lit("SE"), F.lpad(check(b).cast("string"), 2, "0"), b))
 
 
 def postcode(x: Column) -> Column:
@@ -137,12 +149,17 @@ def pick(values: tuple[str, ...], fraction: Column) -> Column:
 
 def weighted_pick(weights: dict[str, float], fraction: Column) -> Column:
     """The first value whose running share of the weights exceeds the fraction."""
-    total, upto, out = sum(weights.values()), 0.0, None
-    for name, w in weights.items():
-        upto += w
-        test = fraction < F.lit(upto / total)
-        out = F.when(test, name) if out is None else out.when(test, name)
-    return out.otherwise(list(weights)[-1])
+    total = sum(weights.values())
+
+    def found(x: Column) -> Column:
+        upto, out = 0.0, None
+        for name, w in weights.items():
+            upto += w
+            test = x < F.lit(upto / total)
+            out = F.when(test, name) if out is None else out.when(test, name)
+        return out.otherwise(list(weights)[-1])
+
+    return once(fraction, found)
 
 
 def ratio(a: Column, b: Column) -> Column:

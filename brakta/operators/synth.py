@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brakta.functions.text import email_from_name, hash_fraction, luhn_check_digit, mrz_check, mrz_fold, passport_date, pick, postcode, swedish_iban, weighted_pick
+from brakta.functions.text import email_from_name, hash_fraction, luhn_check_digit, mrz_check, mrz_fold, once, passport_date, pick, postcode, swedish_iban, weighted_pick
 from brakta.operators import pools, validate
 from brakta.operators.metrics import rubric_scores
 from brakta.operators.taxonomy import LABELS
@@ -62,9 +62,9 @@ def padded(x: Column, n: int) -> Column:
 
 def personnummer(year: Column, month: Column, day: Column, serial: Column) -> Column:
     """YYYYMMDD-SSSC, where C completes the last nine digits."""
-    body = F.concat(padded(year, 4), padded(month, 2), padded(day, 2))
-    nine = F.concat(F.substring(body, 3, 6), padded(serial, 3))
-    return F.concat(body, F.lit("-"), padded(serial, 3), luhn_check_digit(nine).cast("string"))
+    parts = F.struct(F.concat(padded(year, 4), padded(month, 2), padded(day, 2)).alias("body"), padded(serial, 3).alias("serial"))
+    check = lambda p: luhn_check_digit(F.concat(F.substring(p["body"], 3, 6), p["serial"]))
+    return once(parts, lambda p: F.concat(p["body"], F.lit("-"), p["serial"], check(p).cast("string")))
 
 
 def personnummer_any(full: Column, fraction: Column) -> Column:
@@ -74,28 +74,24 @@ def personnummer_any(full: Column, fraction: Column) -> Column:
 
 def bankgiro(fraction: Column, digits: Column) -> Column:
     """NNN-NNNN or NNNN-NNNN, evenly. digits: a number of up to eight digits."""
-    d = padded(digits, 8)
-    return F.when(fraction < 0.5, F.concat(F.substring(d, 1, 3), F.lit("-"), F.substring(d, 5, 4))).otherwise(F.concat(F.substring(d, 1, 4), F.lit("-"), F.substring(d, 5, 4)))
+    return once(padded(digits, 8), lambda d: F.when(fraction < 0.5, F.concat(F.substring(d, 1, 3), F.lit("-"), F.substring(d, 5, 4))).otherwise(F.concat(F.substring(d, 1, 4), F.lit("-"), F.substring(d, 5, 4))))
 
 
 def card_number(digits: Column) -> Column:
     """Sixteen digits that begin with 4 and pass the Luhn check. digits: a number of up to fourteen digits."""
-    body = F.concat(F.lit("4"), padded(digits, 14))
-    return F.concat(body, luhn_check_digit(body).cast("string"))
+    return once(F.concat(F.lit("4"), padded(digits, 14)), lambda body: F.concat(body, luhn_check_digit(body).cast("string")))
 
 
 def org_number(digits: Column) -> Column:
     """NNNNNN-NNNC, where C completes the nine digits; the third is 2 or more. digits: a number of up to nine digits."""
-    d = padded(digits, 9)
-    body = F.concat(F.substring(d, 1, 2), (F.substring(d, 3, 1).cast("int") % 8 + 2).cast("string"), F.substring(d, 4, 6))
-    return F.concat(F.substring(body, 1, 6), F.lit("-"), F.substring(body, 7, 3), luhn_check_digit(body).cast("string"))
+    body = once(padded(digits, 9), lambda d: F.concat(F.substring(d, 1, 2), (F.substring(d, 3, 1).cast("int") % 8 + 2).cast("string"), F.substring(d, 4, 6)))
+    return once(body, lambda b: F.concat(F.substring(b, 1, 6), F.lit("-"), F.substring(b, 7, 3), luhn_check_digit(b).cast("string")))
 
 
 def phone(style: Column, digits: Column) -> Column:
     """070-NNN NN NN, +46 70 NNN NN NN or 08-NNN NN NN, evenly. digits: a number of up to seven digits."""
-    d = padded(digits, 7)
-    tail = F.concat_ws(" ", F.substring(d, 1, 3), F.substring(d, 4, 2), F.substring(d, 6, 2))
-    return F.concat(F.when(style < 1 / 3, "070-").when(style < 2 / 3, "+46 70 ").otherwise("08-"), tail)
+    tail = once(padded(digits, 7), lambda d: F.concat_ws(" ", F.substring(d, 1, 3), F.substring(d, 4, 2), F.substring(d, 6, 2)))
+    return F.concat(once(style, lambda x: F.when(x < 1 / 3, "070-").when(x < 2 / 3, "+46 70 ").otherwise("08-")), tail)
 
 
 #: Ages of synthetic people are counted at this day, so that rows do not depend on when they are made.
@@ -108,18 +104,19 @@ def birth_date(fraction: Column) -> Column:
 
 
 def address(street: Column, number: Column, code: Column, city: Column) -> Column:
-    line, post = F.concat(street, F.lit(" "), number.cast("string")), postcode(code)
-    return F.struct(line.alias("street_line"), post.alias("postnr"), city.alias("city"), F.concat(line, F.lit(", "), post, F.lit(" "), city).alias("full"))
+    parts = F.struct(F.concat(street, F.lit(" "), number.cast("string")).alias("street_line"), postcode(code).alias("postnr"), city.alias("city"))
+    return once(parts, lambda p: F.struct(p["street_line"].alias("street_line"), p["postnr"].alias("postnr"), p["city"].alias("city"), F.concat(p["street_line"], F.lit(", "), p["postnr"], F.lit(" "), p["city"]).alias("full")))
 
 
 def mrz_lines(last: Column, first: Column, number: Column, born: Column, sex: Column, expires: Column, personal: Column) -> tuple[Column, Column]:
     """Two lines of 44 characters, with the check digits of each field and of all together."""
     top = F.rpad(F.concat(F.lit("P<SWE"), mrz_fold(last), F.lit("<<"), mrz_fold(first)), 44, "<")
     day = lambda d: F.date_format(d, "yyMMdd")
-    with_check = lambda x: F.concat(x, mrz_check(x).cast("string"))
+    with_check = lambda x: once(x, lambda v: F.concat(v, mrz_check(v).cast("string")))
     num, birth, end = with_check(F.rpad(number, 9, "<")), with_check(day(born)), with_check(day(expires))
     own = with_check(F.rpad(personal, 14, "<"))
-    return top, F.concat(num, F.lit("SWE"), birth, sex, end, own, mrz_check(F.concat(num, birth, end, own)).cast("string"))
+    fields = F.struct(num.alias("num"), birth.alias("birth"), end.alias("end"), own.alias("own"))
+    return top, once(fields, lambda f: F.concat(f["num"], F.lit("SWE"), f["birth"], sex, f["end"], f["own"], mrz_check(F.concat(f["num"], f["birth"], f["end"], f["own"])).cast("string")))
 
 
 def passport(last: Column, first: Column, number: Column, born: Column, sex: Column, issued: Column, place: Column, pnr: Column) -> Column:
@@ -137,7 +134,7 @@ def subject(seed: int, foreign: Column, *key: Column) -> Column:
     pnr = personnummer_any(personnummer(whole(d("year"), 1940, 2010), whole(d("month"), 1, 12), whole(d("day"), 1, 28), whole(d("serial"), 0, 999)), d("form"))
     called = F.when(foreign, F.concat(F.lit("+4"), whole(d("country"), 4, 9).cast("string"), F.lit(" "), padded(whole(d("abroad"), 0, 99999999), 8))).otherwise(phone(d("net"), whole(d("phone"), 0, 9999999)))
     home = address(pick(pools.STREETS, d("street")), whole(d("number"), 1, 99), padded(whole(d("post"), 10000, 98499), 5), pick(pools.CITIES, d("city")))
-    return F.struct(name.alias("name"), pnr.alias("personnummer"), email_from_name(name, pick(pools.DOMAINS, d("domain"))).alias("email"), called.alias("phone"), home["full"].alias("address"))
+    return once(name, lambda n: F.struct(n.alias("name"), pnr.alias("personnummer"), email_from_name(n, pick(pools.DOMAINS, d("domain"))).alias("email"), called.alias("phone"), home["full"].alias("address")))
 
 
 def categories(rows: DataFrame, config: SynthesisConfig, key: str = "row_id") -> DataFrame:
@@ -197,12 +194,13 @@ class TemplateGenerator:
 
     def generate(self, rows: DataFrame) -> DataFrame:
         # Of subjects with the first one's name, the last: it is the one that records are checked against.
-        s = F.element_at(F.filter("seed_subjects", lambda x: x["name"] == F.col("seed_subjects")[0]["name"]), -1)
+        last = F.element_at(F.filter("seed_subjects", lambda x: x["name"] == F.col("seed_subjects")[0]["name"]), -1)
+        rows, s = rows.withColumn("__said", last), F.col("__said")
         text = F.when(F.col("content_kind") == "pii", F.concat_ws(" | ", F.col("text_type"), s["name"], s["personnummer"], s["email"], F.col("seed_date"))).otherwise(F.col("text_type"))
         entities = F.when(F.col("content_kind") == "pii", F.create_map(F.lit("person"), F.array(s["name"]), F.lit("personnummer"), F.array(s["personnummer"]), F.lit("email"), F.array(s["email"]), F.lit("date"), F.array("seed_date"))).otherwise(F.create_map().cast("map<string,array<string>>"))
         record = F.create_map(F.lit("name"), s["name"], F.lit("personnummer"), s["personnummer"], F.lit("email"), s["email"])
         records = F.when(F.col("content_kind") == "pii", F.array(record)).otherwise(F.array().cast("array<map<string,string>>"))
-        return rows.withColumns({"text": text, "entities": entities, "records": records})
+        return rows.withColumns({"text": text, "entities": entities, "records": records}).drop("__said")
 
 
 #: A judge's rubrics.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brakta.functions import parsing
-from brakta.functions.text import collapse
+from brakta.functions.text import collapse, once
 
 
 def all_mentions(entities: Column) -> Column:
@@ -48,10 +48,10 @@ def records_ok() -> Column:
     seed = lambda name: F.try_element_at(F.filter("seed_subjects", lambda s: s["name"] == name), F.lit(-1))
 
     def one(r: Column) -> Column:
-        own = seed(r["name"])
         in_text = F.forall(F.map_values(r), lambda v: (v == "") | F.col("text").contains(v))
-        same = lambda k: F.coalesce(r[k], F.lit("")).isin("") | r[k].eqNullSafe(own[k])
-        return in_text & own.isNotNull() & same("personnummer") & same("email") & same("phone") & address_matches(r["address"], own["address"])
+        same = lambda own, k: F.coalesce(r[k], F.lit("")).isin("") | r[k].eqNullSafe(own[k])
+        agrees = lambda own: own.isNotNull() & same(own, "personnummer") & same(own, "email") & same(own, "phone") & address_matches(r["address"], own["address"])
+        return in_text & once(seed(r["name"]), agrees)
 
     return F.when(F.col("records").isNull() | F.col("seed_subjects").isNull(), False).otherwise(F.forall("records", lambda r: F.coalesce(one(r), F.lit(False))))
 
