@@ -25,9 +25,8 @@ def checksums(spark: SparkSession, d: str) -> DataFrame:
 
 
 def personal_numbers(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
-    k = F.col("o_orderkey")
-    full = synth.personnummer(1940 + k % 71, 1 + k % 12, 1 + k % 28, k % 1000)
+    k, full = F.col("o_orderkey"), F.col("full")
+    o = table(spark, d, "orders").select(k, synth.personnummer(1940 + k % 71, 1 + k % 12, 1 + k % 28, k % 1000).alias("full"))
     return o.select("o_orderkey", full.alias("pnr"), synth.personnummer_any(full, (k % 10) / 10).alias("any_form"), T.luhn_ok(F.substring(full, 3, 20)).alias("ok"), synth.bankgiro((k % 2) / 2 + 0.1, k).alias("giro"))
 
 
