@@ -121,6 +121,17 @@ def collapse(x: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))
 
 
+#: Characters whose capital form has several characters, each with its single one: itself where it has none.
+_LONG_UPPER = {c: "ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1}
+
+
+def simple_upper(x: Column) -> Column:
+    """Capitals character by character, as SQL engines other than Spark make them: 'ß' is 'ẞ', not 'SS', and lengths stay."""
+    known = F.create_map(*[F.lit(v) for pair in _LONG_UPPER.items() for v in pair])
+    one = lambda c: F.coalesce(F.try_element_at(known, c), F.upper(c))
+    return F.when(x.rlike("^[\\x00-\\x7F]*$"), F.upper(x)).otherwise(F.array_join(F.transform(F.split(x, ""), one), ""))
+
+
 def slug(x: Column) -> Column:
     """A label key from what a user typed."""
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), "[^a-z0-9_]+", "_"), "^_+|_+$", "")

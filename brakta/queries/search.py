@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brakta.functions.text import simple_upper
 from brakta.operators import phrases, ranking
 from brakta.queries.base import documents, table
 
@@ -14,7 +15,7 @@ def _phrases(spark: SparkSession, d: str) -> DataFrame:
     words = F.split("text", r"[ \n]+")
     rows = table(spark, d, "benchmark").select("item_id", words.alias("w")).select("item_id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2))).alias("i"))
     phrase = F.array_join(F.slice("w", F.col("i"), F.lit(3)), " ")
-    return rows.select((F.col("item_id") * 1000 + F.col("i")).alias("phrase_id"), F.when(F.col("i") % 2 == 0, F.upper(phrase)).otherwise(phrase).alias("phrase"))
+    return rows.select((F.col("item_id") * 1000 + F.col("i")).alias("phrase_id"), F.when(F.col("i") % 2 == 0, simple_upper(phrase)).otherwise(phrase).alias("phrase"))
 
 
 def phrases_in_documents(spark: SparkSession, d: str) -> DataFrame:
