@@ -38,9 +38,8 @@ def folded_letters(spark: SparkSession, d: str) -> DataFrame:
     """Letters of documents that fold to plain ones: where each run stands, in the text's own offsets."""
     given = table(spark, d, "region").filter("r_regionkey = 0").select(F.inline(F.array(*[F.struct(F.lit(i).alias("phrase_id"), F.lit(p).alias("phrase")) for i, p in LETTERS])))
     marked = documents(spark, d).filter("text rlike '[^\\\\x00-\\\\x7F]'")
-    found = phrases.find_phrases(marked, given, ["doc_id"])
-    held = found.join(documents(spark, d), "doc_id").withColumn("shown", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")))
-    return held.groupBy("phrase_id", "shown").agg(F.count("*").alias("n"))
+    found = phrases.find_phrases(marked, given, ["doc_id"], shown="shown", edges=True)
+    return found.groupBy("phrase_id", "shown").agg(F.count("*").alias("n"))
 
 
 def best_documents(spark: SparkSession, d: str) -> DataFrame:
