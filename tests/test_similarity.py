@@ -61,3 +61,32 @@ def test_greedy_dedup_with_copies_is_the_sequential_scan(spark):
             kept.add(i)
     got = {r.vec_id: r.keep for r in curate.dedup_texts(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.9).collect()}
     assert got == {i: i in kept for i, _ in rows}
+
+
+def test_blocks_grow_with_the_vectors():
+    assert similarity.block_of(1000, 64) == 2048
+    assert [-(-n // similarity.block_of(n, 64)) for n in (100_000, 400_000, 2_000_000)] == [16, 16, 16]
+    assert similarity.block_of(10**9, 64) * 64 * 8 <= similarity.BLOCK_BYTES
+
+
+def test_tiles_hold_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "TILE", 7)
+    rows = clustered(60, 5, dim=8, spread=0.1)
+    got = similarity.close_pairs(spark.createDataFrame(rows, "vec_id long, v array<double>"), 0.8, "vec_id", "v")
+    assert sorted(map(tuple, got.collect())) == sorted(plain(rows, 0.8))
+
+
+@pytest.mark.parametrize("lead", [5, 4096])
+@pytest.mark.parametrize("least", [0.3, 0.9])
+def test_rows_decided_first_leave_few_to_pair(spark, monkeypatch, lead, least):
+    monkeypatch.setattr(curate, "LEAD", lead)
+    rows = clustered(90, 9, dim=8, spread=0.1) + [(200 + i, [1.0, float(i), 2.0]) for i in range(4)] + [(300, [0.0] * 8), (301, None)]
+    near, kept = plain(rows, least), set()
+    for i, _ in sorted(rows, key=lambda r: r[0]):
+        if not any((k, i) in near for k in kept):
+            kept.add(i)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r.vec_id: r.keep for r in curate.dedup_texts(df, least).collect()} == {i: i in kept for i, _ in rows}
+    if lead == 4096:
+        left, _ = curate.led(similarity.comparable(df.filter("vec_id < 200"), "vec_id", "embedding"), least)
+        assert left.count() == 0
