@@ -9,6 +9,8 @@ whose bound is below it hold none of the k best and are not scored at all.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,11 +56,11 @@ def best_texts(texts: DataFrame, queries: DataFrame, k: int = 10, key: str = "do
     most = index.groupBy("term", "block").agg(F.max("impact").alias("most"))
     bounds = stage(terms.join(most, "term").groupBy("query_id", "block").agg(F.sum("most").alias("bound")), "bm25-bounds")
     ranked = bounds.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")))
-    early = _scored(ranked.filter(F.col("nth") <= first).select("query_id", "block"), terms, index, k)
+    early = _scored(ranked.filter(F.col("nth") <= first).select("query_id", "block"), asked, index, k)
     early = stage(early, "bm25-first")
     floor = early.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0.0).alias("floor"))
     rest = ranked.filter(F.col("nth") > first).join(floor, "query_id").filter(F.col("bound") >= F.col("floor") * (1 - 1e-9)).select("query_id", "block")
-    late = _scored(rest, terms, index, k)
+    late = _scored(rest, asked, index, k)
     both = early.unionByName(late)
     out = stage(both.withColumn("place", F.row_number().over(_order())).filter(F.col("place") <= k), "bm25-best")
     for done in (early, bounds, index, asked):
@@ -70,11 +72,38 @@ def _order() -> Window:
     return Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
 
 
-def _scored(blocks: DataFrame, terms: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """(query_id, key, score): the k best texts of each query in some blocks."""
-    met = blocks.join(terms, "query_id").join(index, ["block", "term"])
+def _scored(blocks: DataFrame, asked: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """(query_id, key, score): the k best texts of each query in some blocks.
+
+    A block is one group, with its postings and the queries that look at it: so what is dealt grows with both,
+    and not with each posting for each query that asks for its term.
+    """
+    query, key = dict(asked.dtypes)["query_id"], dict(index.dtypes)["key"]
+
+    def score(postings: pa.Table, queries: pa.Table) -> pa.Table:
+        texts = postings.column("key").combine_chunks().dictionary_encode(null_encoding="encode")
+        place, impact = texts.indices.to_numpy(), postings.column("impact").to_numpy()
+        rows: dict[str, list[int]] = {}
+        for i, term in enumerate(postings.column("term").to_pylist()):
+            rows.setdefault(term, []).append(i)
+        found, whose, scores = [], [], []
+        for q, terms in enumerate(queries.column("terms").to_pylist()):
+            hit = [i for t in sorted(terms) for i in rows.get(t, ())]
+            if not hit:
+                continue
+            sums, met = np.bincount(place[hit], impact[hit], len(texts.dictionary)), np.unique(place[hit])
+            if len(met) > k:  # with room for rounding, which makes ties
+                met = met[sums[met] >= np.partition(sums[met], -k)[-k] - 1e-8]
+            found.append(met)
+            whose.append(np.full(len(met), q))
+            scores.append(sums[met])
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"query_id": queries.column("query_id").take(pa.array(np.concatenate(whose or none))), "key": texts.dictionary.take(pa.array(np.concatenate(found or none))), "score": pa.array(np.concatenate(scores or none).astype(float))})
+
+    wanted = blocks.join(asked, "query_id").select("block", "query_id", "terms")
+    met = index.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(score, f"query_id {query}, key {key}, score double")
     # Rounded sums: the order in which terms are added must not decide between ties.
-    scores = met.groupBy("query_id", "key").agg(F.round(F.sum("impact"), 9).alias("score"))
+    scores = met.withColumn("score", F.round("score", 9))
     return scores.withColumn("n", F.row_number().over(_order())).filter(F.col("n") <= k).drop("n")
 
 

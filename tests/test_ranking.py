@@ -40,3 +40,12 @@ def test_blocks_below_the_floor_are_passed_over(spark):
     bounds = spark.createDataFrame([(1, b, float(10 - b)) for b in range(10)], "query_id long, block int, bound double")
     floor = spark.createDataFrame([(1, 6.5)], "query_id long, floor double")
     assert ranking.blocks_scored(bounds, floor, first=2).first()[1:] == (4, 10)
+
+
+def test_scores_of_a_block_are_dealt_once_for_all_queries(spark):
+    """No row for each posting and query: what leaves a block is at most its texts, for each query."""
+    index = spark.createDataFrame([(f"t{t}", 0, key, 1.0 + t + (key or 0)) for key in (None, 1, 2, 3) for t in range(40)], "term string, block int, key long, impact double")
+    asked = spark.createDataFrame([(q, [f"t{t}" for t in range(40)]) for q in range(30)] + [(99, ["unseen"])], "query_id long, terms array<string>")
+    got = ranking._scored(asked.selectExpr("query_id", "0 as block"), asked, index, 2)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroups")[0]
+    assert sorted(map(tuple, got.collect())) == sorted((q, key, sum(1.0 + t + key for t in range(40))) for q in range(30) for key in (2, 3))
