@@ -37,6 +37,28 @@ def once(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(x), f)[0]
 
 
+#: Numbers that are folded at a time: a list that grows number by number is copied as often as it has numbers.
+BLOCK = 256
+
+
+def sums_before(xs: Column) -> Column:
+    """For each number of an array, the sum of those before it, as longs."""
+    none, zero = F.array().cast("array<bigint>"), F.lit(0).cast("long")
+
+    def put(acc: Column, x: Column) -> Column:
+        return F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out"))
+
+    def block(xs: Column, acc: Column, first: Column) -> Column:
+        start = F.struct(acc["sum"].alias("sum"), none.alias("out"))
+        return F.aggregate(F.slice(xs, first, F.lit(BLOCK)), start, put, lambda x: F.struct(x["sum"].alias("sum"), F.concat(acc["out"], x["out"]).alias("out")))
+
+    def folded(xs: Column) -> Column:
+        start = F.struct(zero.alias("sum"), none.alias("out"))
+        return F.when(F.size(xs) == 0, none).otherwise(F.aggregate(F.sequence(F.lit(1), F.size(xs), F.lit(BLOCK)), start, lambda acc, first: block(xs, acc, first), lambda acc: acc["out"]))
+
+    return once(xs.cast("array<bigint>"), folded)
+
+
 def _digit(x: Column, i: Column) -> Column:
     return F.ascii(F.substring(x, i, F.lit(1))) - 48
 
