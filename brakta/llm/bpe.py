@@ -44,7 +44,7 @@ class WordBpe:
         self.letters = dict(enumerate(byte_letters()))
         # The same alternatives where all letters and digits are ASCII; Python's own engine is faster.
         self.ascii_pieces = re.compile(split["pattern"]["Regex"].replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"\p{L}\p{N}", "a-z0-9")).findall
-        self.piece_ids = Memo(lambda piece: array("I", [t.id for t in self.model.tokenize(piece)]).tobytes(), limit=32 << 20)
+        self.piece_ids = Memo(lambda piece: array("I", [t.id for t in self.model.tokenize(piece)]).tobytes(), limit=24 << 20, twice=True)
 
     @staticmethod
     def by_chunk(config: dict) -> bool:
@@ -110,7 +110,7 @@ def make_encoder(path: str):
     except ValueError:
         library = Tokenizer.from_file(path)
         return lambda text: array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
-    get = Memo(own.chunk_ids, limit=112 << 20).__getitem__
+    get = Memo(own.chunk_ids, limit=48 << 20, twice=True).__getitem__
 
     def encode(text: str) -> bytes:
         if any(c in text for c in SEPARATORS):

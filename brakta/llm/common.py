@@ -62,15 +62,20 @@ class Memo(dict):
     It holds two generations of at most about ``limit`` bytes each, by their size
     as Python objects: when the younger is full it becomes the elder, so what is
     asked for often stays.  An entry of more than a thousandth of that is not kept,
-    so words of megabytes displace nothing.
+    so words of megabytes displace nothing.  With ``twice``, an entry is kept from
+    the second time on that it is computed: most words of a corpus occur once, and
+    take a byte of a table then, which they may share.
     """
 
     #: What an entry's place in the dictionary takes beside its objects.
     SLOT = 80
+    #: Bytes, a power of two, that tell what was computed once.
+    ONCE = 1 << 21
 
-    def __init__(self, compute: Callable, limit: int = 48 << 20, base: dict | None = None):
+    def __init__(self, compute: Callable, limit: int = 48 << 20, base: dict | None = None, twice: bool = False):
         super().__init__()
         self.compute, self.limit, self.left, self.elder, self.base = compute, limit, limit, {}, base or {}
+        self.once = bytearray(self.ONCE) if twice else None
 
     def __missing__(self, key):
         value = self.elder.get(key)
@@ -78,6 +83,11 @@ class Memo(dict):
             value = self.base.get(key)
             if value is None:
                 value = self.compute(key)
+            if self.once is not None:
+                at = hash(key) & (self.ONCE - 1)
+                if not self.once[at]:
+                    self.once[at] = 1
+                    return value
         cost = getsizeof(key) + getsizeof(value) + self.SLOT
         if cost > self.limit >> 10:
             return value
@@ -85,6 +95,8 @@ class Memo(dict):
         if self.left < 0:
             self.elder, self.left = self.copy(), self.limit - cost
             self.clear()
+            if self.once is not None:
+                self.once = bytearray(self.ONCE)
         self[key] = value
         return value
 
